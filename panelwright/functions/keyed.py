@@ -5,10 +5,10 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A key is hot when it owns at least 1/HOT_SHARE of the rows, so there are at most HOT_SHARE.
+# Number of heaviest keys joined by broadcast.
 HOT_SHARE = 1000
 _SALTS = 1021
 
@@ -16,15 +16,16 @@ _SALTS = 1021
 def attach_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
     """Left join one-row-per-key ``right``, whose ``weight`` counts the key's rows on the left.
 
-    Hot keys are joined by a broadcast of at most ``HOT_SHARE`` rows; all others by a shuffle in
-    which hot and null-key rows are spread over salts that match nothing.
+    The heaviest ``HOT_SHARE`` keys are joined by a broadcast of that many rows; all others by a
+    shuffle in which hot and null-key rows are spread over salts that match nothing.
     """
     keys = list(keys)
     values = [c for c in right.columns if c not in keys]
-    total = right.agg(F.sum(weight)).scalar()
-    is_hot = F.col(weight) * HOT_SHARE >= total
-    hot = right.filter(is_hot).select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in values])
-    rest = right.filter(~is_hot).withColumn("_salt", F.lit(0).cast("long"))
+    # Any key outside the HOT_SHARE heaviest owns less than 1/HOT_SHARE of the rows.
+    hot = right.orderBy(F.col(weight).desc(), *keys).limit(HOT_SHARE).select(
+        *keys, *[F.col(c).alias(f"_hot_{c}") for c in values]
+    )
+    rest = right.withColumn("_salt", F.lit(0).cast("long"))
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
@@ -38,6 +39,17 @@ def attach_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str], weight
     )
 
 
+def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that later filters and projections read instead of recomputing.
+
+    The optimizer copies an expression to every place that uses it; a generator over a one-element
+    array is a boundary it does not copy through, so each row computes these once.
+    """
+    record = F.struct(*[expr.alias(name) for name, expr in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(record)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: the session's, or a local one where none is set (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
