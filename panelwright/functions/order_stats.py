@@ -134,15 +134,21 @@ def quantiles(
     return rows.groupBy(*groups).agg(*columns)
 
 
-def ordered_index(df: DataFrame, ts: str, out: str = "rank") -> DataFrame:
-    """0-based rank of each distinct timestamp, counted by day so no day-crossing sort is needed."""
+def ordered_index(df: DataFrame, ts: str) -> DataFrame:
+    """``ts, rank, total``: 0-based rank of each distinct timestamp and how many there are.
+
+    Ranks are counted by day, so only the day totals are ordered across days.
+    """
     distinct = df.select(ts).filter(F.col(ts).isNotNull()).distinct()
     distinct = distinct.withColumn("_day", F.to_date(ts))
     days = distinct.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     # One row per calendar day: a century is 36,525 rows.
-    days = days.select("_day", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    earlier = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    days = days.select(
+        "_day", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("total")
+    )
     inside = Window.partitionBy("_day").orderBy(ts)
     return distinct.join(days, "_day").select(
-        ts, (F.col("_before") + F.row_number().over(inside) - 1).cast("long").alias(out)
+        ts, (F.col("_before") + F.row_number().over(inside) - 1).cast("long").alias("rank"), "total"
     )

@@ -29,12 +29,20 @@ PEERS = "same_timestamp_station_median"
 
 
 def day_bounds(df: DataFrame, spec: PanelSpec) -> dict[str, Column]:
-    """Start of the first day and last step of the last day, as scalar subqueries."""
+    """Start of the first day and last step of the last day, from one scalar subquery."""
     ends = df.agg(F.to_date(F.min(spec.ts)).alias("lo"), F.to_date(F.max(spec.ts)).alias("hi")).select(
-        F.col("lo").cast("timestamp_ntz").alias("lo"),
-        plus_steps(F.date_add("hi", 1).cast("timestamp_ntz"), -1, spec).alias("hi"),
+        F.struct(
+            F.col("lo").cast("timestamp_ntz").alias("lo"),
+            plus_steps(F.date_add("hi", 1).cast("timestamp_ntz"), -1, spec).alias("hi"),
+        )
     )
-    return {"start": ends.select("lo").scalar(), "end": ends.select("hi").scalar()}
+    return {"start": ends.scalar().getField("lo"), "end": ends.scalar().getField("hi")}
+
+
+def calendar(df: DataFrame, spec: PanelSpec, start: Column, end: Column) -> DataFrame:
+    """Every timestamp of the configured range."""
+    step = F.expr(f"INTERVAL '{spec.cadence_minutes}' MINUTE")
+    return df.sparkSession.range(1).select(F.explode(F.sequence(start, end, step)).alias(spec.ts))
 
 
 def metadata_conflicts(df: DataFrame, spec: PanelSpec, fields: Sequence[str]) -> DataFrame:
@@ -55,9 +63,9 @@ def complete_grid(
     Static fields are back-filled per entity from its own observed rows.
     """
     step = F.expr(f"INTERVAL '{spec.cadence_minutes}' MINUTE")
-    cells = df.groupBy(spec.entity).agg(
-        *[F.first(c, ignorenulls=True).alias(c) for c in static]
-    ).select(spec.entity, *static, F.explode(F.sequence(start, end, step)).alias(spec.ts))
+    kept = [F.first(c, ignorenulls=True).alias(c) for c in static]
+    entities = df.groupBy(spec.entity).agg(*kept) if kept else df.select(spec.entity).distinct()
+    cells = entities.select(spec.entity, *static, F.explode(F.sequence(start, end, step)).alias(spec.ts))
     facts = df.drop(*static).withColumn("_present", F.lit(True))
     joined = cells.join(facts, [spec.entity, spec.ts], "left")
     order = [c for c in df.columns]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.keyed import attach_by_key, settle
 from ..functions.scalars import array_sum, is_blank, json_text, to_number
 from ..functions.windows import PanelSpec, over_chunks, plus_steps
+from .clean import calendar
 
 # Dispositions and reason codes of the ledger.
 CELL = "cell_invalidated"
@@ -530,8 +531,7 @@ def incomplete_timestamps(df: DataFrame, spec: PanelSpec) -> DataFrame:
 
 def calendar_differences(df: DataFrame, spec: PanelSpec, start: Column, end: Column) -> DataFrame:
     """Timestamps missing from or beyond the configured calendar."""
-    step = F.expr(f"INTERVAL '{spec.cadence_minutes}' MINUTE")
-    wanted = df.sparkSession.range(1).select(F.explode(F.sequence(start, end, step)).alias(spec.ts))
+    wanted = calendar(df, spec, start, end)
     present = df.select(spec.ts).distinct()
     missing = wanted.join(present, spec.ts, "left_anti").withColumn("problem", F.lit("missing"))
     return missing.unionByName(present.join(wanted, spec.ts, "left_anti").withColumn("problem", F.lit("unexpected")))

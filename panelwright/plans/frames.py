@@ -79,8 +79,13 @@ class Tables:
     def grid(self) -> DataFrame:
         from ..operators import clean
 
-        panel = self.panel()
-        return clean.complete_grid(panel, SPEC, ["grp", "capacity"], **clean.day_bounds(panel, SPEC))
+        return clean.complete_grid(self.panel(), SPEC, ["grp", "capacity"], **self.bounds())
+
+    def bounds(self) -> dict[str, Column]:
+        """First and last window of the panel's calendar, read off the log itself."""
+        from ..operators import clean
+
+        return clean.day_bounds(self.events, SPEC)
 
     def clean(self) -> DataFrame:
         """Gap-free panel, filled from yesterday's window and then at most three steps forward."""
@@ -149,14 +154,15 @@ class Tables:
 
         panel = self.clean().withColumn(
             "level", clean.capacity_band(F.col("load"), F.col("capacity"))
-        )
+        ).withColumn("observed", ~F.col("inserted"))
         return features.add_targets(panel, SPEC, TARGETS, HORIZONS)
 
     # -- prediction tables ---------------------------------------------------------------
     def splits(self) -> DataFrame:
-        from ..operators import splits
+        """Partition bounds over the calendar, which the completed panel fills."""
+        from ..operators import clean, splits
 
-        return splits.partition_bounds(self.clean(), "ts")
+        return splits.partition_bounds(clean.calendar(self.events, SPEC, **self.bounds()), "ts")
 
     def forecasts(self) -> DataFrame:
         """Two baseline forecasters per horizon in long form, with their split."""
