@@ -211,7 +211,7 @@ def target_long(df: DataFrame, targets: Sequence[tuple], horizons: Sequence[int]
         *[
             F.struct(
                 F.lit(f"{name}_h{h}").alias("target"), F.lit(kind).alias("kind"), F.lit(h).alias("horizon"),
-                F.col(f"target_{name}_h{h}_available").alias("available"),
+                F.col(f"target_ts_h{h}").alias("target_ts"), F.col(f"target_{name}_h{h}_available").alias("available"),
                 F.col(f"target_{name}_h{h}").cast("string").alias("value"),
             )
             for h in horizons

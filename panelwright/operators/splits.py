@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keyed import settle
 from ..functions.order_stats import ordered_index
 from ..functions.scalars import ratio, rounded
 
@@ -129,7 +130,7 @@ def fold_rows(df: DataFrame, ts: str, folds: DataFrame) -> DataFrame:
     ).scalar()
     t = F.col(ts)
     roles = F.transform(
-        table,
+        "_folds",
         lambda f: F.struct(
             f["fold"].alias("fold"),
             F.when(t.between(f["train_start"], f["train_end"]), "train")
@@ -137,7 +138,7 @@ def fold_rows(df: DataFrame, ts: str, folds: DataFrame) -> DataFrame:
             f["validation_start"].alias("validation_start"),
         ),
     )
-    return df.withColumn("_r", F.explode(F.filter(roles, lambda r: r["role"].isNotNull()))).select(
+    return settle(df, {"_folds": table}).withColumn("_r", F.explode(F.filter(roles, lambda r: r["role"].isNotNull()))).select(
         *df.columns, "_r.fold", "_r.role", "_r.validation_start"
     )
 

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.windows import PanelSpec
+from ..operators.features import FeaturePlan
 
 SPEC = PanelSpec()
+PLAN = FeaturePlan(rain_above=20.0, low_visibility_below=60.0, temperature_bounds=(30.0, 50.0, 70.0))
 # Ordered classes and their probability centres; bands of demand over capacity.
 LEVELS = ("Free-flow", "Moderate", "Heavy", "Severe")
 GROUPS = {"click": "browse", "view": "browse", "purchase": "convert", "signup": "convert"}
@@ -52,7 +54,7 @@ class Tables:
             .agg(
                 F.min("event_id").alias("row_id"),
                 F.count(F.lit(1)).alias("volume"),
-                F.round(F.avg("value"), 6).alias("speed"),
+                F.round(F.avg("value"), 2).alias("speed"),
                 F.round(F.sum("value"), 2).alias("load"),
                 F.count_if(F.col("value") >= INCIDENT_VALUE).alias("incidents"),
             )
@@ -99,9 +101,9 @@ class Tables:
             self.events.withColumn("grp", group_of(F.col("event_type")))
             .groupBy("grp", F.window("ts", "1 hour").alias("w"))
             .agg(
-                F.round(F.avg("value"), 6).alias("temperature"),
-                F.round(F.min("value"), 6).alias("rainfall"),
-                F.round(F.max("value"), 6).alias("visibility"),
+                F.round(F.avg("value"), 2).alias("temperature"),
+                F.round(F.min("value"), 2).alias("rainfall"),
+                F.round(F.max("value"), 2).alias("visibility"),
                 F.min("event_id").alias("hour_row_id"),
                 F.count(F.lit(1)).alias("n"),
             )
@@ -147,7 +149,7 @@ class Tables:
     def features(self) -> DataFrame:
         from ..operators import features
 
-        return features.engineer(self.merged(), SPEC, features.FeaturePlan())
+        return features.engineer(self.merged(), SPEC, PLAN)
 
     def targets(self) -> DataFrame:
         from ..operators import clean, features
