@@ -16,8 +16,8 @@ from .sql import LEVEL, SPLIT, SPLIT_END, cte, r, with_ctes
 _KEY = ["entity", "ts"]
 
 
-def _r(*names: str) -> list:
-    return [rounded(F.col(n)).alias(n) for n in names]
+def _r(*names: str, digits: int = 6) -> list:
+    return [rounded(F.col(n), digits).alias(n) for n in names]
 
 
 @query(
@@ -73,9 +73,9 @@ _MEANS = [n for n in _ROLL if "_mean_" in n]
 _STDS = [n for n in _ROLL if "_std_" in n]
 
 
-@query("FE5_rolling_means", with_ctes("history", f"SELECT entity, ts, {', '.join(f'{r(n)} AS {n}' for n in _MEANS)} FROM history"))
+@query("FE5_rolling_means", with_ctes("history", f"SELECT entity, ts, {', '.join(f'{r(n, 10)} AS {n}' for n in _MEANS)} FROM history"))
 def _(t: Tables) -> DataFrame:
-    return features.add_history(t.clean(), SPEC, PLAN).select("entity", "ts", *_r(*_MEANS))
+    return features.add_history(t.clean(), SPEC, PLAN).select("entity", "ts", *_r(*_MEANS, digits=10))
 
 
 @query("FE6_rolling_deviations", with_ctes("history", f"SELECT entity, ts, {', '.join(f'{r(n)} AS {n}' for n in _STDS)} FROM history"))

@@ -46,7 +46,7 @@ cte(
     "observed",
     f"""SELECT event_type AS entity, {GRP.format('event_type')} AS grp,
     time_bucket(INTERVAL '30 minutes', ts) AS ts, min(event_id) AS row_id, count(*) AS volume,
-    round(avg(value), 2) AS speed, round(sum(value), 2) AS load,
+    round(avg(value), 6) AS speed, round(sum(value), 2) AS load,
     CAST(sum(CASE WHEN value >= 150 THEN 1 ELSE 0 END) AS BIGINT) AS incidents
     FROM events GROUP BY 1, 2, 3""",
 )
@@ -91,7 +91,7 @@ cte(
     "hourly",
     f"""SELECT {GRP.format('event_type')} AS grp, date_trunc('hour', ts) AS hour,
     CASE WHEN count(*) >= 8 THEN ' RAIN' WHEN count(*) >= 5 THEN 'cloudy' WHEN count(*) >= 3 THEN 'Foggy'
-    ELSE 'Clear ' END AS condition, round(avg(value), 2) AS temperature, round(min(value), 2) AS rainfall,
+    ELSE 'Clear ' END AS condition, round(avg(value), 6) AS temperature, round(min(value), 2) AS rainfall,
     round(max(value), 2) AS visibility, min(event_id) AS hour_row_id FROM events GROUP BY 1, 2""",
 )
 cte(
