@@ -48,37 +48,38 @@ def entity_window(spec: PanelSpec) -> WindowSpec:
     return Window.partitionBy(spec.entity).orderBy(spec.ts)
 
 
+Build = Callable[[WindowSpec], dict[str, Column]]
+
+
 def over_chunks(
-    df: DataFrame,
-    spec: PanelSpec,
-    build: Callable[[WindowSpec], dict[str, Column]],
-    back: int = 0,
-    ahead: int = 0,
+    df: DataFrame, spec: PanelSpec, *builds: Build, back: int = 0, ahead: int = 0
 ) -> DataFrame:
     """Add window columns reaching ``back`` rows behind and ``ahead`` rows in front.
 
-    Exact on a gap-free panel; pass ``spec.plain()`` for panels with gaps, where a row frame and a
-    time frame differ.
+    Several ``builds`` run in order over one exchange and sort; a later one may read the columns of
+    an earlier one, and the reaches then add up.  Exact on a gap-free panel; pass ``spec.plain()``
+    for panels with gaps, where a row frame and a time frame differ.
     """
     if spec.chunk_steps is None:
-        return df.withColumns(build(entity_window(spec)))
+        for build in builds:
+            df = df.withColumns(build(entity_window(spec)))
+        return df
     size = spec.chunk_steps
     if max(back, ahead) > size:
         raise ValueError("The halo may not exceed the chunk")
     step = step_of(spec)
     home = F.floor(step / F.lit(size))
     offset = step - home * size
-    copies = F.array_compact(
-        F.array(
-            home,
-            F.when(offset >= size - back, home + 1) if back else F.lit(None).cast("long"),
-            F.when(offset < ahead, home - 1) if ahead else F.lit(None).cast("long"),
-        )
-    )
-    spread = df.withColumn("_home", home).withColumn("_chunk", F.explode(copies))
+    copies = [home]
+    if back:
+        copies.append(F.when(offset >= size - back, home + 1))
+    if ahead:
+        copies.append(F.when(offset < ahead, home - 1))
+    spread = df.withColumn("_home", home).withColumn("_chunk", F.explode(F.array_compact(F.array(*copies))))
     window = Window.partitionBy(spec.entity, "_chunk").orderBy(spec.ts)
-    out = spread.withColumns(build(window))
-    return out.filter("_chunk = _home").drop("_chunk", "_home")
+    for build in builds:
+        spread = spread.withColumns(build(window))
+    return spread.filter("_chunk = _home").drop("_chunk", "_home")
 
 
 def last_known_marker(

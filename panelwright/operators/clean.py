@@ -131,15 +131,13 @@ def causal_fill(
     else:
         base = base.withColumn("_d1", F.col("_d0"))
 
-    def windows(w):
-        return {"_p": F.lag("_d1", lag_steps).over(w)}
-
-    base = over_chunks(base, spec, windows, back=lag_steps).withColumn("_d2", F.coalesce("_d1", "_p"))
+    def previous(w):
+        return {"_d2": F.coalesce("_d1", F.lag("_d1", lag_steps).over(w))}
 
     def forward(w):
         return {"_d3": F.last("_d2", ignorenulls=True).over(w.rowsBetween(-forward_limit, 0))}
 
-    base = over_chunks(base, spec, forward, back=forward_limit)
+    base = over_chunks(base, spec, previous, forward, back=lag_steps + forward_limit)
     value = F.col("_d3.value")
     method = (
         F.when(F.col("_d0").isNotNull(), OBSERVED)
@@ -175,7 +173,7 @@ def causal_fill(
             f"{field}_donor_rows": F.when(imputed, F.to_json(donors)),
         }
     ).withColumn(field, F.col("_value"))
-    return out.drop("_value", "_d0", "_d1", "_d2", "_d3", "_p", "_peer", "_peer_rows")
+    return out.drop("_value", "_d0", "_d1", "_d2", "_d3", "_peer", "_peer_rows")
 
 
 def fill_fields(
@@ -183,18 +181,13 @@ def fill_fields(
 ) -> DataFrame:
     """Previous-period then bounded forward fill of several fields over one exchange."""
 
-    def both(w):
-        return {f"_lag_{f}": F.lag(f, lag_steps).over(w) for f in fields}
-
-    out = over_chunks(df, spec, both, back=lag_steps)
-    out = out.withColumns({f: F.coalesce(f, f"_lag_{f}") for f in fields}).drop(*[f"_lag_{f}" for f in fields])
+    def previous(w):
+        return {f: F.coalesce(f, F.lag(f, lag_steps).over(w)) for f in fields}
 
     def forward(w):
-        frame = w.rowsBetween(-forward_limit, 0)
-        return {f"_ff_{f}": F.last(f, ignorenulls=True).over(frame) for f in fields}
+        return {f: F.last(f, ignorenulls=True).over(w.rowsBetween(-forward_limit, 0)) for f in fields}
 
-    out = over_chunks(out, spec, forward, back=forward_limit)
-    return out.withColumns({f: F.col(f"_ff_{f}") for f in fields}).drop(*[f"_ff_{f}" for f in fields])
+    return over_chunks(df, spec, previous, forward, back=lag_steps + forward_limit)
 
 
 def forward_fill(df: DataFrame, spec: PanelSpec, field: str, limit: int, row_id: str) -> DataFrame:

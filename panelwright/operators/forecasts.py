@@ -75,6 +75,11 @@ def origin_context(df: DataFrame, hourly: DataFrame, spec: PanelSpec, horizons:
     )
 
 
+def shares_of(weights: Column) -> Column:
+    """Weights divided by their sum."""
+    return F.transform(weights, lambda w: w / array_sum(weights))
+
+
 def class_scores(df: DataFrame, spec: PanelSpec, horizons: Sequence[int], bounds: DataFrame) -> DataFrame:
     """Level probabilities from closeness to class centres, event probability from speed."""
     use = F.try_divide(F.col("load"), F.col("capacity") / 2.0)
@@ -91,7 +96,7 @@ def class_scores(df: DataFrame, spec: PanelSpec, horizons: Sequence[int], bounds
     records = []
     for h in horizons:
         weights = F.array(*[F.lit(1.0) / (F.lit(0.05 * h) + F.abs(F.col("_use") - c)) for c in CENTRES])
-        level = F.transform(weights, lambda w, ws=weights: w / array_sum(ws))
+        level = shares_of(weights)
         p = F.round(F.col("speed") / (F.col("speed") + F.lit(400.0 + 50 * h)), 3)
         common = [
             F.lit(h).alias("horizon"), F.lit(h * spec.cadence_minutes).alias("horizon_minutes"),

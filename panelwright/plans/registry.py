@@ -5,20 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.scalars import rounded
 from .frames import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def shown(df: DataFrame, digits: int | None) -> DataFrame:
+    """Doubles rounded for comparison; the operators keep their own precision."""
+    if digits is None:
+        return df
+    return df.select(*[rounded(F.col(c), digits).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+
+
+def query(name: str, sql: str | None = None, digits: int | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name`` with an optional SQL twin."""
 
     def wrap(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"Query registered twice: {name}")
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: shown(fn(Tables(spark, sf_dir)), digits)
         if sql is not None:
             ORACLE[name] = sql
         return fn
