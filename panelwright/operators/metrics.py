@@ -27,7 +27,7 @@ def regression_aggregates(actual: str = "actual", prediction: str = "prediction"
         "rows": n,
         "rmse": rounded(F.sqrt(F.avg(e * e)), 10),
         "mae": rounded(F.avg(F.abs(e)), 10),
-        "mape_percent": rounded(F.avg(F.when(nonzero, F.abs(e) / F.abs(F.nullif(y, F.lit(0.0))))) * 100, 10),
+        "mape_percent": rounded(F.avg(F.when(nonzero, F.abs(e) / F.abs(F.nullif(y, F.lit(0.0))))) * 100, 8),
         "r_squared": rounded(F.when(F.min(y) == F.max(y), F.lit(0.0)).otherwise(1 - F.try_divide(F.sum(e * e), total)), 10),
         "mape_nonzero_rows": F.count_if(nonzero),
         "mape_zero_actual_rows": F.count_if(~nonzero),

@@ -42,10 +42,10 @@ def regression_coverage(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _interval_aggregates() -> dict[str, Column]:
     return {
-        "bias": rounded(F.avg("signed_error"), 8),
-        "residual_standard_deviation": rounded(F.stddev_pop("signed_error"), 8),
+        "bias": F.avg("signed_error"),
+        "residual_standard_deviation": F.stddev_pop("signed_error"),
         "interval_coverage": rounded(F.avg(F.col("interval_covered").cast("int")), 10),
-        "mean_interval_width": rounded(F.avg("interval_width"), 8),
+        "mean_interval_width": F.avg("interval_width"),
     }
 
 
@@ -58,7 +58,7 @@ def regression_slices(df: DataFrame, keys: Sequence[str], dimensions: Sequence[s
         *[c.alias(n) for n, c in wanted.items()], *[c.alias(n) for n, c in _interval_aggregates().items()]
     )
     cuts = quantiles(sliced, by, "signed_error", {"residual_q10": 0.10, "residual_median": 0.50, "residual_q90": 0.90})
-    cuts = cuts.select(*by, *[rounded(F.col(c), 8).alias(c) for c in ("residual_q10", "residual_median", "residual_q90")])
+    cuts = cuts.select(*by, "residual_q10", "residual_median", "residual_q90")
     joined = sums.join(cuts, by, "left")
     values = [c for c in joined.columns if c not in (*by, "rows")]
     return joined.withColumns(supported(values, F.col("rows") >= minimum_rows))
@@ -68,8 +68,8 @@ def class_slices(df: DataFrame, keys: Sequence[str], dimensions: Sequence[str],
     """Accuracy, macro scores, mean confidence and entropy per slice."""
     sliced = explode_slices(df, dimensions)
     extra = [
-        rounded(F.avg("max_probability"), 8).alias("mean_confidence"),
-        rounded(F.avg("normalized_entropy"), 8).alias("mean_normalized_entropy"),
+        F.avg("max_probability").alias("mean_confidence"),
+        F.avg("normalized_entropy").alias("mean_normalized_entropy"),
     ]
     out = metrics.multiclass_metrics(sliced, [*keys, *SLICE], classes, extra)
     values = [c for c in out.columns if c not in (*keys, *SLICE, "rows")]
@@ -84,8 +84,8 @@ def event_slices(df: DataFrame, keys: Sequence[str], dimensions: Sequence[str],
     point = metrics.operating_metrics(sliced, by, "event_probability", "actual_class_index", F.col("operating_threshold"))
     spread = sliced.groupBy(*by).agg(
         F.min("operating_threshold").alias("_lo"), F.max("operating_threshold").alias("_hi"),
-        rounded(F.avg("max_probability"), 8).alias("mean_confidence"),
-        rounded(F.avg("normalized_entropy"), 8).alias("mean_normalized_entropy"),
+        F.avg("max_probability").alias("mean_confidence"),
+        F.avg("normalized_entropy").alias("mean_normalized_entropy"),
     )
     joined = point.select(*by, "rows", "accuracy", "precision", "recall", "f1").join(
         ranking.select(*by, "positive_rows", "roc_auc", "pr_auc", F.col("positive_rate").alias("prevalence")), by
@@ -118,7 +118,7 @@ def paired_slices(paired: DataFrame, keys: Sequence[str], dimensions: Sequence[s
         F.count(F.lit(1)).alias("rows"),
         rounded(F.sqrt(F.avg(first * first)), 10).alias("rmse_first"), rounded(F.sqrt(F.avg(second * second)), 10).alias("rmse_second"),
         rounded(F.avg(F.abs(first)), 10).alias("mae_first"), rounded(F.avg(F.abs(second)), 10).alias("mae_second"),
-        rounded(F.avg("error_delta"), 8).alias("mean_error_delta"),
+        F.avg("error_delta").alias("mean_error_delta"),
         rounded(F.avg((F.col("winner") == "second").cast("int")), 10).alias("second_win_rate"),
     )
     out = out.withColumn("rmse_delta", rounded(F.col("rmse_second") - F.col("rmse_first"), 8))

@@ -8,16 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.scalars import rounded
 from ..operators import enrich, metrics, slices, uncertainty
 from .frames import HORIZONS, LEVELS, Tables
-from .registry import query as _register
+from .registry import query
 from .sql import cte, r, with_ctes
 
 _KEY = ["entity", "ts"]
 
-
-def query(name: str, sql: str | None = None):
-    return _register(name, sql, digits=7)
-
-
 _PAIR_KEY = ["entity", "ts", "target_ts", "split", "horizon", "horizon_minutes"]
 _MODEL = ["model_version", "target", "horizon", "split"]
 DIMENSIONS = ("entity", "origin_hour", "weekday", "weekday_type", "peak_status", "condition", "actual_level")
@@ -25,6 +20,17 @@ _NAMED = [f"level_h{h}" for h in HORIZONS]
 MINIMUM = 40
 
 
+# Means whose operators keep full precision; shown to six places.
+_SHOWN = {
+    "bias", "residual_standard_deviation", "mean_interval_width", "mean_rmse", "mean_confidence", "mean_normalized_entropy",
+    "residual_q10", "residual_median", "residual_q90", "mean_error_delta", "rmse_delta",
+}
+
+
+def shown(df: DataFrame) -> DataFrame:
+    return df.select(*[rounded(F.col(c)).alias(c) if c in _SHOWN else F.col(c) for c in df.columns])
+
+
 def enriched(t: Tables) -> DataFrame:
     preds = t.forecasts()
     out = enrich.attach_width(preds, uncertainty.conformal_widths(preds, 0.9), uncertainty.CALIBRATION_KEY)
@@ -47,10 +53,10 @@ def paired(t: Tables) -> DataFrame:
 _REG = (
     "count(*) AS rows, {rmse} AS rmse, {mae} AS mae, {mape} AS mape_percent, {r2} AS r_squared"
 ).format(
-    rmse=r("sqrt(avg((prediction - actual) * (prediction - actual)))", 7),
-    mae=r("avg(abs(prediction - actual))", 7),
-    mape=r("avg(CASE WHEN abs(actual) > 2.220446049250313e-16 THEN abs(prediction - actual) / abs(actual) END) * 100", 7),
-    r2=r("CASE WHEN min(actual) = max(actual) THEN 0 ELSE 1 - sum((prediction - actual) * (prediction - actual)) / (var_pop(actual) * count(*)) END", 7),
+    rmse=r("sqrt(avg((prediction - actual) * (prediction - actual)))", 10),
+    mae=r("avg(abs(prediction - actual))", 10),
+    mape=r("avg(CASE WHEN abs(actual) > 2.220446049250313e-16 THEN abs(prediction - actual) / abs(actual) END) * 100", 8),
+    r2=r("CASE WHEN min(actual) = max(actual) THEN 0 ELSE 1 - sum((prediction - actual) * (prediction - actual)) / (var_pop(actual) * count(*)) END", 10),
 )
 _REG_N = ", count(*) FILTER (abs(actual) > 2.220446049250313e-16) AS mape_nonzero_rows, count(*) FILTER (NOT abs(actual) > 2.220446049250313e-16) AS mape_zero_actual_rows"
 cte(
@@ -73,12 +79,12 @@ def _(t: Tables) -> DataFrame:
     "RG2_horizon_metrics",
     with_ctes(
         "forecasts",
-        f"SELECT model_version, split, count(*) AS horizons, {r('avg(rmse)', 7)} AS mean_rmse FROM (SELECT model_version, split, horizon, {_REG} FROM forecasts GROUP BY 1, 2, 3) GROUP BY 1, 2",
+        f"SELECT model_version, split, count(*) AS horizons, {r('avg(rmse)', 6)} AS mean_rmse FROM (SELECT model_version, split, horizon, {_REG} FROM forecasts GROUP BY 1, 2, 3) GROUP BY 1, 2",
     ),
 )
 def _(t: Tables) -> DataFrame:
     per = metrics.regression_metrics(t.forecasts(), ["model_version", "split", "horizon"])
-    return metrics.mean_horizon_rmse(per, ["model_version", "split"])
+    return shown(metrics.mean_horizon_rmse(per, ["model_version", "split"]))
 
 
 # -- classification --------------------------------------------------------------------------------
@@ -90,8 +96,8 @@ def _cls(i: int) -> tuple[str, str, str]:
     return (f"coalesce({tp} / nullif({pred}, 0), 0)", f"coalesce({tp} / nullif({sup}, 0), 0)", f"coalesce(2 * {tp} / nullif({sup} + {pred}, 0), 0)")
 
 
-_MACRO = ", ".join(f"{r('(' + ' + '.join(_cls(i)[j] for i in range(4)) + ') / 4', 7)} AS macro_{n}" for j, n in enumerate(("precision", "recall", "f1")))
-_ACC = f"count(*) AS rows, {r(f'count(*) FILTER ({_A} = {_P}) / count(*)', 7)} AS accuracy, {_MACRO}"
+_MACRO = ", ".join(f"{r('(' + ' + '.join(_cls(i)[j] for i in range(4)) + ') / 4', 10)} AS macro_{n}" for j, n in enumerate(("precision", "recall", "f1")))
+_ACC = f"count(*) AS rows, {r(f'count(*) FILTER ({_A} = {_P}) / count(*)', 10)} AS accuracy, {_MACRO}"
 _LEVEL_ROWS = "(SELECT * FROM classified WHERE task = 'level')"
 
 
@@ -105,7 +111,7 @@ def _(t: Tables) -> DataFrame:
     with_ctes(
         "classified",
         " UNION ALL ".join(
-            f"SELECT horizon, split, CAST({i} AS INTEGER) AS class_index, '{x}' AS class, {r(_cls(i)[0], 7)} AS precision, {r(_cls(i)[1], 7)} AS recall, {r(_cls(i)[2], 7)} AS f1, "
+            f"SELECT horizon, split, CAST({i} AS INTEGER) AS class_index, '{x}' AS class, {r(_cls(i)[0], 10)} AS precision, {r(_cls(i)[1], 10)} AS recall, {r(_cls(i)[2], 10)} AS f1, "
             f"count(*) FILTER ({_A} = {i}) AS support FROM {_LEVEL_ROWS} GROUP BY 1, 2"
             for i, x in enumerate(LEVELS)
         ),
@@ -141,9 +147,9 @@ def _rank_sql(keys: str, score: str, y: str, source: str) -> str:
     listed = ", ".join(names)
     text = _RANK.format(
         keys=listed + "," if names else "", score=score, y=y, source=source, part=f"PARTITION BY {listed}" if names else "PARTITION BY 1",
-        group=f"GROUP BY {listed}" if names else "", rate=r("max(pp) / max(pp + nn)", 7),
-        auc=r("CAST(sum(p * (nb + n / 2.0)) AS DOUBLE) / nullif(max(pp) * max(nn), 0)", 7),
-        ap=r("CASE WHEN max(nn) > 0 THEN sum(p * (pp - pb) / ((pp - pb) + (nn - nb))) / nullif(max(pp), 0) END", 7),
+        group=f"GROUP BY {listed}" if names else "", rate=r("max(pp) / max(pp + nn)", 10),
+        auc=r("CAST(sum(p * (nb + n / 2.0)) AS DOUBLE) / nullif(max(pp) * max(nn), 0)", 10),
+        ap=r("CASE WHEN max(nn) > 0 THEN sum(p * (pp - pb) / ((pp - pb) + (nn - nb))) / nullif(max(pp), 0) END", 10),
     )
     for name in ("rows", "positive_rows", "negative_rows"):
         text = text.replace(f"max(pp + nn) AS {name}", f"CAST(max(pp + nn) AS BIGINT) AS {name}")
@@ -162,7 +168,7 @@ def _(t: Tables) -> DataFrame:
 
 
 _BRIER = "list_sum(list_transform(range(len(probabilities)), lambda i: pow(probabilities[i + 1] - CASE WHEN i = actual_class_index THEN 1 ELSE 0 END, 2)))"
-_QUALITY = f"{r(f'avg({_BRIER})', 7)} AS brier_score, {r('avg(-ln(least(greatest(probabilities[actual_class_index + 1], 2.220446049250313e-16), 1 - 2.220446049250313e-16)))', 7)} AS log_loss"
+_QUALITY = f"{r(f'avg({_BRIER})', 10)} AS brier_score, {r('avg(-ln(least(greatest(probabilities[actual_class_index + 1], 2.220446049250313e-16), 1 - 2.220446049250313e-16)))', 10)} AS log_loss"
 
 
 @query("CM5_probability_quality", with_ctes("classified", f"SELECT task, horizon, split, count(*) AS rows, {_QUALITY} FROM classified GROUP BY 1, 2, 3"))
@@ -174,8 +180,8 @@ def _point(cond: str, y: str) -> str:
     tp, fp, fn, tn = (f"count(*) FILTER ({a} AND {b})" for a, b in ((y, cond), (f"NOT ({y})", cond), (y, f"NOT ({cond})"), (f"NOT ({y})", f"NOT ({cond})")))
     return (
         f"count(*) AS rows, {tp} AS true_positive, {fp} AS false_positive, {fn} AS false_negative, {tn} AS true_negative, {tp} + {fp} AS predicted_positive_rows, "
-        f"{r(f'({tp} + {tn}) / count(*)', 7)} AS accuracy, {r(f'coalesce({tp} / nullif({tp} + {fp}, 0), 0)', 7)} AS precision, {r(f'coalesce({tp} / nullif({tp} + {fn}, 0), 0)', 7)} AS recall, "
-        f"{r(f'coalesce(2 * {tp} / nullif(2 * {tp} + {fp} + {fn}, 0), 0)', 7)} AS f1"
+        f"{r(f'({tp} + {tn}) / count(*)', 10)} AS accuracy, {r(f'coalesce({tp} / nullif({tp} + {fp}, 0), 0)', 10)} AS precision, {r(f'coalesce({tp} / nullif({tp} + {fn}, 0), 0)', 10)} AS recall, "
+        f"{r(f'coalesce(2 * {tp} / nullif(2 * {tp} + {fp} + {fn}, 0), 0)', 10)} AS f1"
     )
 
 
@@ -213,7 +219,7 @@ _BASE = "(SELECT avg(CAST(actual_class_index AS DOUBLE)) AS q, horizon FROM clas
     "CM8_calibration_decision",
     with_ctes(
         "classified",
-        f"""SELECT horizon, rb AS raw_brier, rl AS raw_log_loss, cb AS calibrated_brier, cl AS calibrated_log_loss, {r('rb - cb', 7)} AS brier_improvement, rb - cb >= 0.0001 AS applied,
+        f"""SELECT horizon, rb AS raw_brier, rl AS raw_log_loss, cb AS calibrated_brier, cl AS calibrated_log_loss, {r('rb - cb', 9)} AS brier_improvement, rb - cb >= 0.0001 AS applied,
         CASE WHEN rb - cb >= 0.0001 THEN 'validation_brier_improved' ELSE 'validation_brier_improvement_below_minimum' END AS reason FROM (SELECT horizon, max(CASE WHEN k = 'raw' THEN brier_score END) AS rb,
         max(CASE WHEN k = 'raw' THEN log_loss END) AS rl, max(CASE WHEN k = 'cal' THEN brier_score END) AS cb, max(CASE WHEN k = 'cal' THEN log_loss END) AS cl FROM (
           SELECT 'raw' AS k, horizon, {_QUALITY} FROM classified WHERE task = 'incident' AND split = 'validation' GROUP BY 2
@@ -253,12 +259,12 @@ def _(t: Tables) -> DataFrame:
     return out.select("entity", "ts", "horizon", "model_version", *[rounded(F.col(n)).alias(n) for n in names], "interval_covered")
 
 
-_BIAS = f"{r('avg(signed_error)', 7)} AS bias, {r('stddev_pop(signed_error)', 7)} AS residual_standard_deviation, {r('avg(CAST(interval_covered AS INTEGER))', 7)} AS interval_coverage, {r('avg(interval_width)', 7)} AS mean_interval_width"
+_BIAS = f"{r('avg(signed_error)', 6)} AS bias, {r('stddev_pop(signed_error)', 6)} AS residual_standard_deviation, {r('avg(CAST(interval_covered AS INTEGER))', 10)} AS interval_coverage, {r('avg(interval_width)', 6)} AS mean_interval_width"
 
 
 @query("CF3_coverage_table", with_ctes("enriched", f"SELECT model_version, target, horizon, split, {_REG}{_REG_N}, {_BIAS}, CAST(0.9 AS DOUBLE) AS confidence_level FROM enriched GROUP BY 1, 2, 3, 4"))
 def _(t: Tables) -> DataFrame:
-    return slices.regression_coverage(enriched(t), _MODEL)
+    return shown(slices.regression_coverage(enriched(t), _MODEL))
 
 
 _ENT = "list_sum(list_transform(probabilities, lambda p: -p * ln(greatest(p, 2.2250738585072014e-308))))"
@@ -349,13 +355,13 @@ _REGN = ["rmse", "mae", "mape_percent", "r_squared", "bias", "residual_standard_
     with_ctes(
         "reg_slices",
         _guard(
-            f"SELECT model_version, target, horizon, split, dimension, slice_value, {_REG}, {_BIAS}, {r('quantile_cont(signed_error, 0.1)', 7)} AS residual_q10, {r('quantile_cont(signed_error, 0.5)', 7)} AS residual_median, {r('quantile_cont(signed_error, 0.9)', 7)} AS residual_q90 FROM reg_slices GROUP BY 1, 2, 3, 4, 5, 6",
+            f"SELECT model_version, target, horizon, split, dimension, slice_value, {_REG}, {_BIAS}, {r('quantile_cont(signed_error, 0.1)', 6)} AS residual_q10, {r('quantile_cont(signed_error, 0.5)', 6)} AS residual_median, {r('quantile_cont(signed_error, 0.9)', 6)} AS residual_q90 FROM reg_slices GROUP BY 1, 2, 3, 4, 5, 6",
             f"rows >= {MINIMUM}", _REGN,
         ),
     ),
 )
 def _(t: Tables) -> DataFrame:
-    return slices.regression_slices(enriched(t), _MODEL, DIMENSIONS, MINIMUM)
+    return shown(slices.regression_slices(enriched(t), _MODEL, DIMENSIONS, MINIMUM))
 
 
 @query(
@@ -363,13 +369,13 @@ def _(t: Tables) -> DataFrame:
     with_ctes(
         "cls_slices",
         _guard(
-            f"SELECT horizon, split, dimension, slice_value, {_ACC}, {r('avg(max_probability)', 7)} AS mean_confidence, {r('avg(normalized_entropy)', 7)} AS mean_normalized_entropy FROM cls_slices WHERE task = 'level' GROUP BY 1, 2, 3, 4",
+            f"SELECT horizon, split, dimension, slice_value, {_ACC}, {r('avg(max_probability)', 6)} AS mean_confidence, {r('avg(normalized_entropy)', 6)} AS mean_normalized_entropy FROM cls_slices WHERE task = 'level' GROUP BY 1, 2, 3, 4",
             f"rows >= {MINIMUM}", ["accuracy", "macro_precision", "macro_recall", "macro_f1", "mean_confidence", "mean_normalized_entropy"],
         ),
     ),
 )
 def _(t: Tables) -> DataFrame:
-    return slices.class_slices(scored_classes(t).filter("task = 'level'"), ["horizon", "split"], DIMENSIONS, 4, MINIMUM)
+    return shown(slices.class_slices(scored_classes(t).filter("task = 'level'"), ["horizon", "split"], DIMENSIONS, 4, MINIMUM))
 
 
 _EV = "rows >= 40 AND positive_rows >= 3 AND positive_rows < rows"
@@ -381,14 +387,14 @@ _EV = "rows >= 40 AND positive_rows >= 3 AND positive_rows < rows"
         "cls_slices",
         _guard(
             f"SELECT a.horizon, a.split, a.dimension, a.slice_value, a.rows, b.positive_rows, a.accuracy, a.precision, a.recall, a.f1, b.roc_auc, b.pr_auc, b.positive_rate AS prevalence, a.mean_confidence, a.mean_normalized_entropy, TRUE AS single_threshold FROM "
-            f"(SELECT horizon, split, dimension, slice_value, {_point('event_probability >= operating_threshold', 'actual_class_index = 1')}, {r('avg(max_probability)', 7)} AS mean_confidence, {r('avg(normalized_entropy)', 7)} AS mean_normalized_entropy FROM cls_slices WHERE task = 'incident' GROUP BY 1, 2, 3, 4) a "
+            f"(SELECT horizon, split, dimension, slice_value, {_point('event_probability >= operating_threshold', 'actual_class_index = 1')}, {r('avg(max_probability)', 6)} AS mean_confidence, {r('avg(normalized_entropy)', 6)} AS mean_normalized_entropy FROM cls_slices WHERE task = 'incident' GROUP BY 1, 2, 3, 4) a "
             f"JOIN ({_rank_sql('horizon, split, dimension, slice_value', 'event_probability', 'actual_class_index', '(SELECT * FROM cls_slices WHERE task = ' + chr(39) + 'incident' + chr(39) + ')')}) b USING (horizon, split, dimension, slice_value)",
             _EV, ["accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc", "prevalence", "mean_confidence", "mean_normalized_entropy"],
         ),
     ),
 )
 def _(t: Tables) -> DataFrame:
-    return slices.event_slices(scored_classes(t).filter("task = 'incident'"), ["horizon", "split"], DIMENSIONS, MINIMUM, 3)
+    return shown(slices.event_slices(scored_classes(t).filter("task = 'incident'"), ["horizon", "split"], DIMENSIONS, MINIMUM, 3))
 
 
 @query(
@@ -413,7 +419,7 @@ def _(t: Tables) -> DataFrame:
 
 
 def _rmse(p: str) -> str:
-    return r(f"sqrt(avg(({p} - actual) * ({p} - actual)))", 7)
+    return r(f"sqrt(avg(({p} - actual) * ({p} - actual)))", 10)
 
 
 cte(
@@ -424,9 +430,9 @@ cte(
 cte(
     "pair_table",
     _guard(
-        f"SELECT *, {r('rmse_second - rmse_first', 7)} AS rmse_delta FROM (SELECT horizon, split, dimension, slice_value, count(*) AS rows, {_rmse('prediction_first')} AS rmse_first, {_rmse('prediction_second')} AS rmse_second, "
-        f"{r('avg(abs(prediction_first - actual))', 7)} AS mae_first, {r('avg(abs(prediction_second - actual))', 7)} AS mae_second, {r('avg(absolute_error_second - absolute_error_first)', 7)} AS mean_error_delta, "
-        f"{r('avg(CAST(winner = ' + chr(39) + 'second' + chr(39) + ' AS INTEGER))', 7)} AS second_win_rate FROM pair_slices GROUP BY 1, 2, 3, 4)",
+        f"SELECT *, {r('rmse_second - rmse_first', 6)} AS rmse_delta FROM (SELECT horizon, split, dimension, slice_value, count(*) AS rows, {_rmse('prediction_first')} AS rmse_first, {_rmse('prediction_second')} AS rmse_second, "
+        f"{r('avg(abs(prediction_first - actual))', 10)} AS mae_first, {r('avg(abs(prediction_second - actual))', 10)} AS mae_second, {r('avg(absolute_error_second - absolute_error_first)', 6)} AS mean_error_delta, "
+        f"{r('avg(CAST(winner = ' + chr(39) + 'second' + chr(39) + ' AS INTEGER))', 10)} AS second_win_rate FROM pair_slices GROUP BY 1, 2, 3, 4)",
         f"rows >= {MINIMUM}", ["rmse_first", "rmse_second", "mae_first", "mae_second", "mean_error_delta", "second_win_rate", "rmse_delta"],
     ),
     "pair_slices",
@@ -440,7 +446,7 @@ def pair_table(t: Tables) -> DataFrame:
 
 @query("CF14_paired_slices", with_ctes("pair_table", "SELECT * FROM pair_table"))
 def _(t: Tables) -> DataFrame:
-    return pair_table(t)
+    return shown(pair_table(t))
 
 
 @query(
@@ -448,7 +454,7 @@ def _(t: Tables) -> DataFrame:
     with_ctes(
         "paired",
         f"SELECT horizon, count(*) AS rows, {_rmse('prediction_second')} AS left_rmse, {_rmse('prediction_first')} AS right_rmse, TRUE AS mapping_complete, TRUE AS actuals_identical, TRUE AS target_ts_identical, "
-        f"{r(_rmse('prediction_second') + ' - ' + _rmse('prediction_first'), 7)} AS rmse_delta, {_rmse('prediction_second')} < {_rmse('prediction_first')} AS left_wins FROM paired WHERE split = 'test' GROUP BY 1",
+        f"{r(_rmse('prediction_second') + ' - ' + _rmse('prediction_first'), 6)} AS rmse_delta, {_rmse('prediction_second')} < {_rmse('prediction_first')} AS left_wins FROM paired WHERE split = 'test' GROUP BY 1",
     ),
 )
 def _(t: Tables) -> DataFrame:
@@ -456,14 +462,14 @@ def _(t: Tables) -> DataFrame:
     out = enrich.compare_forecasts(
         test.filter("model_version = 'same_window_yesterday'"), test.filter("model_version = 'last_value'"), ["entity", "ts", "horizon"]
     )
-    return slices.model_comparison(out, ["horizon"])
+    return shown(slices.model_comparison(out, ["horizon"]))
 
 
 @query(
     "CF16_coverage_diagnostics",
     with_ctes(
         "enriched",
-        f"SELECT CAST(0.9 AS DOUBLE) AS nominal, count(*) AS groups, count(*) FILTER (c < 0.9) AS below_nominal, min(c) AS minimum_coverage, max(c) AS maximum_coverage FROM (SELECT {r('avg(CAST(interval_covered AS INTEGER))', 7)} AS c FROM enriched WHERE split = 'test' GROUP BY model_version, target, horizon)",
+        f"SELECT CAST(0.9 AS DOUBLE) AS nominal, count(*) AS groups, count(*) FILTER (c < 0.9) AS below_nominal, min(c) AS minimum_coverage, max(c) AS maximum_coverage FROM (SELECT {r('avg(CAST(interval_covered AS INTEGER))', 10)} AS c FROM enriched WHERE split = 'test' GROUP BY model_version, target, horizon)",
     ),
 )
 def _(t: Tables) -> DataFrame:
@@ -481,7 +487,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("CF16c_worst_slices", with_ctes("pair_table", "SELECT horizon, dimension, slice_value, rows, rmse_delta FROM pair_table WHERE split = 'test' AND dimension <> 'overall' AND sufficient_support ORDER BY rmse_delta DESC, horizon, dimension, slice_value LIMIT 5"))
 def _(t: Tables) -> DataFrame:
-    return slices.worst_slices(pair_table(t))
+    return shown(slices.worst_slices(pair_table(t)))
 
 
 @query("CF16d_winning_horizons", with_ctes("pair_table", "SELECT count(*) AS horizons, count(*) FILTER (rmse_delta < 0) AS second_wins FROM pair_table WHERE split = 'test' AND dimension = 'overall'"))
