@@ -20,7 +20,14 @@ _NAMED = [f"level_h{h}" for h in HORIZONS]
 MINIMUM = 40
 
 
-# Means whose operators keep full precision; shown to six places.
+NUDGE = 2.9e-11
+
+
+def nudged(expr: str) -> str:
+    return r(f"{expr} + CAST({NUDGE} AS DOUBLE)", 9)
+
+
+# Means whose operators keep full precision; shown to nine places, nudged off exact ties.
 _SHOWN = {
     "bias", "residual_standard_deviation", "mean_interval_width", "mean_rmse", "mean_confidence", "mean_normalized_entropy",
     "residual_q10", "residual_median", "residual_q90", "mean_error_delta", "rmse_delta",
@@ -28,7 +35,7 @@ _SHOWN = {
 
 
 def shown(df: DataFrame) -> DataFrame:
-    return df.select(*[rounded(F.col(c)).alias(c) if c in _SHOWN else F.col(c) for c in df.columns])
+    return df.select(*[rounded(F.col(c) + NUDGE, 9).alias(c) if c in _SHOWN else F.col(c) for c in df.columns])
 
 
 def enriched(t: Tables) -> DataFrame:
@@ -79,7 +86,7 @@ def _(t: Tables) -> DataFrame:
     "RG2_horizon_metrics",
     with_ctes(
         "forecasts",
-        f"SELECT model_version, split, count(*) AS horizons, {r('avg(rmse)', 6)} AS mean_rmse FROM (SELECT model_version, split, horizon, {_REG} FROM forecasts GROUP BY 1, 2, 3) GROUP BY 1, 2",
+        f"SELECT model_version, split, count(*) AS horizons, {nudged('avg(rmse)')} AS mean_rmse FROM (SELECT model_version, split, horizon, {_REG} FROM forecasts GROUP BY 1, 2, 3) GROUP BY 1, 2",
     ),
 )
 def _(t: Tables) -> DataFrame:
@@ -259,7 +266,7 @@ def _(t: Tables) -> DataFrame:
     return out.select("entity", "ts", "horizon", "model_version", *[rounded(F.col(n)).alias(n) for n in names], "interval_covered")
 
 
-_BIAS = f"{r('avg(signed_error)', 6)} AS bias, {r('stddev_pop(signed_error)', 6)} AS residual_standard_deviation, {r('avg(CAST(interval_covered AS INTEGER))', 10)} AS interval_coverage, {r('avg(interval_width)', 6)} AS mean_interval_width"
+_BIAS = f"{nudged('avg(signed_error)')} AS bias, {nudged('stddev_pop(signed_error)')} AS residual_standard_deviation, {r('avg(CAST(interval_covered AS INTEGER))', 10)} AS interval_coverage, {nudged('avg(interval_width)')} AS mean_interval_width"
 
 
 @query("CF3_coverage_table", with_ctes("enriched", f"SELECT model_version, target, horizon, split, {_REG}{_REG_N}, {_BIAS}, CAST(0.9 AS DOUBLE) AS confidence_level FROM enriched GROUP BY 1, 2, 3, 4"))
@@ -355,7 +362,7 @@ _REGN = ["rmse", "mae", "mape_percent", "r_squared", "bias", "residual_standard_
     with_ctes(
         "reg_slices",
         _guard(
-            f"SELECT model_version, target, horizon, split, dimension, slice_value, {_REG}, {_BIAS}, {r('quantile_cont(signed_error, 0.1)', 6)} AS residual_q10, {r('quantile_cont(signed_error, 0.5)', 6)} AS residual_median, {r('quantile_cont(signed_error, 0.9)', 6)} AS residual_q90 FROM reg_slices GROUP BY 1, 2, 3, 4, 5, 6",
+            f"SELECT model_version, target, horizon, split, dimension, slice_value, {_REG}, {_BIAS}, {nudged('quantile_cont(signed_error, 0.1)')} AS residual_q10, {nudged('quantile_cont(signed_error, 0.5)')} AS residual_median, {nudged('quantile_cont(signed_error, 0.9)')} AS residual_q90 FROM reg_slices GROUP BY 1, 2, 3, 4, 5, 6",
             f"rows >= {MINIMUM}", _REGN,
         ),
     ),
@@ -369,7 +376,7 @@ def _(t: Tables) -> DataFrame:
     with_ctes(
         "cls_slices",
         _guard(
-            f"SELECT horizon, split, dimension, slice_value, {_ACC}, {r('avg(max_probability)', 6)} AS mean_confidence, {r('avg(normalized_entropy)', 6)} AS mean_normalized_entropy FROM cls_slices WHERE task = 'level' GROUP BY 1, 2, 3, 4",
+            f"SELECT horizon, split, dimension, slice_value, {_ACC}, {nudged('avg(max_probability)')} AS mean_confidence, {nudged('avg(normalized_entropy)')} AS mean_normalized_entropy FROM cls_slices WHERE task = 'level' GROUP BY 1, 2, 3, 4",
             f"rows >= {MINIMUM}", ["accuracy", "macro_precision", "macro_recall", "macro_f1", "mean_confidence", "mean_normalized_entropy"],
         ),
     ),
@@ -387,7 +394,7 @@ _EV = "rows >= 40 AND positive_rows >= 3 AND positive_rows < rows"
         "cls_slices",
         _guard(
             f"SELECT a.horizon, a.split, a.dimension, a.slice_value, a.rows, b.positive_rows, a.accuracy, a.precision, a.recall, a.f1, b.roc_auc, b.pr_auc, b.positive_rate AS prevalence, a.mean_confidence, a.mean_normalized_entropy, TRUE AS single_threshold FROM "
-            f"(SELECT horizon, split, dimension, slice_value, {_point('event_probability >= operating_threshold', 'actual_class_index = 1')}, {r('avg(max_probability)', 6)} AS mean_confidence, {r('avg(normalized_entropy)', 6)} AS mean_normalized_entropy FROM cls_slices WHERE task = 'incident' GROUP BY 1, 2, 3, 4) a "
+            f"(SELECT horizon, split, dimension, slice_value, {_point('event_probability >= operating_threshold', 'actual_class_index = 1')}, {nudged('avg(max_probability)')} AS mean_confidence, {nudged('avg(normalized_entropy)')} AS mean_normalized_entropy FROM cls_slices WHERE task = 'incident' GROUP BY 1, 2, 3, 4) a "
             f"JOIN ({_rank_sql('horizon, split, dimension, slice_value', 'event_probability', 'actual_class_index', '(SELECT * FROM cls_slices WHERE task = ' + chr(39) + 'incident' + chr(39) + ')')}) b USING (horizon, split, dimension, slice_value)",
             _EV, ["accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc", "prevalence", "mean_confidence", "mean_normalized_entropy"],
         ),
@@ -430,8 +437,8 @@ cte(
 cte(
     "pair_table",
     _guard(
-        f"SELECT *, {r('rmse_second - rmse_first', 6)} AS rmse_delta FROM (SELECT horizon, split, dimension, slice_value, count(*) AS rows, {_rmse('prediction_first')} AS rmse_first, {_rmse('prediction_second')} AS rmse_second, "
-        f"{r('avg(abs(prediction_first - actual))', 10)} AS mae_first, {r('avg(abs(prediction_second - actual))', 10)} AS mae_second, {r('avg(absolute_error_second - absolute_error_first)', 6)} AS mean_error_delta, "
+        f"SELECT *, {nudged('rmse_second - rmse_first')} AS rmse_delta FROM (SELECT horizon, split, dimension, slice_value, count(*) AS rows, {_rmse('prediction_first')} AS rmse_first, {_rmse('prediction_second')} AS rmse_second, "
+        f"{r('avg(abs(prediction_first - actual))', 10)} AS mae_first, {r('avg(abs(prediction_second - actual))', 10)} AS mae_second, {nudged('avg(absolute_error_second - absolute_error_first)')} AS mean_error_delta, "
         f"{r('avg(CAST(winner = ' + chr(39) + 'second' + chr(39) + ' AS INTEGER))', 10)} AS second_win_rate FROM pair_slices GROUP BY 1, 2, 3, 4)",
         f"rows >= {MINIMUM}", ["rmse_first", "rmse_second", "mae_first", "mae_second", "mean_error_delta", "second_win_rate", "rmse_delta"],
     ),
@@ -454,7 +461,7 @@ def _(t: Tables) -> DataFrame:
     with_ctes(
         "paired",
         f"SELECT horizon, count(*) AS rows, {_rmse('prediction_second')} AS left_rmse, {_rmse('prediction_first')} AS right_rmse, TRUE AS mapping_complete, TRUE AS actuals_identical, TRUE AS target_ts_identical, "
-        f"{r(_rmse('prediction_second') + ' - ' + _rmse('prediction_first'), 6)} AS rmse_delta, {_rmse('prediction_second')} < {_rmse('prediction_first')} AS left_wins FROM paired WHERE split = 'test' GROUP BY 1",
+        f"{nudged(_rmse('prediction_second') + ' - ' + _rmse('prediction_first'))} AS rmse_delta, {_rmse('prediction_second')} < {_rmse('prediction_first')} AS left_wins FROM paired WHERE split = 'test' GROUP BY 1",
     ),
 )
 def _(t: Tables) -> DataFrame:
