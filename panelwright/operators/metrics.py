@@ -41,7 +41,7 @@ def regression_metrics(df: DataFrame, keys: Sequence[str], actual: str = "actual
 
 def mean_horizon_rmse(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean of the horizon RMSEs per group."""
-    return metrics.groupBy(*keys).agg(F.count(F.lit(1)).alias("horizons"), rounded(F.avg("rmse"), 8).alias("mean_rmse"))
+    return metrics.groupBy(*keys).agg(F.count(F.lit(1)).alias("horizons"), F.avg("rmse").alias("mean_rmse"))
 
 
 # -- multiclass ------------------------------------------------------------------------------------

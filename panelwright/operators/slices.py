@@ -121,7 +121,7 @@ def paired_slices(paired: DataFrame, keys: Sequence[str], dimensions: Sequence[s
         F.avg("error_delta").alias("mean_error_delta"),
         rounded(F.avg((F.col("winner") == "second").cast("int")), 10).alias("second_win_rate"),
     )
-    out = out.withColumn("rmse_delta", rounded(F.col("rmse_second") - F.col("rmse_first"), 8))
+    out = out.withColumn("rmse_delta", F.col("rmse_second") - F.col("rmse_first"))
     values = [c for c in out.columns if c not in (*keys, *SLICE, "rows")]
     return out.withColumns(supported(values, F.col("rows") >= minimum_rows))
 
@@ -136,7 +136,7 @@ def model_comparison(compared: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.every("same_actual").alias("actuals_identical"), F.every("same_target_ts").alias("target_ts_identical"),
     )
     return out.withColumns(
-        {"rmse_delta": rounded(F.col("left_rmse") - F.col("right_rmse"), 8), "left_wins": F.col("left_rmse") < F.col("right_rmse")}
+        {"rmse_delta": F.col("left_rmse") - F.col("right_rmse"), "left_wins": F.col("left_rmse") < F.col("right_rmse")}
     )
 
 
