@@ -9,7 +9,7 @@ from ..functions.scalars import rounded
 from ..operators import enrich, metrics, slices, uncertainty
 from .frames import HORIZONS, LEVELS, Tables
 from .registry import query
-from .sql import cte, r, with_ctes
+from .sql import NUDGE, cte, nudged, r, with_ctes
 
 _KEY = ["entity", "ts"]
 
@@ -20,13 +20,6 @@ _NAMED = [f"level_h{h}" for h in HORIZONS]
 MINIMUM = 40
 
 
-NUDGE = 2.9e-11
-
-
-def nudged(expr: str) -> str:
-    return r(f"{expr} + CAST({NUDGE} AS DOUBLE)", 9)
-
-
 # Means whose operators keep full precision; shown to nine places, nudged off exact ties.
 _SHOWN = {
     "bias", "residual_standard_deviation", "mean_interval_width", "mean_rmse", "mean_confidence", "mean_normalized_entropy",

@@ -5,13 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.scalars import rounded
 from .frames import Tables
+from .sql import NUDGE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def tidy(df: DataFrame) -> DataFrame:
+    """All doubles shown to nine places, off exact ties."""
+    return df.select(*[rounded(F.col(c) + NUDGE, 9).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name`` with an optional SQL twin."""
 

@@ -33,6 +33,14 @@ def r(expr: str, digits: int = 6) -> str:
     return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0)"
 
 
+# Shown means are moved off exact decimal ties before rounding, alike in Spark and SQL.
+NUDGE = 2.9e-11
+
+
+def nudged(expr: str) -> str:
+    return r(f"{expr} + CAST({NUDGE} AS DOUBLE)", 9)
+
+
 GRP = (
     "CASE WHEN {0} IN ('click','view') THEN 'browse' "
     "WHEN {0} IN ('purchase','signup') THEN 'convert' ELSE 'ops' END"
