@@ -75,12 +75,30 @@ def ranked_values(
     groups: Sequence[str],
     value: str,
     ranks: Callable[[Column], Column],
+    bounded_groups: bool = False,
 ) -> DataFrame:
     """Value at each wanted 1-based rank; ``ranks(n)`` gives an array of BIGINT ranks.
 
-    Returns ``groups, n, rank, value``.  Only bins holding a wanted rank are sorted.
+    Returns ``groups, n, rank, value``.  Only bins holding a wanted rank are sorted.  With
+    ``bounded_groups`` (groups fixed by configuration, such as column names) the wanted bins are a
+    table of at most groups x ranks rows: it is broadcast, and all other rows are dropped before
+    any shuffle.  Otherwise distinct values shuffle once, map-side combined.
     """
-    distinct, bins = _binned(df, groups, value, {"rows": F.lit(1)})
+    bounded = bounded_groups or not groups
+    if bounded:
+        rows = df.filter(F.col(value).isNotNull()).select(
+            *groups, value, value_bin(F.col(value).cast("double")).alias("_bin")
+        )
+        sums = rows.groupBy(*groups, "_bin").agg(F.count(F.lit(1)).alias("_in_rows"))
+        earlier = Window.partitionBy(*groups).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        bins = sums.withColumns(
+            {
+                "_before_rows": F.coalesce(F.sum("_in_rows").over(earlier), F.lit(0)),
+                "total_rows": F.sum("_in_rows").over(Window.partitionBy(*groups)),
+            }
+        )
+    else:
+        distinct, bins = _binned(df, groups, value, {"rows": F.lit(1)})
     wanted = bins.withColumn("_ranks", F.array_distinct(ranks(F.col("total_rows"))))
     wanted = wanted.withColumn(
         "_ranks",
@@ -89,13 +107,17 @@ def ranked_values(
             lambda r: (r > F.col("_before_rows")) & (r <= F.col("_before_rows") + F.col("_in_rows")),
         ),
     ).filter(F.size("_ranks") > 0)
-    inside = (
-        Window.partitionBy(*groups, "_bin")
-        .orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    upto = F.col("_before_rows") + F.sum("rows").over(inside)
-    kept = distinct.join(wanted, [*groups, "_bin"]).withColumn("_upto", upto)
+    by = [*groups, "_bin"]
+    if bounded:
+        carried = ["_before_rows", "total_rows", "_ranks"]
+        kept = rows.join(F.broadcast(wanted.select(*by, *carried)), by)
+        kept = kept.groupBy(*by, value).agg(
+            F.count(F.lit(1)).alias("rows"), *[F.any_value(c).alias(c) for c in carried]
+        )
+    else:
+        kept = distinct.join(wanted, by)
+    inside = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    kept = kept.withColumn("_upto", F.col("_before_rows") + F.sum("rows").over(inside))
     return kept.select(
         *groups,
         F.col("total_rows").alias("n"),
@@ -107,7 +129,7 @@ def ranked_values(
 
 
 def quantiles(
-    df: DataFrame, groups: Sequence[str], value: str, probs: dict[str, float]
+    df: DataFrame, groups: Sequence[str], value: str, probs: dict[str, float], bounded_groups: bool = False
 ) -> DataFrame:
     """Linear-interpolated exact quantiles, one column per name in ``probs``."""
 
@@ -123,7 +145,7 @@ def quantiles(
             wanted += [low(n, p), F.least(low(n, p) + 1, n)]
         return F.array(*wanted)
 
-    rows = ranked_values(df, groups, value, ranks)
+    rows = ranked_values(df, groups, value, ranks, bounded_groups)
     n = F.col("n")
     columns = []
     for name, p in probs.items():

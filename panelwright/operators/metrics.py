@@ -170,7 +170,8 @@ def operating_metrics(df: DataFrame, keys: Sequence[str], score: str, actual: st
 def threshold_table(df: DataFrame, keys: Sequence[str], score: str, actual: str, candidates: int, default: float) -> DataFrame:
     """Precision, recall and F1 at every candidate: evenly spaced score quantiles and a default.
 
-    Candidate quantiles come from exact ranks; counts at a candidate come from per-candidate
+    Candidates are rounded to 12 places, so that interpolation noise cannot put one a hair above the
+    score it stands for.  Candidate quantiles come from exact ranks; counts at a candidate come from per-candidate
     conditional sums, reached by counting each score into the highest candidate it meets.
     """
     steps = candidates - 1
@@ -194,7 +195,10 @@ def threshold_table(df: DataFrame, keys: Sequence[str], score: str, actual: str,
 
     cuts = F.array_sort(
         F.array_distinct(
-            F.concat(F.transform(F.sequence(F.lit(0), F.lit(steps)), quantile), F.array(F.lit(float(default))))
+            F.concat(
+                F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.round(quantile(i), 12)),
+                F.array(F.lit(float(default))),
+            )
         )
     )
     tables = values.select(*keys, cuts.alias("_cuts"))

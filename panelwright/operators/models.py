@@ -299,6 +299,8 @@ def gradient_descent(
     gram[d, d] = 1.0
     cross = np.array([m[f"xy{i}"] / n for i in range(d)] + [m["y"] / n])
     theta, previous, stale = np.zeros(d + 1), None, 0
+    # Rounding of a loss rebuilt from sums of squares.
+    noise = 1e-12 * max(1.0, m["yy"] / n)
     for step in range(max_iterations + 1):
         pull = gram @ theta
         loss = float(theta @ pull - 2 * theta @ cross + m["yy"] / n)
@@ -306,7 +308,7 @@ def gradient_descent(
             raise FloatingPointError("Descent left the finite range; lower the learning rate")
         if previous is not None:
             gain, scale = previous - loss, max(1.0, abs(previous))
-            if gain < -tolerance * scale:
+            if gain < -(tolerance * scale + noise):
                 raise FloatingPointError("Loss increased; lower the learning rate")
             stale = stale + 1 if gain <= tolerance * scale else 0
             if stale >= patience:

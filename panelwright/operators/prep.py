@@ -60,7 +60,7 @@ def fit_numeric(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     An all-missing column is imputed with 0.
     """
     long = unpivoted(train, columns)
-    medians = quantiles(long, ["column"], "value", {"m": 0.5})
+    medians = quantiles(long, ["column"], "value", {"m": 0.5}, bounded_groups=True)
     every = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
     medians = every.join(medians, "column", "left").select("column", F.coalesce("m", F.lit(0.0)).alias("median"))
     filled = long.join(medians, "column").withColumn("v", F.coalesce("value", "median"))

@@ -146,7 +146,7 @@ def descriptive_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             )
         ).alias("skewness"),
     )
-    cuts = quantiles(long, ["column"], "value", {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    cuts = quantiles(long, ["column"], "value", {"q25": 0.25, "median": 0.5, "q75": 0.75}, bounded_groups=True)
     cuts = cuts.select("column", *[rounded(F.col(c)).alias(c) for c in ("q25", "median", "q75")])
     return moments.join(cuts, "column", "left")
 

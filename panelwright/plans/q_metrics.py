@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keyed import durable
 from ..functions.scalars import rounded
 from ..operators import enrich, metrics, slices, uncertainty
 from .frames import HORIZONS, LEVELS, Tables
@@ -31,15 +32,16 @@ def shown(df: DataFrame) -> DataFrame:
     return df.select(*[rounded(F.col(c) + NUDGE, 9).alias(c) if c in _SHOWN else F.col(c) for c in df.columns])
 
 
-def enriched(t: Tables) -> DataFrame:
-    preds = t.forecasts()
-    out = enrich.attach_width(preds, uncertainty.conformal_widths(preds, 0.9), uncertainty.CALIBRATION_KEY)
+def enriched(t: Tables, preds: DataFrame | None = None, widths: DataFrame | None = None) -> DataFrame:
+    preds = t.forecasts() if preds is None else preds
+    widths = uncertainty.conformal_widths(preds, 0.9) if widths is None else widths
+    out = enrich.attach_width(preds, widths, uncertainty.CALIBRATION_KEY)
     out = out.withColumns(uncertainty.interval_columns())
     return enrich.add_context(out, t.context(), _KEY, _NAMED, "horizon")
 
 
-def scored_classes(t: Tables) -> DataFrame:
-    out = t.classified().withColumns(uncertainty.confidence_columns())
+def scored_classes(t: Tables, classes: DataFrame | None = None) -> DataFrame:
+    out = (t.classified() if classes is None else classes).withColumns(uncertainty.confidence_columns())
     band = uncertainty.risk_band(F.col("event_probability"), F.col("operating_threshold"))
     return enrich.add_context(out.withColumn("risk_band", band), t.context(), _KEY, _NAMED, "horizon")
 
@@ -361,7 +363,7 @@ _REGN = ["rmse", "mae", "mape_percent", "r_squared", "bias", "residual_standard_
     ),
 )
 def _(t: Tables) -> DataFrame:
-    return shown(slices.regression_slices(enriched(t), _MODEL, DIMENSIONS, MINIMUM))
+    return shown(slices.regression_slices(durable(enriched(t)), _MODEL, DIMENSIONS, MINIMUM))
 
 
 @query(
@@ -394,7 +396,7 @@ _EV = "rows >= 40 AND positive_rows >= 3 AND positive_rows < rows"
     ),
 )
 def _(t: Tables) -> DataFrame:
-    return shown(slices.event_slices(scored_classes(t).filter("task = 'incident'"), ["horizon", "split"], DIMENSIONS, MINIMUM, 3))
+    return shown(slices.event_slices(durable(scored_classes(t).filter("task = 'incident'")), ["horizon", "split"], DIMENSIONS, MINIMUM, 3))
 
 
 @query(
@@ -504,8 +506,8 @@ def _(t: Tables) -> DataFrame:
     ),
 )
 def _(t: Tables) -> DataFrame:
-    preds = t.forecasts()
-    widths = uncertainty.conformal_widths(preds, 0.9)
-    return slices.analysis_checks(preds, enriched(t), scored_classes(t), t.classified(), widths)
+    preds, classes = durable(t.forecasts()), durable(t.classified())
+    widths = durable(uncertainty.conformal_widths(preds, 0.9))
+    return slices.analysis_checks(preds, enriched(t, preds, widths), scored_classes(t, classes), classes, widths)
 
 

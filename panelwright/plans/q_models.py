@@ -219,7 +219,7 @@ def _(t: Tables) -> DataFrame:
 
 
 _CUTS = "[" + ", ".join(f"CAST({i / 200!r} AS DOUBLE)" for i in range(201)) + "]"
-cte("cuts200", f"SELECT lang, list_sort(list_distinct(list_append(quantile_cont(score, {_CUTS}), CAST(0.5 AS DOUBLE)))) AS ts FROM scored GROUP BY 1", "scored")
+cte("cuts200", f"SELECT lang, list_sort(list_distinct(list_append(list_transform(quantile_cont(score, {_CUTS}), lambda x: round(x, 12)), CAST(0.5 AS DOUBLE)))) AS ts FROM scored GROUP BY 1", "scored")
 cte(
     "threshold_rows",
     f"""SELECT lang, {r('t', 10)} AS threshold, {r('coalesce(tp / nullif(tp + fp, 0), 0)', 10)} AS precision, {r('coalesce(tp / nullif(p, 0), 0)', 10)} AS recall, {r('coalesce(2 * tp / nullif(tp + fp + p, 0), 0)', 10)} AS f1, tp + fp AS predicted_positive_rows

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..functions.keyed import durable
 from ..functions.order_stats import quantiles
 from ..operators import aggregates as ag
 from ..operators import clean, metrics, registry, slices, uncertainty
@@ -459,7 +460,7 @@ def _(t: Tables) -> DataFrame:
     ),
 )
 def _(t: Tables) -> DataFrame:
-    batch = _served(t)
+    batch = durable(_served(t))
     wanted = batch.agg(F.count(F.lit(1))).scalar()
     return registry.output_contract(batch, ["load"], LEVELS, ["load_model_version", *_VERSIONS], wanted)
 

@@ -74,11 +74,12 @@ def test_value_bin_is_monotone(spark):
     assert bins == sorted(bins)
 
 
-def test_quantiles_match_numpy(spark):
+@pytest.mark.parametrize("bounded", [False, True])
+def test_quantiles_match_numpy(spark, bounded):
     rng = np.random.default_rng(3)
     rows = [("a", float(v)) for v in rng.normal(0, 10, 501)] + [("b", float(v)) for v in rng.integers(0, 4, 200)] + [("c", 7.0)]
     probs = {"q0": 0.0, "q10": 0.1, "q50": 0.5, "q90": 0.9, "q100": 1.0}
-    got = {r["g"]: r for r in quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", probs).collect()}
+    got = {r["g"]: r for r in quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", probs, bounded).collect()}
     for g in "abc":
         mine = [v for k, v in rows if k == g]
         for name, p in probs.items():
