@@ -63,8 +63,12 @@ def complete_grid(
     Static fields are back-filled per entity from its own observed rows.
     """
     step = F.expr(f"INTERVAL '{spec.cadence_minutes}' MINUTE")
-    kept = [F.first(c, ignorenulls=True).alias(c) for c in static]
-    entities = df.groupBy(spec.entity).agg(*kept) if kept else df.select(spec.entity).distinct()
+    # Distinct combinations hash-aggregate map-side; picking a text value needs a sort, so it runs
+    # on these few rows only.
+    entities = df.select(spec.entity, *static).distinct()
+    if static:
+        kept = [F.first(c, ignorenulls=True).alias(c) for c in static]
+        entities = entities.groupBy(spec.entity).agg(*kept)
     cells = entities.select(spec.entity, *static, F.explode(F.sequence(start, end, step)).alias(spec.ts))
     facts = df.drop(*static).withColumn("_present", F.lit(True))
     joined = cells.join(facts, [spec.entity, spec.ts], "left")
