@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed import durable
 from ..functions.scalars import is_blank
-from ..operators import clean, contracts as c
+from ..operators import clean, features
+from ..operators import contracts as c
 from .frames import SPEC, Tables
 from .registry import query
 from .sql import cte, with_ctes
@@ -341,6 +342,8 @@ def _(t: Tables) -> DataFrame:
     only_duplicate = F.array_contains("_reject", "duplicate_key")
     facts = c.valid_rows(marked).select("entity", "ts", "volume").withColumn("grp", F.lit("all"))
     grid = clean.complete_grid(facts, SPEC, ["grp"], **clean.day_bounds(facts, SPEC))
+    made = features.add_history(grid, SPEC, features.FeaturePlan(measures=("volume",)))
+    done = features.add_targets(made, SPEC, (("volume", "volume", "regression", None),), (1,))
     hourly, daily = t.hourly(), t.daily()
     labelled = clean.canonical_labels(hourly, "condition", clean.CONDITION_MAP)
     keyed = grid.groupBy("entity", "ts").agg(n.alias("k")).join(daily.select(F.col("date").alias("d")), F.to_date("ts") == F.col("d"), "left")
@@ -359,8 +362,10 @@ def _(t: Tables) -> DataFrame:
             "merge", merged, output=n, duplicates=F.sum(F.col("k") - 1),
             hourly_missing=F.count_if(F.col("h").isNull()), daily_missing=F.count_if(F.col("d").isNull()),
         ),
-        _counter("feature", grid, input=n, output=n),
-        _counter("processed", grid, input=n, output=n),
+        _counter("feature", grid, input=n),
+        _counter("feature", made, output=n),
+        _counter("processed", made, input=n),
+        _counter("processed", done, output=n),
     ]
     return c.reconcile(reduce(DataFrame.unionByName, parts))
 
