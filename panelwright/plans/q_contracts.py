@@ -337,7 +337,7 @@ def _counter(stage: str, frame: DataFrame, **values: Column) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     n = F.count(F.lit(1))
-    marked = c.annotate(t.raw(), RAW)
+    marked = durable(c.annotate(t.raw(), RAW))
     ok = F.size("_reject") == 0
     only_duplicate = F.array_contains("_reject", "duplicate_key")
     facts = c.valid_rows(marked).select("entity", "ts", "volume").withColumn("grp", F.lit("all"))
