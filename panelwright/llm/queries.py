@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, url_filter
+from . import iblt, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -71,3 +71,8 @@ FROM pages JOIN h ON coalesce(pages.url, '') = h.url LEFT JOIN fit ON h.url = fi
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [url_filter.place_rule(*r) for r in PLACE_RULES] + list(url_filter.METHOD_RULES)
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op8_document_fingerprints")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.compare_edits(table(spark, sf_dir, "documents"))
