@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import iblt, sharding, url_filter
+from . import decontaminate, iblt, pieces_bpe, sharding, token_counts, toxicity, url_filter
+
+#: Folder of the public tokenizers' files; the path of a file is a parameter of its operator.
+TOKENIZERS = "/opt/tokenizers"
+PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,8 +33,6 @@ def query(name: str, sql: str | None = None):
 
 @query("op2_sharding")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=40)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -76,3 +79,41 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_document_fingerprints")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.compare_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op1_token_counts")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.with_token_counts(docs, token_counts.ranked_unigram(PIECE_MODEL)).select("doc_id", "n_tokens")
+
+
+def hex_digest(text: Column) -> Column:
+    """Lowercase hex sha256 of a string column's UTF-8 bytes."""
+    return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
+@query("op4_sentencepiece_codec")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces_bpe.Vocabulary.load(PIECE_MODEL)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = pieces_bpe.encode(docs, vocabulary).drop("text")
+    decoded = pieces_bpe.decode(encoded, vocabulary)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        hex_digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
+        hex_digest(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = toxicity.fold(F.col("doc_id"))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=fold != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query("op10_benchmark_decontamination")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
