@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, iblt, pieces_bpe, sharding, token_counts, toxicity, url_filter
+from . import decontaminate, iblt, ngram_join, pieces_bpe, sharding, token_counts, toxicity, url_filter
 
 #: Folder of the public tokenizers' files; the path of a file is a parameter of its operator.
 TOKENIZERS = "/opt/tokenizers"
@@ -117,3 +117,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_benchmark_decontamination")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_ngram_jaccard_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))

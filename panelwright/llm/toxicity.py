@@ -178,8 +178,8 @@ def sampled_labels(labels: DataFrame, usable: Column, bounds: Sample) -> list[tu
     chosen = []
     for kind, most in ((1, bounds.toxic), (0, bounds.ordinary)):
         rows = usable_rows.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most + bounds.calibration).collect()
-        # The last third of a short list, or what exceeds the bound, calibrates.
-        first = max(min(most, len(rows) - bounds.calibration), 2 * len(rows) // 3)
+        # The last fifth of a short list, or what exceeds the bound, calibrates.
+        first = max(min(most, len(rows) - bounds.calibration), 4 * len(rows) // 5)
         chosen += [(r["doc_id"], kind, i >= min(first, most)) for i, r in enumerate(rows)]
     return chosen
 
