@@ -146,3 +146,23 @@ def same_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.nd
 def string_array(buffer: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """Arrow strings over a byte buffer."""
     return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(np.ascontiguousarray(buffer).tobytes())).cast(pa.string())
+
+
+def spaced(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts, each followed by one blank: bytes, word starts and ends, words before each text."""
+    data = np.insert(buffer, offsets[1:], 0x20)
+    inked = ~_SPACE[data]
+    keep = inked.copy()
+    keep[1:] |= inked[:-1]
+    after = keep & ~inked
+    before = np.concatenate([[0], np.cumsum(after)[offsets[1:] + np.arange(len(offsets) - 1)]])
+    clean = np.where(inked, data, np.uint8(0x20))[keep]
+    ends = np.flatnonzero(clean == 0x20)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    return clean, starts, ends, before
+
+
+def covered(total: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Which of ``total`` places lie in some range [lo, hi)."""
+    change = np.bincount(lo, minlength=total + 1)[: total + 1].astype(np.int64) - np.bincount(hi, minlength=total + 1)[: total + 1]
+    return np.cumsum(change)[:total] > 0
