@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, iblt, ngram_join, pieces_bpe, sharding, substring, token_counts, toxicity, url_filter
+from . import decontaminate, iblt, ngram_join, pieces_bpe, sharding, substring, suffix_dedup, token_counts, toxicity, url_filter
 
 #: Folder of the public tokenizers' files; the path of a file is a parameter of its operator.
 TOKENIZERS = "/opt/tokenizers"
@@ -128,3 +128,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), k=13)
     return kept.select("doc_id", "n_words", "n_removed", hex_digest(F.col("kept_text")).alias("kept_sha256"))
+
+
+@query("op9_suffix_array_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), k=200)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
