@@ -51,7 +51,11 @@ def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: the session's, or a local one where none is set (tests)."""
+    """Folder all executors can reach: the session's ``spark.checkpoint.dir``.
+
+    A local session without one gets a temporary folder; on a cluster that would be another machine's
+    disk, so there it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
@@ -61,6 +65,8 @@ def shared_dir(spark: SparkSession) -> str:
     existing = context.getCheckpointDir()
     if existing:
         return existing
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="panelwright-")
     context.setCheckpointDir(local)
     return local

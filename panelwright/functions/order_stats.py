@@ -19,16 +19,23 @@ _OFFSET = 2_000_000
 
 
 def value_bin(value: Column) -> Column:
-    """Monotone integer bin of a finite number."""
+    """Monotone integer bin of a number; the infinities have the first and the last bin."""
     magnitude = F.floor(F.log2(F.abs(value)) * _PER_OCTAVE) + _OFFSET
     return (
-        F.when(value > 0, magnitude).when(value < 0, -magnitude).otherwise(F.lit(0)).cast("long")
+        F.when(value == F.lit(float("inf")), F.lit(1 << 62))
+        .when(value == F.lit(float("-inf")), F.lit(-(1 << 62)))
+        .when(value > 0, magnitude).when(value < 0, -magnitude).otherwise(F.lit(0)).cast("long")
     )
 
 
+def _counted(value: str) -> Column:
+    """Nulls and NaN have no place in an order and take no part."""
+    return F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+
+
 def _binned(df: DataFrame, groups: Sequence[str], value: str, sums: dict[str, Column]):
     distinct = (
-        df.filter(F.col(value).isNotNull())
+        df.filter(_counted(value))
         .groupBy(*groups, value)
         .agg(*[F.sum(expr).alias(name) for name, expr in sums.items()])
         .withColumn("_bin", value_bin(F.col(value).cast("double")))
@@ -86,7 +93,7 @@ def ranked_values(
     """
     bounded = bounded_groups or not groups
     if bounded:
-        rows = df.filter(F.col(value).isNotNull()).select(
+        rows = df.filter(_counted(value)).select(
             *groups, value, value_bin(F.col(value).cast("double")).alias("_bin")
         )
         sums = rows.groupBy(*groups, "_bin").agg(F.count(F.lit(1)).alias("_in_rows"))
@@ -152,7 +159,8 @@ def quantiles(
         lower = F.max(F.when(F.col("rank") == low(n, p), F.col("value")))
         upper = F.max(F.when(F.col("rank") == F.least(low(n, p) + 1, n), F.col("value")))
         share = F.max(place(n, p) - F.floor(place(n, p)))
-        columns.append((lower + (upper - lower) * share).alias(name))
+        # Equal neighbours, infinite ones too, are the quantile itself.
+        columns.append(F.when(lower == upper, lower).otherwise(lower + (upper - lower) * share).alias(name))
     return rows.groupBy(*groups).agg(*columns)
 
 

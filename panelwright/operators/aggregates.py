@@ -171,6 +171,12 @@ def top_features(importance: DataFrame, task: str, horizon: int, n: int = 15) ->
     return kept.orderBy("rank", "feature").limit(n)
 
 
+def top_features_by_task(importance: DataFrame, keys: Sequence[str], n: int = 15) -> DataFrame:
+    """The first ``n`` features of every task at once."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("rank", "feature"))
+    return importance.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
+
+
 def half_hour_profile(df: DataFrame, entity: str, ts: str, measures: Sequence[str]) -> DataFrame:
     return df.groupBy(entity, F.date_format(ts, "HH:mm").alias("time_of_day")).agg(*[F.avg(m).alias(f"mean_{m}") for m in measures])
 

@@ -16,30 +16,11 @@ from pyspark.sql import functions as F
 from ..functions.keyed import attach_by_key, settle
 from ..functions.scalars import array_sum, is_blank, json_text, to_number
 from ..functions.windows import PanelSpec, over_chunks, plus_steps
-from .clean import calendar
 
 # Dispositions and reason codes of the ledger.
 CELL = "cell_invalidated"
 ROW = "row_rejected"
 DATASET = "dataset_rejected"
-REASONS = (
-    "missing_required_column",
-    "unexpected_column",
-    "missing_key",
-    "invalid_timestamp",
-    "duplicate_key",
-    "invalid_type",
-    "missing_value",
-    "invalid_category",
-    "negative_traffic_volume",
-    "excessive_speed",
-    "invalid_occupancy",
-    "invalid_json",
-    "invalid_flag",
-    "invalid_numeric_range",
-    "missing_flag_name",
-    "unexpected_flag_name",
-)
 
 _FINDING = (
     "struct<field:string,rejected_value:string,reason_code:string,disposition:string,message:string,"
@@ -530,11 +511,16 @@ def incomplete_timestamps(df: DataFrame, spec: PanelSpec) -> DataFrame:
 
 
 def calendar_differences(df: DataFrame, spec: PanelSpec, start: Column, end: Column) -> DataFrame:
-    """Timestamps missing from or beyond the configured calendar."""
-    wanted = calendar(df, spec, start, end)
-    present = df.select(spec.ts).distinct()
-    missing = wanted.join(present, spec.ts, "left_anti").withColumn("problem", F.lit("missing"))
-    return missing.unionByName(present.join(wanted, spec.ts, "left_anti").withColumn("problem", F.lit("unexpected")))
+    """Per entity, timestamps missing from or beyond the configured calendar.
+
+    Each entity makes its own calendar by a generator; nothing is paired with every timestamp.
+    """
+    keys = [spec.entity, spec.ts]
+    present = df.select(*keys).distinct()
+    step = F.expr(f"INTERVAL {spec.cadence_minutes} MINUTES")
+    wanted = df.select(spec.entity).distinct().select(spec.entity, F.explode(F.sequence(start, end, step)).alias(spec.ts))
+    missing = wanted.join(present, keys, "left_anti").withColumn("problem", F.lit("missing"))
+    return missing.unionByName(present.join(wanted, keys, "left_anti").withColumn("problem", F.lit("unexpected")))
 
 
 def changed_rows(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import Estimator, Model
 from pyspark.ml import classification as mlc
 from pyspark.ml import regression as mlr
@@ -103,8 +104,8 @@ def fold_scores(
             model = build(spec).fit(train)
             found = score(model, mine.filter("role = 'validation'")).first()
             return {**record, "metrics": {k: float(v) for k, v in found.asDict().items() if v is not None}}
-        except Exception as error:  # noqa: BLE001 - recorded as evidence
-            return {**record, "status": "failed", "error": f"{type(error).__name__}: {error}"[:500], "metrics": {}}
+        except (IllegalArgumentException, AnalysisException, ValueError) as error:  # the estimator refused; lost executors still raise
+            return {**record, "status": "failed", "error": f"{type(error).__name__}: {error}", "metrics": {}}
 
     with ThreadPoolExecutor(threads) as pool:
         records = list(pool.map(one, [(c, f) for c in candidates for f in folds]))
@@ -161,14 +162,18 @@ def choose_across_families(table: DataFrame, keys: Sequence[str], validation: st
 
 @dataclass(frozen=True)
 class SigmoidCalibrator:
-    """One logistic curve per class over its score, renormalised over classes."""
+    """One logistic curve per class over its score, renormalised over classes.
+
+    ``entries`` are the places (from 1) in the score array that the curves read.
+    """
 
     curves: tuple[tuple[float, float], ...]
+    entries: tuple[int, ...]
 
     def transform(self, df: DataFrame, scores: str, out: str = "probabilities") -> DataFrame:
         raw = [
-            F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) * F.element_at(scores, i + 1) + F.lit(b))))
-            for i, (a, b) in enumerate(self.curves)
+            F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) * F.element_at(scores, i) + F.lit(b))))
+            for i, (a, b) in zip(self.entries, self.curves, strict=True)
         ]
         if len(raw) == 1:
             return df.withColumn(out, F.array(F.lit(1.0) - raw[0], raw[0]))
@@ -190,11 +195,7 @@ def fit_sigmoid(df: DataFrame, scores: str, label: str, classes: int) -> Sigmoid
         )
         fit = mlc.LogisticRegression(maxIter=50).fit(one)
         curves.append((float(fit.coefficients[0]), float(fit.intercept)))
-    if classes == 2:
-        # A single curve reads entry 2 of the score pair.
-        a, b = curves[0]
-        return SigmoidCalibrator(((a, b),))
-    return SigmoidCalibrator(tuple(curves))
+    return SigmoidCalibrator(tuple(curves), tuple(range(1, classes + 1)) if classes > 2 else (2,))
 
 
 # -- importance ------------------------------------------------------------------------------------

@@ -88,8 +88,8 @@ def event_slices(df: DataFrame, keys: Sequence[str], dimensions: Sequence[str],
         F.avg("normalized_entropy").alias("mean_normalized_entropy"),
     )
     joined = point.select(*by, "rows", "accuracy", "precision", "recall", "f1").join(
-        ranking.select(*by, "positive_rows", "roc_auc", "pr_auc", F.col("positive_rate").alias("prevalence")), by
-    ).join(spread, by)
+        ranking.select(*by, "positive_rows", "roc_auc", "pr_auc", F.col("positive_rate").alias("prevalence")), by, "left"
+    ).join(spread, by).withColumn("positive_rows", F.coalesce("positive_rows", F.lit(0).cast("long")))
     enough = (F.col("rows") >= minimum_rows) & (F.col("positive_rows") >= minimum_positives) & (F.col("positive_rows") < F.col("rows"))
     values = [c for c in joined.columns if c not in (*by, "rows", "positive_rows", "_lo", "_hi")]
     return joined.withColumns(supported(values, enough)).withColumn("single_threshold", F.col("_lo") == F.col("_hi")).drop("_lo", "_hi")

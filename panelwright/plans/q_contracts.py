@@ -428,14 +428,15 @@ def _(t: Tables) -> DataFrame:
     "VA24b_calendar_differences",
     with_ctes(
         "observed steps",
-        "SELECT ts, 'missing' AS problem FROM steps WHERE ts NOT IN (SELECT ts FROM observed WHERE entity = 'click') UNION ALL "
-        "SELECT ts, 'unexpected' FROM observed WHERE entity = 'click' AND ts NOT IN (SELECT ts FROM steps)",
+        "SELECT e.entity, s.ts, 'missing' AS problem FROM steps s CROSS JOIN (SELECT DISTINCT entity FROM observed) e "
+        "WHERE NOT EXISTS (SELECT 1 FROM observed o WHERE o.entity = e.entity AND o.ts = s.ts) UNION ALL "
+        "SELECT entity, ts, 'unexpected' FROM observed WHERE ts NOT IN (SELECT ts FROM steps)",
     ),
 )
 def _(t: Tables) -> DataFrame:
     seen = t.observed()
     bounds = clean.day_bounds(seen, SPEC)
-    return c.calendar_differences(seen.filter("entity = 'click'"), SPEC, **bounds)
+    return c.calendar_differences(seen, SPEC, **bounds)
 
 
 @query(

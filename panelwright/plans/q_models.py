@@ -90,7 +90,8 @@ def _(t: Tables) -> DataFrame:
     )
     spec = models.Candidate("linear_default", "linear_regression", {"solver": "normal"})
     parts = []
-    for flag in ("A", "N", "R"):
+    # One fit per flag of the data; a flag is a one-letter code, so its list is short.
+    for flag in sorted(x[0] for x in t.lineitem.select("l_returnflag").distinct().collect()):
         fit = models.build_regressor(spec).fit(lines.filter(F.col("l_returnflag") == flag))
         parts.append((flag, round(float(fit.coefficients[0]), 3), round(float(fit.intercept), 2)))
     return t.spark.createDataFrame(parts, "l_returnflag string, slope double, intercept double")
@@ -151,7 +152,7 @@ def _(t: Tables) -> DataFrame:
     rows = prepared(t, "load")
     placed = durable(splits.fold_rows(rows, "ts", _folds(t)))
     specs = [_SPECS["linear"], _SPECS["tree"], models.Candidate("broken", "decision_tree", {"maxDepth": 99})]
-    out = models.fold_scores(placed, specs, [1, 2, 3, 4, 5], models.regression_score, models.build_regressor, budget=96)
+    out = models.fold_scores(placed, specs, [1, 2, 3, 4, 5], models.regression_score, models.build_regressor)
     return out.select("candidate_id", "family", "fold", "status", "error", F.element_at("metrics", "rmse").alias("rmse"))
 
 
@@ -198,10 +199,8 @@ def _calibrated(t: Tables) -> tuple[DataFrame, DataFrame]:
     model = models.build_classifier(_CLASSIFIERS["tree"], 2).fit(models.weighted(rows.filter("split = 'train'")))
     valid = splits.calibration_halves(rows.filter("split = 'validation'"), "ts")
     scored = durable(models.class_scores(model.transform(valid), 2, "scores").select("entity", "ts", "half", "label", "scores"))
-    # One curve over the positive class's score.
-    positive = scored.withColumn("positive", F.array(F.element_at("scores", 2)))
     curve = models.fit_sigmoid(scored.filter("half = 'fit'"), "scores", "label", 2)
-    return scored.filter("half = 'assess'"), curve.transform(positive.filter("half = 'assess'"), "positive")
+    return scored.filter("half = 'assess'"), curve.transform(scored.filter("half = 'assess'"), "scores")
 
 
 @query("ML14_sigmoid_calibration")
@@ -253,7 +252,7 @@ def _(t: Tables) -> DataFrame:
 @query("ML18_regression_scoring")
 def _(t: Tables) -> DataFrame:
     parts = []
-    for h in (1, 4):
+    for h in HORIZONS:
         rows = prepared(t, "load", h)
         model = models.build_regressor(_SPECS["tree"]).fit(rows.filter("split = 'train'"))
         parts.append(models.regression_rows(model.transform(rows.filter("split <> 'train'")), f"load_h{h}", "load", h, "tree_v1"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
@@ -162,18 +162,24 @@ def _(t: Tables) -> DataFrame:
 
 
 def _importance(t: Tables) -> DataFrame:
-    parts = [
-        ag.target_correlations(_lines(t).withColumn("chosen", F.col("l_returnflag") == flag), _FEATS, "total", "chosen").select(
-            F.lit("total").alias("task"), F.lit(h).alias("horizon"), "feature", "rank", F.abs("correlation").alias("importance")
-        )
-        for h, flag in enumerate("ANR", start=1)
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Importance per flag (the task) and feature: absolute correlations in one aggregation over all flags."""
+    lines = _lines(t).groupBy(F.col("l_returnflag").alias("task")).agg(*[F.abs(F.corr(f, "total")).alias(f) for f in _FEATS])
+    long = lines.select("task", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("importance")) for f in _FEATS])).alias("x"))
+    place = F.row_number().over(Window.partitionBy("task").orderBy(F.col("x.importance").desc(), "x.feature"))
+    return long.select("task", F.lit(1).alias("horizon"), "x.feature", place.cast("int").alias("rank"), "x.importance")
 
 
-@query("AG11_top_features", with_ctes("lines", f"SELECT 'total' AS task, CAST(2 AS INTEGER) AS horizon, feature, CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank, {r('importance', 5)} AS importance FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, abs(corr({f}, total) FILTER (l_returnflag = 'N')) AS importance FROM lines" for f in _FEATS) + ") ORDER BY importance DESC, feature LIMIT 2"))
+@query(
+    "AG11_top_features",
+    with_ctes(
+        "lines",
+        f"SELECT task, CAST(1 AS INTEGER) AS horizon, feature, rank, {r('importance', 5)} AS importance FROM (SELECT *, CAST(row_number() OVER (PARTITION BY task ORDER BY importance DESC, feature) AS INTEGER) AS rank FROM ("
+        + " UNION ALL ".join(f"SELECT l_returnflag AS task, '{f}' AS feature, abs(corr({f}, total)) AS importance FROM lines GROUP BY 1" for f in _FEATS)
+        + ")) WHERE rank <= 2",
+    ),
+)
 def _(t: Tables) -> DataFrame:
-    return _five(ag.top_features(_importance(t), "total", 2, 2), "importance")
+    return _five(ag.top_features_by_task(_importance(t), ["task", "horizon"], 2), "importance")
 
 
 @query("AG12_half_hour_profile", with_ctes("clean", f"SELECT entity, time_of_day, {_n('mean_load', 'mean_speed')} FROM (SELECT entity, strftime(ts, '%H:%M') AS time_of_day, avg(load) AS mean_load, avg(speed) AS mean_speed FROM clean GROUP BY 1, 2)"))
@@ -295,10 +301,10 @@ def _(t: Tables) -> DataFrame:
     return tidy(ag.latest_window_rmse(paired(t), ["entity", "horizon"], "ts"))
 
 
-@query("AG21_priority_queue", with_ctes("batch", "SELECT entity, ts, horizon, event_probability, prediction FROM batch ORDER BY event_probability DESC, prediction DESC, entity, ts, horizon LIMIT 200"))
+@query("AG21_priority_queue", with_ctes("batch", "SELECT entity, ts, horizon, event_probability, prediction FROM batch ORDER BY event_probability DESC, prediction DESC, entity, ts, horizon"))
 def _(t: Tables) -> DataFrame:
     batch = _batch(t).withColumn("tie", F.struct("entity", "ts", "horizon"))
-    return ag.priority_queue(batch, "event_probability", "prediction", "tie", 200).select("entity", "ts", "horizon", "event_probability", "prediction")
+    return ag.priority_queue(batch, "event_probability", "prediction", "tie").select("entity", "ts", "horizon", "event_probability", "prediction")
 
 
 @query(
@@ -511,9 +517,9 @@ def _(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-@query("SO2_mixed_direction_sort", "SELECT o_orderkey, o_totalprice, o_orderdate FROM orders ORDER BY o_totalprice DESC, o_orderdate, o_orderkey LIMIT 1000")
+@query("SO2_mixed_direction_sort", "SELECT o_orderkey, o_totalprice, o_orderdate FROM orders ORDER BY o_totalprice DESC, o_orderdate, o_orderkey")
 def _(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", "o_totalprice", "o_orderdate").orderBy(F.desc("o_totalprice"), F.asc("o_orderdate"), "o_orderkey").limit(1000)
+    return t.orders.select("o_orderkey", "o_totalprice", "o_orderdate").orderBy(F.desc("o_totalprice"), F.asc("o_orderdate"), "o_orderkey")
 
 
 @query(
@@ -578,14 +584,14 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "FN3_math_functions",
-    f"SELECT event_id, {r('sin(value)')} AS sine, {r('cos(value)')} AS cosine, {r('sqrt(value)')} AS root, abs(value - 50) AS distance, {r('ln(value + 1)')} AS log1, CAST(ceil(value) AS BIGINT) AS up, CAST(floor(value) AS BIGINT) AS down, round(value, 1) AS near, "
-    f"least(greatest(value, 10), 100) AS clipped, abs(value - round(value)) <= 0.05 + 1e-5 * abs(round(value)) AS whole, {r('value % 7')} AS rest FROM events WHERE value >= 0".replace("round(value, 1) AS near", "floor(value * 2) / 2 AS near"),
+    f"SELECT event_id, {r('sin(value)')} AS sine, {r('cos(value)')} AS cosine, {r('sqrt(CASE WHEN value >= 0 THEN value END)')} AS root, abs(value - 50) AS distance, {r('ln(CASE WHEN value > -1 THEN value + 1 END)')} AS log1, CAST(ceil(value) AS BIGINT) AS up, CAST(floor(value) AS BIGINT) AS down, round(value, 1) AS near, "
+    f"least(greatest(value, 10), 100) AS clipped, abs(value - round(value)) <= 0.05 + 1e-5 * abs(round(value)) AS whole, {r('value % 7')} AS rest FROM events".replace("round(value, 1) AS near", "floor(value * 2) / 2 AS near"),
 )
 def _(t: Tables) -> DataFrame:
     v = F.col("value")
-    return t.events.filter("value >= 0").select(
-        "event_id", sc.rounded(F.sin(v)).alias("sine"), sc.rounded(F.cos(v)).alias("cosine"), sc.rounded(F.sqrt(v)).alias("root"),
-        F.abs(v - 50).alias("distance"), sc.rounded(F.log(v + 1)).alias("log1"), F.ceil(v).alias("up"), F.floor(v).alias("down"),
+    return t.events.select(
+        "event_id", sc.rounded(F.sin(v)).alias("sine"), sc.rounded(F.cos(v)).alias("cosine"), sc.rounded(F.sqrt(F.when(v >= 0, v))).alias("root"),
+        F.abs(v - 50).alias("distance"), sc.rounded(F.log(F.when(v > -1, v + 1))).alias("log1"), F.ceil(v).alias("up"), F.floor(v).alias("down"),
         (F.floor(v * 2) / 2).alias("near"), F.least(F.greatest(v, F.lit(10.0)), F.lit(100.0)).alias("clipped"),
         sc.close_to(v, F.round(v), 1e-5, 0.05).alias("whole"), sc.rounded(v % 7).alias("rest"),
     )

@@ -123,3 +123,21 @@ def test_significant_text(spark):
 def test_version_paths_are_safe(bad):
     with pytest.raises(ValueError):
         version_path("/tmp/x", bad, "t")
+
+
+def test_quantiles_with_nan_and_infinities(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [("a", v) for v in (5.0, 6.0, 7.0, nan, None)] + [("b", v) for v in (-inf, 1.0, inf)] + [("c", inf), ("c", inf), ("d", nan)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r["m"] for r in quantiles(df, ["g"], "v", {"m": 0.5}).collect()}
+    assert got == {"a": 6.0, "b": 1.0, "c": inf}
+
+
+def test_calibration_keeps_order(spark):
+    from panelwright.operators.models import fit_sigmoid
+
+    rows = [([1 - p / 40, p / 40], float(p > 18 + (p % 5))) for p in range(1, 40)]
+    df = spark.createDataFrame(rows, "scores array<double>, label double")
+    out = fit_sigmoid(df, "scores", "label", 2).transform(df, "scores").collect()
+    positive = [r["probabilities"][1] for r in sorted(out, key=lambda r: r["scores"][1])]
+    assert positive == sorted(positive) and positive[0] < 0.5 < positive[-1]
