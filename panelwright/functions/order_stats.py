@@ -159,8 +159,8 @@ def quantiles(
         lower = F.max(F.when(F.col("rank") == low(n, p), F.col("value")))
         upper = F.max(F.when(F.col("rank") == F.least(low(n, p) + 1, n), F.col("value")))
         share = F.max(place(n, p) - F.floor(place(n, p)))
-        # Equal neighbours, infinite ones too, are the quantile itself.
-        columns.append(F.when(lower == upper, lower).otherwise(lower + (upper - lower) * share).alias(name))
+        # Without anything between two neighbours the lower one is the quantile, infinite ones too.
+        columns.append(F.when((lower == upper) | (share == 0), lower).otherwise(lower + (upper - lower) * share).alias(name))
     return rows.groupBy(*groups).agg(*columns)
 
 
