@@ -6,9 +6,13 @@ group, an hourly and a daily context and prediction tables are derived from it.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.keyed import shared_dir
 from ..functions.windows import PanelSpec
 from ..operators.features import FeaturePlan
 
@@ -28,8 +32,12 @@ def group_of(entity: Column) -> Column:
     return out.otherwise("ops")
 
 
+# Frames stored once per application and data folder: path and schema; bounds by value.
+_STORED: dict[tuple[str, str, str], tuple] = {}
+
+
 class Tables:
-    """Lazy views over one data folder."""
+    """Views over one data folder; frames that many queries start from are derived and stored once."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -44,9 +52,23 @@ class Tables:
             raise AttributeError(name)
         return self.table(name)
 
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A frame stored in the shared folder on first use, so that no query derives it again."""
+        key = (self.spark.sparkContext.applicationId, self.path, name)
+        if key not in _STORED:
+            df = build()
+            path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            _STORED[key] = (path, df.schema)
+        path, schema = _STORED[key]
+        return self.spark.read.schema(schema).parquet(path)
+
     # -- fact panel ---------------------------------------------------------------------
     def observed(self) -> DataFrame:
         """Half-hour panel of observed windows only."""
+        return self.kept("observed", self._observed)
+
+    def _observed(self) -> DataFrame:
         return (
             self.events.groupBy(
                 F.col("event_type").alias("entity"), F.window("ts", "30 minutes").alias("w")
@@ -87,13 +109,18 @@ class Tables:
         """First and last window of the panel's calendar, read off the log itself."""
         from ..operators import clean
 
-        return clean.day_bounds(self.events, SPEC)
+        key = (self.spark.sparkContext.applicationId, self.path, "bounds")
+        if key not in _STORED:
+            found = self.spark.range(1).select(*[c.alias(n) for n, c in clean.day_bounds(self.events, SPEC).items()]).first()
+            _STORED[key] = tuple(found.asDict().items())
+        # A log without rows has no bounds.
+        return {n: F.lit(v).cast("timestamp_ntz") for n, v in _STORED[key]}
 
     def clean(self) -> DataFrame:
         """Gap-free panel, filled from yesterday's window and then at most three steps forward."""
         from ..operators import clean
 
-        return clean.fill_fields(self.grid(), SPEC, ["volume", "speed", "load"], 48, 3)
+        return self.kept("clean", lambda: clean.fill_fields(self.grid(), SPEC, ["volume", "speed", "load"], 48, 3))
 
     def hourly(self) -> DataFrame:
         """Hourly context per group: condition label, temperature, rainfall, visibility."""
@@ -164,25 +191,25 @@ class Tables:
         """Partition bounds over the calendar, which the completed panel fills."""
         from ..operators import clean, splits
 
-        return splits.partition_bounds(clean.calendar(self.events, SPEC, **self.bounds()), "ts")
+        return self.kept("splits", lambda: splits.partition_bounds(clean.calendar(self.events, SPEC, **self.bounds()), "ts"))
 
     def forecasts(self) -> DataFrame:
         """Two baseline forecasters per horizon in long form, with their split."""
         from ..operators import forecasts
 
-        return forecasts.baselines(self.clean(), SPEC, "load", HORIZONS, self.splits())
+        return self.kept("forecasts", lambda: forecasts.baselines(self.clean(), SPEC, "load", HORIZONS, self.splits()))
 
     def context(self) -> DataFrame:
         """Origin-time context of every panel row and the future class per horizon."""
         from ..operators import forecasts
 
-        return forecasts.origin_context(self.clean(), self.hourly(), SPEC, HORIZONS)
+        return self.kept("context", lambda: forecasts.origin_context(self.clean(), self.hourly(), SPEC, HORIZONS))
 
     def classified(self) -> DataFrame:
         """Class probabilities for the level task and the incident task in long form."""
         from ..operators import forecasts
 
-        return forecasts.class_scores(self.clean(), SPEC, HORIZONS, self.splits())
+        return self.kept("classified", lambda: forecasts.class_scores(self.clean(), SPEC, HORIZONS, self.splits()))
 
     def scored(self) -> DataFrame:
         """Labelled documents with a bounded score and two coarse slices."""
