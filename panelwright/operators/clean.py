@@ -55,19 +55,41 @@ def metadata_conflicts(df: DataFrame, spec: PanelSpec, fields: Sequence[str]) ->
     )
 
 
+def grid_problems(df: DataFrame, spec: PanelSpec, static: Sequence[str], entities: int | None = None) -> DataFrame:
+    """What forbids a grid: (problem, entity, n) for repeated keys, conflicting static fields, a wrong entity count."""
+    keys = [spec.entity, spec.ts]
+    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    found = repeated.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("repeated_key").alias("problem"), F.col(spec.entity).cast("string").alias("entity"), "n"
+    )
+    if static:
+        conflicts = metadata_conflicts(df, spec, static).filter(F.col("values") > 1)
+        found = found.unionByName(conflicts.select(
+            F.concat(F.lit("conflicting_"), "field").alias("problem"), F.col(spec.entity).cast("string").alias("entity"), F.col("values").alias("n")
+        ))
+    if entities is not None:
+        count = df.agg(F.count_distinct(spec.entity).alias("n")).filter(F.col("n") != entities)
+        found = found.unionByName(count.select(F.lit("entity_count").alias("problem"), F.lit(None).cast("string").alias("entity"), "n"))
+    return found
+
+
 def complete_grid(
-    df: DataFrame, spec: PanelSpec, static: Sequence[str], start: Column, end: Column
+    df: DataFrame, spec: PanelSpec, static: Sequence[str], start: Column, end: Column,
+    strict: bool = False, entities: int | None = None,
 ) -> DataFrame:
     """Every entity x cadence step; ``inserted`` marks steps without a source row.
 
-    Static fields are back-filled per entity from its own observed rows.
+    Static fields are back-filled per entity from its own observed rows, the smallest value where
+    they differ. ``strict`` refuses panels with ``grid_problems``.
     """
+    if strict and (bad := grid_problems(df, spec, static, entities).limit(5).collect()):
+        raise ValueError("no grid over this panel: " + "; ".join(f"{r['problem']} {r['entity']} ({r['n']})" for r in bad))
     step = F.expr(f"INTERVAL '{spec.cadence_minutes}' MINUTE")
     # Distinct combinations hash-aggregate map-side; picking a text value needs a sort, so it runs
     # on these few rows only.
     entities = df.select(spec.entity, *static).distinct()
     if static:
-        kept = [F.first(c, ignorenulls=True).alias(c) for c in static]
+        kept = [F.min(c).alias(c) for c in static]
         entities = entities.groupBy(spec.entity).agg(*kept)
     cells = entities.select(spec.entity, *static, F.explode(F.sequence(start, end, step)).alias(spec.ts))
     facts = df.drop(*static).withColumn("_present", F.lit(True))

@@ -161,3 +161,18 @@ def test_runs_reset_at_gaps_and_partitions(spark):
     assert inside == [1, 2, 3, 1, 2, 1, 2]
     origins = sequences.eligible_origins(df, spec, 2).orderBy("ts").collect()
     assert len(origins) == 5
+
+
+def test_grid_refuses_bad_panels(spark):
+
+
+    spec = PanelSpec(entity="entity", ts="ts", cadence_minutes=30)
+    rows = [("a", at("01 00:00"), "x", 1), ("a", at("01 00:30"), "y", 2), ("b", at("01 00:00"), "z", 3), ("b", at("01 00:00"), "z", 4)]
+    df = spark.createDataFrame(rows, "entity string, ts timestamp_ntz, grp string, v int")
+    found = {(r["problem"], r["entity"], r["n"]) for r in clean.grid_problems(df, spec, ["grp"], 3).collect()}
+    assert found == {("repeated_key", "b", 1), ("conflicting_grp", "a", 2), ("entity_count", None, 2)}
+    bounds = clean.day_bounds(df, spec)
+    with pytest.raises(ValueError, match="repeated_key"):
+        clean.complete_grid(df, spec, ["grp"], **bounds, strict=True)
+    grid = clean.complete_grid(df.dropDuplicates(["entity", "ts"]), spec, ["grp"], **bounds)
+    assert {(r["entity"], r["grp"]) for r in grid.collect()} == {("a", "x"), ("b", "z")}
