@@ -5,11 +5,12 @@ order (hash order, very common shingles last), and the order is cut into fragmen
 Each fragment counts how many shingles a candidate pair shares inside it; summed over fragments,
 the counts give the overlap. Documents with equal sets are one node, so copies never meet in pairs.
 
-Candidates share a shingle among the first n - ceil(least * n) + 1 of their order, which any two
-sets of the wanted similarity do. A first round counts pairs of neighbours in each posting list,
-enough to join groups of near copies with as many pairs as members; a second round counts every
-candidate pair whose nodes are still in different components, so no link that could join two
-components is lost, and a group doesn't expand into all its pairs.
+Candidates share shingles among the first n - ceil(least * n) + 1 of their order: their first common
+one stands so early that enough can follow, and so many are common there that the rest can reach the
+overlap; two sets of the wanted similarity pass both tests. A first round pairs each
+entry of a posting list with the list's first one of fitting size, and takes pairs that often come up:
+enough to join groups of near copies with as many pairs as members; a second round takes every candidate pair whose nodes are still in different components, so no link
+that could join two components is lost, and a group doesn't expand into all its pairs.
 
 Defined cases: null or empty texts have empty sets and are linked with nothing (a null doc_id is
 given its own component null); a text with fewer than five words has one shingle, all of it;
@@ -22,20 +23,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .decontaminate import shingles
 from .deploy import mapped
 from .flat import mixed, pieces, ragged
-from .store import components, groups_of, pack, stored, unpack
+from .store import by_leading_bits, components, frequent_bits, groups_of, in_table, pack, stored
 
 PERCENT = 80
-#: A shingle in at least one of so many documents goes last in the order; so at most COMMON times
-#: the mean set size are such.
-COMMON = 500
+#: Shingles of more than so many sets go last in the order. Those are looked for among the first
+#: COUNTED percent of each set by hash, where first shingles lie; what is missed costs work only.
+OFTEN = 16
+COUNTED = 30
+TASK_TOKENS = 2_000_000
+#: Sliding rounds pair each list entry with so many that follow it.
+FOLLOWING = 8
+MAX_SLIDING = 6
 BUCKET_BYTES = 4 << 20
 SALTS = 64
+PARTNERS = 500
 #: Candidate tables up to this many rows are hinted for broadcast; beyond it they join by shuffle.
 BROADCAST_ROWS = 300_000
 _U = np.uint64
@@ -59,27 +66,40 @@ def doc_sets(part: pa.RecordBatch) -> list[np.ndarray]:
     return [np.unique(windows[edges[i] : edges[i + 1]]) for i in range(part.num_rows)]
 
 
-def profile(docs: DataFrame, least_share: int) -> DataFrame:
-    """doc_id, n, node of every document, and (token, count) of shingles common in a piece of the input."""
+def profile(docs: DataFrame) -> DataFrame:
+    """doc_id, n (set size) and node of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 sets = doc_sets(part)
-                n = np.array([len(s) for s in sets], np.int64)
-                nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
-                k = len(sets)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), nodes, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=["doc_id", "n", "node", "token", "times"])
-                # Equal sets count once in a piece: copies don't make their shingles common.
-                first = list({node: s for node, s in zip(nodes.to_pylist(), sets, strict=True) if node is not None}.values())
-                if first:
-                    token, times = np.unique(np.concatenate(first), return_counts=True)
-                    often = times >= max(3, len(first) / least_share)
-                    token, times = token[often].view(np.int64), times[often].astype(np.int64)
-                    k = len(token)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(token), pa.array(times)], names=["doc_id", "n", "node", "token", "times"])
-
-    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, node long, token long, times long")
+                nodes = [node_of(s) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "n", "node"])
+
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, node long")
+
+
+def common_shingles(docs: DataFrame, tokens: int) -> np.ndarray:
+    """Bit table of shingles that more than OFTEN sets hold."""
+    parts = 1 << min(12, max(4, (tokens // 4_000_000).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        size = 0
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                for own in doc_sets(part):
+                    # Equal sets count once: copies don't make their shingles common.
+                    if len(own) and (node := node_of(own)) not in held:
+                        held[node] = own[: -(-COUNTED * len(own) // 100)]
+                        size += len(held[node])
+                if size > TASK_TOKENS:
+                    yield by_leading_bits(*np.unique(np.concatenate(list(held.values())), return_counts=True), parts)
+                    held, size = {}, 0
+        if held:
+            yield by_leading_bits(*np.unique(np.concatenate(list(held.values())), return_counts=True), parts)
+
+    return frequent_bits(mapped(docs.select("text"), run, "bucket long, blob binary"), parts, OFTEN + 1)
 
 
 def _bucketed(bucket: np.ndarray, arrays: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -93,10 +113,15 @@ def _bucketed(bucket: np.ndarray, arrays: dict[str, np.ndarray]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int64)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
 
-def postings(docs: DataFrame, common: np.ndarray, buckets: int, percent: int) -> DataFrame:
-    """Posting lists (token, node, n) of first shingles with two nodes or more, and each entry's next neighbour."""
+def postings(docs: DataFrame, table: np.ndarray, buckets: int, percent: int) -> DataFrame:
+    """Posting lists (token, node, n, place) of first shingles with two nodes or more, and each entry's leader:
+    the list's first node that is large enough for it.
+    """
+
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
         for batch in batches:
             for part in pieces(batch, "text", 8 << 20):
                 seen, parts = set(), []
@@ -105,34 +130,47 @@ def postings(docs: DataFrame, common: np.ndarray, buckets: int, percent: int) ->
                     if node is None or node in seen:
                         continue
                     seen.add(node)
-                    late = np.zeros(len(own), bool)
-                    if len(common):
-                        late = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
+                    late = in_table(common, own)
                     first = len(own) - int(needed(len(own), percent)) + 1
                     order = np.concatenate([np.flatnonzero(~late), np.flatnonzero(late)])[:first]
-                    parts.append((own[order], np.full(first, node, np.int64), np.full(first, len(own), np.uint32), late[order]))
+                    parts.append((own[order], np.full(first, node, np.int64), np.full(first, len(own), np.uint32), np.arange(first, dtype=np.uint32), late[order]))
                 if parts:
-                    token, node, n, late = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    token, node, n, place, late = (np.concatenate(x) for x in zip(*parts, strict=True))
                     salt = np.where(late, node.view(np.uint64) % _U(SALTS), _U(0))
                     bucket = (mixed(token + salt * _U(0x9E3779B97F4A7C15)) >> _U(8)) % _U(buckets)
-                    yield _bucketed(bucket.astype(np.int64), {"token": token, "node": node, "n": n, "late": late})
+                    yield _bucketed(bucket.astype(np.int64), {"token": token, "node": node, "n": n, "place": place, "late": late})
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in groups_of(batches, "bucket", "blob"):
-            token, node, n, late = (np.concatenate([b[k] for b in blobs]) for k in ("token", "node", "n", "late"))
+            token, node, n, place, late = (np.concatenate([b[k] for b in blobs]) for k in ("token", "node", "n", "place", "late"))
             order = np.lexsort((node, n, token))
-            token, node, n, late = token[order], node[order], n[order].astype(np.int64), late[order]
+            token, node, n, place, late = token[order], node[order], n[order].astype(np.int64), place[order].astype(np.int64), late[order]
             new = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
-            token, node, n, late = token[new], node[new], n[new], late[new]
+            token, node, n, place, late = token[new], node[new], n[new], place[new], late[new]
             same = token[1:] == token[:-1]
             kept = np.append(False, same) | np.append(same, False) | late
-            near = np.append(same & (n[:-1] * 100 >= percent * n[1:]), False)
-            following = pa.array(np.append(node[1:], 0), mask=~near), pa.array(np.append(n[1:], 0), mask=~near)
-            table = pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(node), pa.array(n), *following], names=["token", "node", "n", "b", "nb"])
+            number = np.cumsum(np.append(True, ~same)) - 1
+            scale = int(n.max()) + 1
+            leader = np.searchsorted(number * scale + n, number * scale + needed(n, percent))
+            alone = leader == np.arange(len(n))
+            lead = pa.array(node[leader], mask=alone), pa.array(n[leader], mask=alone)
+            table = pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(node), pa.array(n), pa.array(place), *lead], names=["token", "node", "n", "place", "lead", "n_lead"])
             yield table.filter(pa.array(kept))
 
     blobs = mapped(docs.select("text"), spread, "bucket long, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return mapped(blobs, lists, "token long, node long, n long, b long, nb long")
+    return mapped(blobs, lists, "token long, node long, n long, place long, lead long, n_lead long")
+
+
+def least_overlap(na: Column, nb: Column, percent: int) -> Column:
+    """Shared members that sets of these sizes need: ceil(percent * (na + nb) / (100 + percent))."""
+    return F.ceil(percent * (na + nb) / F.lit(100 + percent))
+
+
+def enough_in_front(na: Column, nb: Column, percent: int) -> Column:
+    """How many of the first shingles two sets of the wanted similarity have in common at least."""
+    front = lambda n: n - F.ceil(percent * n / F.lit(100)) + 1
+    need = least_overlap(na, nb, percent)
+    return F.greatest(F.lit(1), F.least(need - na + front(na), need - nb + front(nb)))
 
 
 def overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, fragments: int) -> DataFrame:
@@ -141,9 +179,10 @@ def overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, fragments: int)
     ``reps`` has one document (doc_id) for each node. Pairs travel with their second node.
     """
     sides = pairs.select(F.col("b").alias("node"), F.col("a").alias("partner")).union(pairs.select(F.col("a").alias("node"), F.lit(None).cast("long").alias("partner")))
-    # A node's partners are split over rows of at most some hundred.
+    # A node's partners are split over rows of at most PARTNERS.
+    number = F.row_number().over(Window.partitionBy("node").orderBy("partner"))
     wanted = (
-        sides.groupBy("node", F.pmod(F.xxhash64("partner"), F.lit(16)).alias("_part")).agg(F.collect_set("partner").alias("partners"))
+        sides.distinct().withColumn("_part", F.floor((number - 1) / PARTNERS)).groupBy("node", "_part").agg(F.collect_set("partner").alias("partners"))
         .join(reps, "node").select("doc_id", "node", "partners")
     )
     wanted = stored(wanted)
@@ -205,43 +244,111 @@ def linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, fragments: int, p
     return stored(found.where(F.col("shared") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b"))
 
 
+def crossing(lists: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
+    """List entries with their component, of lists that hold two or more; their number and that of crossing pairs."""
+    named = lists.select("token", "node", "n", "place").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = named.groupBy("token", "component").agg(F.count("*").alias("m")).groupBy("token").agg(
+        F.count("*").alias("components"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("inside")
+    ).where("components > 1")
+    sizes = stored(sizes)
+    facts = sizes.agg(F.sum("m").alias("m"), F.sum((F.col("m") * F.col("m") - F.col("inside")) / 2).alias("pairs")).first()
+    return named.join(sizes.select("token"), "token"), facts["m"] or 0, facts["pairs"] or 0
+
+
+def _early(x: str, y: str, percent: int) -> Column:
+    """Whether a shared shingle stands early enough in both sets to be their first common one."""
+    need = least_overlap(F.col(f"{x}.n"), F.col(f"{y}.n"), percent)
+    return F.least(F.col(f"{x}.n") - F.col(f"{x}.place"), F.col(f"{y}.n") - F.col(f"{y}.place")) >= need
+
+
+def sliding_pairs(named: DataFrame, number: int, percent: int) -> DataFrame:
+    """Crossing pairs of each list entry with the FOLLOWING ones in a random order of the nodes."""
+    order = Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(number)), "node")
+    entry = F.struct("node", "n", "place", "component")
+    after = F.array(*[F.lead(entry, k).over(order) for k in range(1, FOLLOWING + 1)])
+    pairs = named.select(entry.alias("x"), after.alias("after")).select("x", F.explode("after").alias("y"))
+    pairs = pairs.where("y is not null and x.component <> y.component")
+    # The smaller set first, as in the other rounds.
+    swap = F.struct(F.col("y.n"), F.col("y.node")) < F.struct(F.col("x.n"), F.col("x.node"))
+    pairs = pairs.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"))
+    return _counted(pairs.where(F.col("x.n") * 100 >= percent * F.col("y.n")), percent, 4)
+
+
+def crossing_pairs(named: DataFrame, percent: int) -> DataFrame:
+    """All candidate pairs of different components."""
+    x, y = named.select("token", F.struct("node", "n", "place", "component").alias("x")), named.select("token", F.struct("node", "n", "place", "component").alias("y"))
+    apart = (F.col("x.component") != F.col("y.component")) & (F.struct("x.n", "x.node") < F.struct("y.n", "y.node")) & (F.col("x.n") * 100 >= percent * F.col("y.n"))
+    return _counted(x.join(y, "token").where(apart), percent, 1)
+
+
+def _counted(pairs: DataFrame, percent: int, slack: int) -> DataFrame:
+    """Distinct pairs whose shared first shingles are early and many enough (by a ``slack``-th)."""
+    return (
+        pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), _early("x", "y", percent).cast("int").alias("early"))
+        .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("times"), F.max("early").alias("early"))
+        .where((F.col("early") == 1) & (F.col("times") * slack >= enough_in_front(F.col("na"), F.col("nb"), percent)))
+        .select("a", "b", "na", "nb")
+    )
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id that links reach) of every document."""
-    both = stored(profile(docs, COMMON))
-    rows = both.where("n is not null").select("doc_id", "n", "node")
-    facts = rows.agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).first()
-    often = max(3, (facts["docs"] or 0) / COMMON)
-    # At most COMMON * (shingles per document) tokens can be so common.
-    common = both.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= often).select("token")
-    common = np.sort(np.array([r["token"] for r in common.collect()], np.int64).view(np.uint64))
-    tokens = facts["tokens"] or 0
-    buckets = max(8, -(-tokens * 21 * (100 - percent) // 100 // BUCKET_BYTES))
+    rows = stored(profile(docs))
+    tokens = rows.agg(F.sum("n").alias("tokens")).first()["tokens"] or 0
+    common = common_shingles(docs, tokens)
+    buckets = max(8, -(-tokens * 25 * (100 - percent) // 100 // BUCKET_BYTES))
     lists = stored(postings(docs, common, buckets, percent))
     reps = stored(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     fragments = max(8, -(-tokens * 10 // BUCKET_BYTES))
     fragments = 1 << (fragments - 1).bit_length()
-    first = stored(lists.where("b is not null").select(F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb").distinct())
+    near = (
+        lists.where("lead is not null").groupBy(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("n_lead").alias("na"), F.col("n").alias("nb")).count()
+        .where(F.col("count") * 2 >= enough_in_front(F.col("na"), F.col("nb"), percent))
+    )
+    first = stored(near.select("a", "b", "na", "nb"))
     links = linked(docs, reps, first, fragments, percent)
     labels = components(links)
-    named = lists.select("token", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    named = named.join(apart, "token")
-    x, y = named.alias("x"), named.alias("y")
-    second = (
-        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component"))
-               & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node"))))
-               & (F.col("x.n") * 100 >= percent * F.col("y.n")))
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
-        .join(first.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    second = stored(second)
+    tried = first.select("a", "b")
+    for number in range(MAX_SLIDING):
+        named, size, apart = crossing(lists, labels)
+        if apart <= 4 * size:
+            break
+        # Groups of similar sets whose leaders didn't link all: each entry tries some that follow it.
+        near = stored(sliding_pairs(named, number, percent).join(tried, ["a", "b"], "left_anti"))
+        more = linked(docs, reps, near, fragments, percent)
+        tried = tried.union(near.select("a", "b"))
+        if not more.limit(1).count():
+            break
+        links = stored(links.union(more))
+        labels = components(links)
+    named, _, _ = crossing(lists, labels)
+    second = stored(crossing_pairs(named, percent).join(tried, ["a", "b"], "left_anti"))
     if second.limit(1).count():
         more = linked(docs, reps, second, fragments, percent)
         if more.limit(1).count():
-            links = links.union(more)
-            labels = components(links)
+            labels = components(links.union(more))
     # Smallest doc_id of each component of nodes, then back to the documents.
     least = rows.where("node is not null").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of_node = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_node = least.select("node", "component").distinct().join(of_node, "component").select("node", "component_id")
     return rows.join(by_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+#: Ids to be dropped are hinted for broadcast up to this many.
+BROADCAST_IDS = 2_000_000
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The documents without all but the smallest doc_id of each component.
+
+    Rows that share both doc_id and text are one document; rows without doc_id stay.
+    """
+    found = stored(near_duplicates(docs, percent))
+    gone = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    again = stored(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again"))
+    if not again.limit(1).count():
+        return left
+    repeats = F.col("doc_id").cast("long") == F.col("_again")
+    return left.join(again, repeats, "left_anti").unionByName(left.join(again, repeats, "left_semi").dropDuplicates(["doc_id", "text"]))
