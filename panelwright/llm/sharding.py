@@ -74,8 +74,8 @@ def assign(weights: dict[int, tuple[int, int]], shards: int, slots: int = SLOTS)
 def rebalance(old: SlotMap, weights: dict[int, tuple[int, int]], shards: int, tolerance: float = 0.02) -> SlotMap:
     """Next version for new weights or more shards: only slots of overfull shards move.
 
-    A shard gives its lightest slots away, lightest shard first, while it stays above the mean by
-    ``tolerance``; with unchanged weights and one more shard, slots move into the new shard only.
+    A shard above the mean by more than ``tolerance`` gives away the heaviest slots that don't take
+    it below, so few slots move; with one more shard they all move into the new one.
     """
     shard, load = list(old.shard), [0] * shards
     own: dict[int, list[int]] = {s: [] for s in range(shards)}
@@ -88,17 +88,17 @@ def rebalance(old: SlotMap, weights: dict[int, tuple[int, int]], shards: int, to
     targets = [(load[s], s) for s in range(shards)]
     heapq.heapify(targets)
     for s in sorted(range(shards), key=lambda x: -load[x]):
-        for slot in sorted(own[s], key=lambda x: (weights.get(x, (0, 0))[1], x)):
+        for slot in sorted(own[s], key=lambda x: (-weights.get(x, (0, 0))[1], x)):
             w = weights.get(slot, (0, 0))[1]
-            if not w:
-                continue
-            if load[s] <= mean * (1 + tolerance):
+            if not w or load[s] <= mean * (1 + tolerance):
                 break
+            if load[s] - w < mean * (1 - tolerance):
+                continue
             while targets[0][0] != load[targets[0][1]]:
                 heapq.heapreplace(targets, (load[targets[0][1]], targets[0][1]))
             t = targets[0][1]
             if t == s or load[t] + w >= load[s]:
-                break
+                continue
             shard[slot], load[s], load[t] = t, load[s] - w, load[t] + w
             heapq.heapreplace(targets, (load[t], t))
     return SlotMap(old.version + 1, tuple(shard))
