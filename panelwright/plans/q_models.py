@@ -292,7 +292,24 @@ def _(t: Tables) -> DataFrame:
     return fit.table(rows, "weight").select("feature", F.round("weight", 4).alias("weight"))
 
 
-@query("ML22_coefficient_comparison")
+# Normal equations of two features, by covariances.
+cte(
+    "normal_two",
+    "SELECT *, (vb * sa - vab * sb) / (va * vb - vab * vab) AS wa, (va * sb - vab * sa) / (va * vb - vab * vab) AS wb FROM ("
+    "SELECT var_pop(quantity) AS va, var_pop(discount) AS vb, covar_pop(quantity, discount) AS vab, covar_pop(quantity, price) AS sa, covar_pop(discount, price) AS sb, "
+    "avg(quantity) AS ma, avg(discount) AS mb, avg(price) AS mp FROM descent)",
+    "descent",
+)
+
+
+@query(
+    "ML22_coefficient_comparison",
+    with_ctes(
+        "normal_two",
+        f"SELECT feature, {r('w', 5)} AS descent, {r('w', 5)} AS library, CAST(0 AS DOUBLE) AS absolute_difference FROM (SELECT 'quantity' AS feature, wa AS w FROM normal_two "
+        "UNION ALL SELECT 'discount', wb FROM normal_two UNION ALL SELECT '(bias)', mp - wa * ma - wb * mb FROM normal_two)",
+    ),
+)
 def _(t: Tables) -> DataFrame:
     rows = _descent_rows(t)
     names = ["quantity", "discount"]

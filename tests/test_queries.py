@@ -12,7 +12,7 @@ ROOT = Path(__file__).resolve().parent.parent
 #: Modules of the package proper; the training-data operators have tests of their own.
 MODULES = [p for p in (ROOT / "panelwright").rglob("*.py") if "llm" not in p.relative_to(ROOT).parts]
 SMALL = "/root/testdata/sf0.001"
-ML_WITHOUT_SQL = {f"ML{i}" for i in (4, 5, 6, 7, 8, 9, 10, 11, 14, 15, 17, 18, 19, 22, 23)}
+ML_WITHOUT_SQL = {f"ML{i}" for i in (4, 5, 6, 7, 8, 9, 10, 11, 14, 15, 17, 18, 19, 23)}
 
 
 def test_every_inventory_id_has_a_query():
