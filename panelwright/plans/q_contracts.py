@@ -456,3 +456,18 @@ def _(t: Tables) -> DataFrame:
     return c.changed_rows(before, t.targets(), before.columns)
 
 
+@query(
+    "VA26b_changed_inputs",
+    with_ctes(
+        "clean",
+        "SELECT 'lost' AS side, count(*) FILTER (entity = 'click' AND hour(ts) = 0 AND load IS NOT NULL) + count(*) FILTER (hour(ts) = 5) AS rows FROM clean "
+        "UNION ALL SELECT 'added', count(*) FILTER (entity = 'click' AND hour(ts) = 0 AND load IS NOT NULL) FROM clean",
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    """A stage that alters some rows and loses others."""
+    before = t.clean()
+    altered = F.when((F.col("entity") == "click") & (F.hour("ts") == 0), F.col("load") + 1).otherwise(F.col("load"))
+    return c.changed_rows(before, before.withColumn("load", altered).filter(F.hour("ts") != 5), before.columns)
+
+

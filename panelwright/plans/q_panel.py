@@ -305,6 +305,36 @@ def _(t: Tables) -> DataFrame:
     return out.withColumn("problems", F.array_join("problems", "|"))
 
 
+cte(
+    "seeded_daily",
+    "SELECT date, CASE WHEN day(date) % 5 = 0 THEN 2 ELSE public_holiday END AS p, CASE WHEN day(date) % 2 = 0 THEN ' ' ELSE holiday_name END AS h, "
+    "event_flag AS e, CASE WHEN day(date) % 3 = 0 THEN 'x' ELSE event_name END AS n, roadwork_flag AS w FROM daily",
+    "daily",
+)
+
+
+@query(
+    "CL20b_daily_problems",
+    with_ctes(
+        "seeded_daily",
+        "SELECT date, CAST(p AS TINYINT) AS public_holiday, nullif(trim(h), '') AS holiday_name, CAST(e AS TINYINT) AS event_flag, nullif(trim(n), '') AS event_name, CAST(w AS TINYINT) AS roadwork_flag, "
+        "concat_ws('|', CASE WHEN p NOT IN (0, 1) THEN 'invalid_flag:public_holiday' END, CASE WHEN p = 1 AND coalesce(trim(h), '') = '' THEN 'missing_name:holiday_name' END, "
+        "CASE WHEN p = 0 AND coalesce(trim(h), '') <> '' THEN 'unexpected_name:holiday_name' END, CASE WHEN e = 1 AND coalesce(trim(n), '') = '' THEN 'missing_name:event_name' END, "
+        "CASE WHEN e = 0 AND coalesce(trim(n), '') <> '' THEN 'unexpected_name:event_name' END) AS problems FROM seeded_daily",
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    """The same with defects in the flags and names of certain days."""
+    flags, pairs = ["public_holiday", "event_flag", "roadwork_flag"], [("public_holiday", "holiday_name"), ("event_flag", "event_name")]
+    day = F.dayofmonth("date")
+    seeded = t.daily().withColumns({
+        "public_holiday": F.when(day % 5 == 0, 2).otherwise(F.col("public_holiday")),
+        "holiday_name": F.when(day % 2 == 0, " ").otherwise(F.col("holiday_name")),
+        "event_name": F.when(day % 3 == 0, "x").otherwise(F.col("event_name")),
+    })
+    return clean.normalize_daily(seeded, "date", flags, pairs).withColumn("problems", F.array_join("problems", "|"))
+
+
 @query(
     "CL21_context_summary",
     with_ctes(
