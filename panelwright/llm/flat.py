@@ -132,14 +132,18 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(shift, lengths)
 
 
-def same_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, lengths: np.ndarray, step: int = 1 << 16) -> np.ndarray:
-    """Whether the bytes of two lists of equally long spans agree, compared in full."""
+def same_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, lengths: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Whether the bytes of two lists of equally long spans agree, compared in full, ``step`` bytes at a time."""
     same = np.ones(len(lengths), bool)
-    for lo in range(0, len(lengths), step):
-        part = lengths[lo : lo + step]
-        differ = a[ragged(a_start[lo : lo + step], part)] != b[ragged(b_start[lo : lo + step], part)]
-        owner = np.repeat(np.arange(len(part)), part)
-        same[lo : lo + step][owner[differ]] = False
+    upto = np.concatenate([[0], np.cumsum(lengths)])
+    lo = 0
+    while lo < len(lengths):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + step, "right")) - 1)
+        part = lengths[lo:hi]
+        differ = a[ragged(a_start[lo:hi], part)] != b[ragged(b_start[lo:hi], part)]
+        before = np.concatenate([[0], np.cumsum(differ)])
+        same[lo:hi] = before[upto[lo + 1 : hi + 1] - upto[lo]] == before[upto[lo:hi] - upto[lo]]
+        lo = hi
     return same
 
 

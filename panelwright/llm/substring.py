@@ -29,9 +29,9 @@ from .flat import byte_sums, covered, flat, mixed, pieces, ragged, same_spans, s
 from .store import groups_of, pack, stored
 
 M = 4
-PIECE = 4 << 20
+PIECE = 3 << 20
 #: Packed words that one bucket should hold.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 5 << 20
 #: Flagged texts up to this many bytes of spans are hinted for broadcast; beyond they join by shuffle.
 BROADCAST_BYTES = 48 << 20
 _LAST = np.int64((1 << 63) - 1)
