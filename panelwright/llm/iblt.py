@@ -1,10 +1,14 @@
 """Document fingerprints: invertible Bloom lookup sketches over paragraph digests.
 
-A text is a set of paragraphs (pieces between line breaks and after sentence ends); each distinct
-paragraph has a 64-bit digest, and a sketch adds every digest to three of its cells (count, xor of
-digests, xor of checks). Subtracting two sketches leaves the digests in which the texts differ, and
-peeling cells that hold one digest recovers them. Where a difference doesn't peel, the pair is tried
-again with sketches four times as large.
+A text is a set of paragraphs (pieces between line breaks, cut further before sentences that begin
+with certain letters, so that the cuts move with the text). Each distinct paragraph has a 64-bit
+digest that proves itself: 40 bits of hash and 24 bits that check them. A sketch adds every digest by
+exclusive or to three of its cells. Subtracting two sketches leaves the digests in which the texts
+differ; a cell that proves itself holds one digest alone, and peeling such cells recovers them all.
+Where a difference doesn't peel, the pair is tried again with a larger sketch: as many parts of the
+stored size as the two sets ask for, digests dealt to parts by their check bits. A part that still
+doesn't peel is tried with larger parts. So work grows with the number of digests, not with its
+square.
 
 Everything is Spark column functions. Updates copy cells with ``slice`` and ``concat`` instead of
 running a lambda on every cell.
@@ -16,81 +20,77 @@ rows without doc_id come last; extra columns are dropped; an empty table gives n
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keyed import settle
 
-#: Cells of each of the three parts, from the stored fingerprint to the last retry.
-PARTS = (12, 48, 192, 768, 3072)
-PARAGRAPH_END = r"\n+|(?<=[.!?])\s+"
-_CELL = "struct<n:int,k:bigint,c:bigint>"
-_ROUNDS = 40
+#: Cells for each of the three places of a digest: stored fingerprint, and retries of a part.
+PARTS = (12, 48, 192)
+#: Digests of both sides that a part of a larger sketch is meant for.
+PART_LOAD = 16
+PARAGRAPH_END = r"\n+|(?<=[.!?])\s+(?=[A-M])"
+_ROUNDS = 20
 #: Rows of one ordering block, and the most blocks.
 BLOCK_ROWS, MAX_BLOCKS, QUANTILES = 1024, 10_000, 64
 
 
+def _checked(h: Column) -> Column:
+    return F.shiftleft(h, 24).bitwiseOR(F.xxhash64(h).bitwiseAND(F.lit(0xFFFFFF)))
+
+
 def digests(text: Column) -> Column:
     """Distinct digests of a text's paragraphs."""
     pieces = F.filter(F.split(text, PARAGRAPH_END), lambda p: p != "")
-    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
+    return F.array_distinct(F.transform(pieces, lambda p: _checked(F.xxhash64(p).bitwiseAND(F.lit((1 << 40) - 1)))))
 
 
-def _check(key: Column) -> Column:
-    return F.xxhash64(key, F.lit(77)).bitwiseAND(F.lit(0xFFFFFFFF))
+def _proves(cell: Column) -> Column:
+    return (cell != 0) & (cell.bitwiseAND(F.lit(0xFFFFFF)) == F.xxhash64(F.shiftrightunsigned(cell, 24)).bitwiseAND(F.lit(0xFFFFFF)))
 
 
-def _changes(key: Column, sign: Column, part: int) -> Column:
-    """The three cell updates of one digest: place (from 1), count, digest, check."""
-    spread = F.xxhash64(key, F.lit(part))
-    place = lambda j: (F.pmod(F.shiftrightunsigned(spread, 21 * j), F.lit(part)) + 1 + j * part).cast("int")
-    return F.array(*[F.struct(place(j).alias("i"), sign.alias("n"), key.alias("k"), _check(key).alias("c")) for j in range(3)])
-
-
-def _cell(n: Column, k: Column, c: Column) -> Column:
-    return F.struct(n.alias("n"), k.alias("k"), c.alias("c"))
+def _added(cells: Column, keys: Column, part: int) -> Column:
+    """Cells with every key put in (or taken out: exclusive or does both) at its three places.
 
+    The three places of a key lie in the three thirds of the cells, in order, so one copy of the
+    cells takes all its changes.
+    """
+    place = lambda k, j: (F.shiftrightunsigned(k, 24 + 13 * j).bitwiseAND(F.lit(8191)) % part + j * part).cast("int")
+    placed = F.transform(keys, lambda k: F.struct(place(k, 0).alias("a"), place(k, 1).alias("b"), place(k, 2).alias("c"), k.alias("k")))
 
-def _updated(cells: Column, changes: Column, part: int) -> Column:
     def step(acc: Column, x: Column) -> Column:
-        old = F.element_at(acc, x["i"])
-        new = _cell(old["n"] + x["n"], old["k"].bitwiseXOR(x["k"]), old["c"].bitwiseXOR(x["c"]))
-        return F.concat(F.slice(acc, F.lit(1), x["i"] - 1), F.array(new), F.slice(acc, x["i"] + 1, F.lit(3 * part)))
+        new = lambda i: F.array(F.element_at(acc, i + 1).bitwiseXOR(x["k"]))
+        return F.concat(
+            F.slice(acc, F.lit(1), x["a"]), new(x["a"]), F.slice(acc, x["a"] + 2, x["b"] - x["a"] - 1), new(x["b"]),
+            F.slice(acc, x["b"] + 2, x["c"] - x["b"] - 1), new(x["c"]), F.slice(acc, x["c"] + 2, F.lit(3 * part)),
+        )
 
-    return F.aggregate(changes, cells, step)
+    return F.aggregate(placed, cells, step)
 
 
 def sketch(keys: Column, part: int) -> Column:
     """Cells of a set of digests."""
-    empty = F.array_repeat(F.expr("named_struct('n', 0, 'k', 0L, 'c', 0L)"), 3 * part)
-    changes = F.flatten(F.transform(keys, lambda k: _changes(k, F.lit(1), part)))
-    return _updated(empty, changes, part)
+    return _added(F.array_repeat(F.lit(0).cast("long"), 3 * part), keys, part)
 
 
 def subtract(left: Column, right: Column) -> Column:
-    return F.zip_with(left, right, lambda a, b: _cell(a["n"] - b["n"], a["k"].bitwiseXOR(b["k"]), a["c"].bitwiseXOR(b["c"])))
+    return F.zip_with(left, right, lambda a, b: a.bitwiseXOR(b))
 
 
 def peel(difference: Column, part: int) -> Column:
-    """Struct (ok, left, right): whether all of it peeled, and the digests only one side has."""
-    full = lambda cells: F.exists(cells, lambda c: (c["n"] != 0) | (c["k"] != 0))
-    start = F.struct(
-        difference.alias("cells"), F.lit(True).alias("more"),
-        F.expr("CAST(array() AS array<bigint>)").alias("left"), F.expr("CAST(array() AS array<bigint>)").alias("right"),
-    )
+    """Struct (ok, found): whether all of it peeled, and the digests recovered."""
+    none = F.expr("CAST(array() AS array<bigint>)")
+    start = F.struct(difference.alias("cells"), F.lit(True).alias("more"), none.alias("found"))
 
     def rounds(acc: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.transform(
-            F.filter(acc["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["k"]))),
-            lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k")),
-        ))
-
-        def remove(now: Column, found: Column) -> Column:
-            changes = F.flatten(F.transform(found, lambda p: _changes(p["k"], -p["n"], part)))
-            side = lambda sign: F.transform(F.filter(found, lambda p: p["n"] == sign), lambda p: p["k"])
+        pure = F.array_distinct(F.filter(acc["cells"], _proves))
+
+        def remove(now: Column, keys: Column) -> Column:
             return F.struct(
-                _updated(now["cells"], changes, part).alias("cells"), (F.size(found) > 0).alias("more"),
-                F.concat(now["left"], side(1)).alias("left"), F.concat(now["right"], side(-1)).alias("right"),
+                _added(now["cells"], keys, part).alias("cells"), (F.size(keys) > 0).alias("more"),
+                F.concat(now["found"], keys).alias("found"),
             )
 
         # One-element array: binds the pure cells so that they are found once a round.
@@ -98,47 +98,68 @@ def peel(difference: Column, part: int) -> Column:
 
     return F.aggregate(
         F.sequence(F.lit(1), F.lit(_ROUNDS)), start, rounds,
-        lambda acc: F.struct((~full(acc["cells"])).alias("ok"), acc["left"].alias("left"), acc["right"].alias("right")),
+        lambda acc: F.struct((~F.exists(acc["cells"], lambda c: c != 0)).alias("ok"), acc["found"].alias("found")),
+    )
+
+
+def _sizes(peeled: Column, left_keys: Column) -> Column:
+    """Numbers of recovered digests of the left and the right; null where the difference did not peel."""
+    own = lambda p: F.size(F.array_intersect(p["found"], left_keys))
+    return F.aggregate(
+        F.array(peeled), F.lit(None).cast("struct<l:int,r:int>"),
+        lambda _, p: F.when(p["ok"], F.struct(own(p).alias("l"), (F.size(p["found"]) - own(p)).alias("r"))),
     )
 
 
-def _likeness(left_n: Column, right_n: Column, peeled: Column) -> Column:
-    """Jaccard likeness from set sizes and the peeled difference; null where it did not peel."""
-    def ratio(_: Column, p: Column) -> Column:
-        union = left_n + F.size(p["right"])
-        return F.when(p["ok"], F.when(union == 0, F.lit(1.0)).otherwise((left_n - F.size(p["left"])) / union))
+def _larger(left_keys: Column, right_keys: Column) -> Column:
+    """Difference sizes by a sketch of several parts; each part is retried on its own."""
+    parts = F.greatest(F.ceil((F.size(left_keys) + F.size(right_keys)) / PART_LOAD), F.lit(2)).cast("int")
+
+    def part(j: Column) -> Column:
+        own = lambda keys: F.filter(keys, lambda k: k.bitwiseAND(F.lit(0xFFFFFF)) % parts == j)
+        pair = F.struct(own(left_keys).alias("a"), own(right_keys).alias("b"))
+
+        def tried(_: Column, x: Column) -> Column:
+            # By exclusive or, one sketch of both sides is the difference of two.
+            sizes = [_sizes(peel(sketch(F.concat(x["a"], x["b"]), part), part), x["a"]) for part in PARTS]
+            exact = F.struct(F.size(F.array_except(x["a"], x["b"])).alias("l"), F.size(F.array_except(x["b"], x["a"])).alias("r"))
+            return F.coalesce(*sizes, exact)
 
-    return F.aggregate(F.array(peeled), F.lit(None).cast("double"), ratio)
+        return F.aggregate(F.array(pair), F.lit(None).cast("struct<l:int,r:int>"), tried)
+
+    return F.aggregate(
+        F.transform(F.sequence(F.lit(0), parts - 1), part), F.expr("named_struct('l', 0, 'r', 0)"),
+        lambda acc, x: F.struct((acc["l"] + x["l"]).alias("l"), (acc["r"] + x["r"]).alias("r")),
+    )
 
 
 def likeness(left_keys: Column, right_keys: Column, left: Column, right: Column) -> Column:
-    """Likeness of two fingerprints, retried with larger sketches; exact difference beyond the last.
+    """Jaccard likeness of two fingerprints: by their own cells, else by larger sketches of both sets.
 
-    ``coalesce`` stops at the first size that peels. A size that can't hold the difference of the
-    set sizes is passed over.
+    ``coalesce`` stops at the first try that peels. A difference of the set sizes that exceeds the
+    cells passes over the first try.
     """
     n, m = F.size(left_keys), F.size(right_keys)
-    tries = []
-    for level, part in enumerate(PARTS):
-        a, b = (left, right) if level == 0 else (sketch(left_keys, part), sketch(right_keys, part))
-        tries.append(F.when(F.abs(n - m) <= 3 * part, _likeness(n, m, peel(subtract(a, b), part))))
-    common = F.size(F.array_intersect(left_keys, right_keys))
-    return F.coalesce(*tries, common / (n + m - common))
+    own = F.when(F.abs(n - m) <= 3 * PARTS[0], _sizes(peel(subtract(left, right), PARTS[0]), left_keys))
+
+    def ratio(_: Column, d: Column) -> Column:
+        union = n + d["r"]
+        return F.when(union == 0, F.lit(1.0)).otherwise((n - d["l"]) / union)
+
+    return F.aggregate(F.array(F.coalesce(own, _larger(left_keys, right_keys))), F.lit(None).cast("double"), ratio)
 
 
 def shown(keys: Column, cells: Column) -> Column:
-    """Fingerprint text: number of digests, then count, digest and check of every cell in hex."""
-    one = lambda c: F.concat(
-        F.lpad(F.lower(F.hex(F.pmod(c["n"], F.lit(256)))), 2, "0"), F.lpad(F.lower(F.hex(c["k"])), 16, "0"), F.lpad(F.lower(F.hex(c["c"])), 8, "0")
-    )
-    return F.concat(F.size(keys).cast("string"), F.lit(":"), F.array_join(F.transform(cells, one), ""))
+    """Fingerprint text: number of digests, then every cell in hex."""
+    return F.concat(F.size(keys).cast("string"), F.lit(":"), F.array_join(F.transform(cells, lambda c: F.lpad(F.hex(c), 16, "0")), ""))
 
 
-def with_next(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """doc_id, text and the text of the next document in descending doc_id (after the last, the first).
+def with_next(docs: DataFrame, carried: Sequence[dict[str, Column]], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """doc_id, text and the columns of ``carried`` (each step may use those before), with ``next_`` columns of the next document in descending doc_id.
 
-    Documents are cut into blocks of consecutive ids; one shuffle brings each block together, and
-    only the last row of a block takes its neighbour from the first row of the next block.
+    After the last document comes the first. Documents are cut into blocks of consecutive ids; one
+    shuffle brings each block together, and only the last row of a block takes its neighbour from
+    the first row of the next block.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("_minor", F.xxhash64("text"))
@@ -160,12 +181,20 @@ def with_next(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     heads = sorted((r["_block"], r["_major"]) for r in rows.groupBy("_block").agg(F.max("_major").alias("_major")).collect())
     follows = [(b, *heads[i - 1]) for i, (b, _) in enumerate(heads)]
     link = rows.sparkSession.createDataFrame(follows, "_for long, _block long, _major long")
-    first = rows.join(F.broadcast(link), ["_block", "_major"]).groupBy("_for").agg(F.max_by("text", "_minor").alias("_first"))
+    columns = ["text", *[name for step in carried for name in step]]
+    near = F.struct(*columns)
+
+    def worked(df: DataFrame) -> DataFrame:
+        for step in carried:
+            df = settle(df, step)
+        return df
+
+    first = worked(rows.join(F.broadcast(link), ["_block", "_major"])).groupBy("_for").agg(F.max_by(near, "_minor").alias("_first"))
     order = Window.partitionBy("_block").orderBy(F.col("_major").desc(), F.col("_minor").desc())
     return (
-        rows.withColumn("_lead", F.lead(F.struct("text")).over(order))
+        worked(rows).withColumn("_lead", F.lead(near).over(order))
         .join(first.withColumnRenamed("_for", "_block"), "_block", "left")
-        .select("doc_id", "text", F.coalesce(F.col("_lead.text"), F.col("_first")).alias("next_text"))
+        .select("doc_id", *columns, *[F.coalesce(F.col(f"_lead.{c}"), F.col(f"_first.{c}")).alias(f"next_{c}") for c in columns])
     )
 
 
@@ -174,16 +203,16 @@ def compare_edits(docs: DataFrame) -> DataFrame:
 
     The edit replaces the last half of the code points by as many from the start of the next text.
     """
-    pairs = with_next(docs)
+    pairs = with_next(docs, [{"a": digests(F.col("text"))}, {"sa": sketch(F.col("a"), PARTS[0])}])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - half), F.col("next_text").substr(F.lit(1), half))
     pairs = settle(pairs, {"n_chars": n.cast("long"), "edited": edited})
     pairs = settle(
-        pairs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", "next_text"),
-        {"a": digests(F.col("text")), "b": digests(F.col("edited")), "c": digests(F.col("next_text"))},
-    ).drop("text", "edited", "next_text")
-    pairs = settle(pairs, {f"s{x}": sketch(F.col(x), PARTS[0]) for x in "abc"})
+        pairs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "edited", "a", "sa", F.col("next_a").alias("c"), F.col("next_sa").alias("sc")),
+        {"b": digests(F.col("edited"))},
+    ).drop("edited")
+    pairs = settle(pairs, {"sb": sketch(F.col("b"), PARTS[0])})
     return pairs.select(
         "doc_id", "n_chars", "edited_sha256",
         shown(F.col("a"), F.col("sa")).alias("fingerprint"), shown(F.col("b"), F.col("sb")).alias("edited_fingerprint"),
