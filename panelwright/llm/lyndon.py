@@ -18,6 +18,9 @@ import numpy as np
 
 from .flat import ragged
 
+#: Below so many strings the emission takes all standing suffixes in a step.
+FEW = 300
+
 
 def suffix_arrays(text: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Places in ``text`` of each string's suffixes in lexicographic order, string after string.
@@ -110,7 +113,11 @@ def _groups(text: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _emit(group: np.ndarray, previous: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Sorted suffixes from final groups and previous smaller suffixes."""
+    """Sorted suffixes from final groups and previous smaller suffixes.
+
+    One suffix of every string at a time while many strings remain, then all that stand without a
+    gap at a time.
+    """
     n, lengths = len(group), np.diff(edges)
     out = np.full(n, -1, np.int64)
     free = np.arange(n)  # next free place of the group that starts here
@@ -121,7 +128,7 @@ def _emit(group: np.ndarray, previous: np.ndarray, edges: np.ndarray) -> np.ndar
     low = low[:alive]
     current = low + lengths[:alive]  # the empty suffix comes first
     step = 0
-    while alive:
+    while alive > FEW:
         s = current - 1
         chain = np.flatnonzero(s >= low[:alive])
         s = s[chain]
@@ -138,4 +145,59 @@ def _emit(group: np.ndarray, previous: np.ndarray, edges: np.ndarray) -> np.ndar
             alive -= 1
         current = out[low[:alive] + step]
         step += 1
+    # The suffixes in ``current`` are next; all before them are done.
+    return _emit_standing(group, previous, out, free, waiting, low[:alive], lengths[:alive], current[:alive], step)
+
+
+def _emit_standing(group, previous, out, free, waiting, low, lengths, entries, step) -> np.ndarray:
+    """The rest of ``_emit``: each step takes, in every string, the suffixes that stand without a gap.
+
+    A waiting suffix that several of them lead to belongs to the first; those of one group are placed
+    in that order.
+    """
+    n = len(group)
+    none = np.int64(1 << 62)
+    claim = np.full(n, none)
+    done, bottom = np.full(len(low), step, np.int64), low
+    while len(low):
+        first = np.flatnonzero(entries > bottom)
+        s = entries[first] - 1
+        ready = waiting[s]
+        s, rank = s[ready], first[ready]
+        claim[s] = rank
+        found = [s]
+        while len(s):
+            p = previous[s]
+            up = p >= 0
+            p, rank = p[up], rank[up]
+            up = waiting[p] & (rank < claim[p])
+            p, rank = p[up], rank[up]
+            np.minimum.at(claim, p, rank)
+            own = claim[p] == rank
+            s, rank = p[own], rank[own]
+            found.append(s)
+        placed = np.concatenate(found)
+        if len(found) > 2:
+            placed = np.unique(placed)
+        order = np.lexsort((claim[placed], group[placed]))
+        placed = placed[order]
+        if len(placed):
+            g = group[placed]
+            head = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            count = np.diff(np.append(head, len(g)))
+            out[ragged(free[g[head]], count)] = placed
+            free[g[head]] += count
+            waiting[placed] = False
+            claim[placed] = none
+        width = int(np.clip(20_000 // len(low), 1, 512))
+        at = done[:, None] + np.arange(width)
+        inside = at < lengths[:, None]
+        view = np.where(inside, out[np.minimum(low[:, None] + at, n - 1)], -1)
+        standing = np.logical_and.accumulate(view >= 0, axis=1)
+        taken = standing.sum(axis=1)
+        entries, bottom = view[standing], np.repeat(low, taken)
+        done = done + taken
+        open_ = taken > 0
+        if not open_.all():
+            low, lengths, done = low[open_], lengths[open_], done[open_]
     return out

@@ -41,6 +41,8 @@ TABLE_BITS = 27
 BUCKET_BYTES = 8 << 20
 #: At most so many anchors are split by a second one.
 HOT_ANCHORS = 20_000
+#: Bytes of strings that a task packs together.
+HELD_BYTES = 16 << 20
 #: Bytes of suffix arrays built side by side.
 BATCH = 1_500_000
 _U = np.uint64
@@ -176,33 +178,48 @@ def _equal_strings(buffer: np.ndarray, begin: np.ndarray, sizes: np.ndarray, nam
     return first, np.bincount(first, minlength=len(first))
 
 
-def _spread(part: pa.RecordBatch, k: int, table: np.ndarray, hot: np.ndarray, buckets: int) -> pa.RecordBatch:
+_FIELDS = ("data", "size", "name", "doc", "key", "place", "twice", "again")
+_FLAGS = ("flag_doc", "flag_key", "flag_lo", "flag_hi")
+
+
+def _strings(part: pa.RecordBatch, k: int, table: np.ndarray, hot: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]] | None:
+    """Strings of repeated anchors in one piece, one of each equal ones, and the spans known to repeat."""
     s = Strings(part.column("text"), k, hot)
+    chosen = np.flatnonzero(_bits_at(table, s.anchor))
+    if not len(chosen):
+        return None
+    begin, windows, text, name = s.begin[chosen], s.windows[chosen], s.text[chosen], s.name[chosen]
+    sizes = windows + k - 1
+    doc = part.column("doc_id").fill_null(int(_LAST)).to_numpy(zero_copy_only=False).astype(np.int64)[text]
+    key = part.column("_key").to_numpy(zero_copy_only=False).astype(np.uint32)[text]
+    place = begin - s.offsets[:-1][text]
+    first, times = _equal_strings(s.buffer, begin, sizes, name, s.sums)
+    twice = times[first] > 1
+    flags = dict(zip(_FLAGS, (doc[twice], key[twice], place[twice].astype(np.uint32), (place + sizes)[twice].astype(np.uint32)), strict=True))
+    i = np.flatnonzero(first == np.arange(len(first)))
+    sent = dict(zip(_FIELDS, (
+        s.buffer[ragged(begin[i], sizes[i])], sizes[i].astype(np.uint32), name[i], doc[i], key[i], place[i].astype(np.uint32), twice[i], s.again[chosen][i],
+    ), strict=True))
+    return sent, flags
+
+
+def _packed(held: list[tuple[dict, dict]], buckets: int) -> pa.RecordBatch:
+    """Rows (bucket, blob) of the strings of several pieces."""
+    sent = {n: np.concatenate([h[0][n] for h in held]) for n in _FIELDS}
+    flags = {n: np.concatenate([h[1][n] for h in held]) for n in _FLAGS}
     rows = {"bucket": [], "blob": []}
-    if len(s.anchor):
-        chosen = np.flatnonzero(_bits_at(table, s.anchor))
-        begin, windows, text, name = s.begin[chosen], s.windows[chosen], s.text[chosen], s.name[chosen]
-        sizes = windows + k - 1
-        doc = part.column("doc_id").fill_null(int(_LAST)).to_numpy(zero_copy_only=False).astype(np.int64)[text]
-        key = part.column("_key").to_numpy(zero_copy_only=False).astype(np.uint32)[text]
-        place = begin - s.offsets[:-1][text]
-        first, times = _equal_strings(s.buffer, begin, sizes, name, s.sums)
-        twice = times[first] > 1
-        if twice.any():
-            rows["bucket"].append(int(name[twice][0] % _U(buckets)))
-            rows["blob"].append(pack({"flag_doc": doc[twice], "flag_key": key[twice], "flag_lo": place[twice].astype(np.uint32), "flag_hi": (place + sizes)[twice].astype(np.uint32)}))
-        sent = np.flatnonzero(first == np.arange(len(first)))
-        bucket = (mixed(name[sent]) % _U(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        sent, bucket = sent[order], bucket[order]
-        cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            i = sent[a:b]
-            rows["bucket"].append(int(bucket[a]))
-            rows["blob"].append(pack({
-                "data": s.buffer[ragged(begin[i], sizes[i])], "size": sizes[i].astype(np.uint32), "name": name[i],
-                "doc": doc[i], "key": key[i], "place": place[i].astype(np.uint32), "twice": twice[i], "again": s.again[chosen][i],
-            }))
+    if len(flags["flag_lo"]):
+        rows["bucket"].append(int(mixed(flags["flag_doc"][:1].view(np.uint64))[0] % _U(buckets)))
+        rows["blob"].append(pack(flags))
+    sizes = sent["size"].astype(np.int64)
+    begin = np.cumsum(sizes) - sizes
+    bucket = (mixed(sent["name"]) % _U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.append(np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1])), len(order))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        i = order[a:b]
+        rows["bucket"].append(int(bucket[i[0]]))
+        rows["blob"].append(pack({"data": sent["data"][ragged(begin[i], sizes[i])], **{n: sent[n][i] for n in _FIELDS[1:]}}))
     return pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int64()), pa.array(rows["blob"], pa.binary())], names=["bucket", "blob"])
 
 
@@ -247,11 +264,11 @@ def repeated_windows(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray, nam
 def _settle(blobs: list[dict[str, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
     told = [b for b in blobs if "flag_lo" in b]
     if told:
-        yield _spans(*(np.concatenate([b[n] for b in told]) for n in ("flag_doc", "flag_key", "flag_lo", "flag_hi")))
+        yield _spans(*(np.concatenate([b[n] for b in told]) for n in _FLAGS))
     packed = [b for b in blobs if "data" in b]
     if not packed:
         return
-    data, sizes, name, doc, key, place, twice, again = (np.concatenate([b[n] for b in packed]) for n in ("data", "size", "name", "doc", "key", "place", "twice", "again"))
+    data, sizes, name, doc, key, place, twice, again = (np.concatenate([b[n] for b in packed]) for n in _FIELDS)
     sizes = sizes.astype(np.int64)
     begin = np.cumsum(sizes) - sizes
     first, times = _equal_strings(data, begin, sizes, name, byte_sums(data))
@@ -288,9 +305,17 @@ def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, split = table_shared.value
+        held, size = [], 0
         for batch in batches:
             for part in pieces(batch, "text", PIECE):
-                yield _spread(part, k, bits, split, buckets)
+                if found := _strings(part, k, bits, split):
+                    held.append(found)
+                    size += len(found[0]["data"])
+                if size > HELD_BYTES:
+                    yield _packed(held, buckets)
+                    held, size = [], 0
+        if held:
+            yield _packed(held, buckets)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in groups_of(batches, "bucket", "blob"):

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from panelwright.llm import decontaminate, iblt, ngram_join, substring, suffix_dedup
+from panelwright.llm import decontaminate, iblt, lyndon, ngram_join, substring, suffix_dedup
 from panelwright.llm.lyndon import suffix_arrays
 
 from .fixtures import WORD, empty, frame, shingles, texts
@@ -24,7 +24,9 @@ def test_suffix_arrays(strings):
     text = np.frombuffer(b"".join(data), np.uint8).astype(np.int64)
     edges = np.concatenate([[0], np.cumsum([len(s) for s in data])]).astype(np.int64)
     want = [o + i for s, o in zip(data, edges) for i in sorted(range(len(s)), key=lambda i: s[i:])]
-    assert suffix_arrays(text, edges).tolist() == want
+    for few in (0, 3, 300):  # emission one by one, mixed, and by standing suffixes
+        lyndon.FEW = few
+        assert suffix_arrays(text, edges).tolist() == want
 
 
 def no_id_last(i):
