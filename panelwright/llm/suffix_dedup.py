@@ -214,7 +214,8 @@ def _packed(held: list[tuple[dict, dict]], buckets: int) -> pa.RecordBatch:
     sizes = sent["size"].astype(np.int64)
     begin = np.cumsum(sizes) - sizes
     bucket = (mixed(sent["name"]) % _U(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    # Strings of one anchor stand together: near copies compress to little.
+    order = np.lexsort((sent["name"], bucket))
     cuts = np.append(np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1])), len(order))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         i = order[a:b]
