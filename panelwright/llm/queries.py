@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, iblt, impact, ngram_join, pieces_bpe, sharding, substring, suffix_dedup, token_counts, toxicity, url_filter
+from . import decontaminate, divergence, iblt, impact, ngram_join, pieces_bpe, sharding, substring, suffix_dedup, token_counts, toxicity, url_filter
 
 #: Folder of the public tokenizers' files; the path of a file is a parameter of its operator.
 TOKENIZERS = "/opt/tokenizers"
@@ -148,3 +148,32 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 @query("op13_exact_top_k_search", _OP13_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+_OP12_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM d),
+kept AS (SELECT lang, t, count(*) AS total FROM w GROUP BY lang, t HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, t, count(*) AS n FROM w SEMI JOIN kept USING (lang, t) GROUP BY lang, source, t),
+l AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+gn AS (SELECT lang, source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (SELECT kept.lang, gn.source, kept.t, coalesce(c.n, 0) AS n,
+             1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // (gn.n + l.v) AS p,
+             1 + CAST(1000000000 AS HUGEINT) * (kept.total + 1) // (l.n + l.v) AS q
+      FROM kept JOIN l USING (lang) JOIN gn USING (lang) LEFT JOIN c ON c.lang = kept.lang AND c.source = gn.source AND c.t = kept.t),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+          UNION ALL SELECT lang, source, 'term', t, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+                  CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM parts)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
+@query("op12_source_divergence", _OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
