@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, iblt, impact, ngram_join, pieces_bpe, sharding, substring, suffix_dedup, token_counts, toxicity, url_filter
+from . import decontaminate, divergence, iblt, impact, ngram_join, pieces_bpe, prefix_trie, sharding, substring, suffix_dedup, token_counts, toxicity, url_filter
 
 #: Folder of the public tokenizers' files; the path of a file is a parameter of its operator.
 TOKENIZERS = "/opt/tokenizers"
@@ -177,3 +177,30 @@ SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200"""
 @query("op12_source_divergence", _OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+_OP11_SQL = """
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n
+           FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT c, CAST(c AS VARCHAR) AS s FROM t GROUP BY c),
+h AS (SELECT c, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(s) + 1), lambda i: CAST(ascii(substr(s, i, 1)) AS BIGINT))),
+             lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 6 AS h FROM s),
+m AS (SELECT h.c, 0 AS k, n, role, text FROM h JOIN t ON t.c = h.c - h.c % 100 AND n <= h
+      UNION ALL SELECT c, 1, n, role, text FROM t JOIN h USING (c) WHERE n > h),
+d AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY k, n) AS d, role, text FROM m),
+k AS (SELECT c, d, length(text) AS chars, sha256(CAST(to_json(list({'r': role, 't': text}) OVER (PARTITION BY c ORDER BY d)) AS VARCHAR)) AS node FROM d),
+x AS (SELECT c, d, chars, node, lag(node, 1, '') OVER (PARTITION BY c ORDER BY d) AS parent FROM k UNION ALL SELECT c, 0, 0, '', NULL FROM h),
+nodes AS (SELECT node, d, min(parent) AS parent, min(c) AS c, count(*) AS n, min(chars) AS chars FROM x GROUP BY node, d),
+kids AS (SELECT parent AS node, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+totals AS (SELECT a.node, a.d, count(*) FILTER (kids.n IS NULL) AS leaves, sum((y.n - 1) * y.chars) AS saved
+           FROM nodes y JOIN x a ON a.c = y.c AND a.d <= y.d LEFT JOIN kids ON kids.node = y.node GROUP BY a.node, a.d),
+e AS (SELECT node, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS e FROM (SELECT c, arg_max(node, d) AS node FROM x GROUP BY c) GROUP BY node)
+SELECT nodes.c AS conv_id, nodes.d AS depth, up.c AS parent_conv_id, nodes.n AS n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, coalesce(e, sha256('')) AS ends_sha256
+FROM nodes JOIN totals USING (node, d) LEFT JOIN nodes up ON nodes.parent = up.node LEFT JOIN kids ON kids.node = nodes.node LEFT JOIN e ON e.node = nodes.node"""
+
+
+@query("op11_conversation_prefix_trie", _OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
