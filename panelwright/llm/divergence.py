@@ -38,7 +38,7 @@ from .store import stored
 #: Shares are parts of this whole.
 WHOLE = 1_000_000_000
 #: Entries that a task counts before it hands them on.
-HELD_TERMS = 400_000
+HELD_TERMS = 700_000
 #: Groups up to which their table is broadcast (some 60 bytes each).
 BROADCAST_GROUPS = 50_000
 #: Node-ancestor pairs worked on at once.
@@ -55,11 +55,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> Iterator[pa.RecordBatch]:
         for (lang, source), (times, docs) in held.items():
-            terms = list(times)
+            n = len(times)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array(terms, pa.binary()),
-                    pa.array([times[t] for t in terms], pa.int64()), pa.array([docs[t] for t in terms], pa.int64()),
+                    pa.repeat(pa.scalar(lang, pa.string()), n), pa.repeat(pa.scalar(source, pa.string()), n), pa.array(list(times), pa.binary()),
+                    pa.array(np.fromiter(times.values(), np.int64, n)), pa.array(np.fromiter(map(docs.__getitem__, times), np.int64, n)),
                 ],
                 names=["lang", "source", "term", "n", "docs"],
             )
