@@ -114,6 +114,40 @@ def fold_scores(
     return rows.sparkSession.createDataFrame([tuple(x[k] for k in order) for x in records], schema)
 
 
+def job_rows(rows: DataFrame, place: int, features: str, labels: str = "labels") -> DataFrame:
+    """Rows of one job whose label stands at ``place`` of the labels array."""
+    return rows.withColumn("label", F.col(labels)[place]).filter("label IS NOT NULL").select(
+        "label", F.col(features), *[c for c in ("trains_from", "validates", "split") if c in rows.columns]
+    )
+
+
+def job_folds(
+    rows: DataFrame, jobs: Sequence[tuple[str, int]], candidates: Sequence[Candidate], folds: Sequence[int],
+    build: Callable[[Candidate, int], Estimator], score: Callable[[Model, DataFrame, int], DataFrame], weigh: bool = False, threads: int = 8,
+) -> DataFrame:
+    """``fold_scores`` for many jobs over rows placed by ``foldstats.fold_places``; one record per fit.
+
+    ``jobs`` gives each job's id and the place of its label; ``build`` and ``score`` are told the place.
+    """
+
+    def one(task: tuple) -> tuple:
+        (job, place), spec, fold = task
+        head = (job, spec.candidate_id, spec.family, fold)
+        try:
+            mine = job_rows(rows, place, spec.features)
+            train = mine.filter((F.col("trains_from") > 0) & (F.col("trains_from") <= fold))
+            model = build(spec, place).fit(weighted(train) if weigh else train)
+            found = score(model, mine.filter(F.col("validates") == fold), place).first()
+            return (*head, "ok", None, {k: float(v) for k, v in found.asDict().items() if v is not None})
+        except (IllegalArgumentException, AnalysisException, ValueError) as error:  # the estimator refused; lost executors still raise
+            return (*head, "failed", f"{type(error).__name__}: {error}", {})
+
+    with ThreadPoolExecutor(threads) as pool:
+        records = list(pool.map(one, [(j, c, f) for j in jobs for c in candidates for f in folds]))
+    schema = "job_id string, candidate_id string, family string, fold int, status string, error string, metrics map<string,double>"
+    return rows.sparkSession.createDataFrame(records, schema)
+
+
 def regression_score(model: Model, validation: DataFrame, label: str = "label") -> DataFrame:
     out = model.transform(validation)
     return metrics.regression_metrics(out, [], label, "prediction").select("rmse", "mae", "r_squared")

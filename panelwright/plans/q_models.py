@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keyed import durable
+from ..functions.keyed import durable, shared_dir
 from ..functions.scalars import rounded
-from ..operators import clean, features, metrics, models, prep, sequences, splits
+from ..operators import clean, features, foldstats, metrics, models, prep, registry, sequences, serving, splits
 from .frames import HORIZONS, LEVELS, PLAN, SPEC, TARGETS, Tables
 from .q_features import _folds
 from .registry import query, tidy
@@ -147,13 +150,189 @@ def _(t: Tables) -> DataFrame:
     return _classifier_report(t, "boosted", "level", 4)
 
 
+# -- many jobs over one table ------------------------------------------------------------------------
+
+_TARGETS = (*TARGETS, ("speed", "speed", "regression", None))
+NUMBER_JOBS = tuple(foldstats.Job(target, h) for target in ("load", "speed") for h in HORIZONS)
+CLASS_JOBS = tuple(foldstats.Job(target, h, k) for target, k in (("level", 4), ("incident", 2)) for h in HORIZONS)
+JOBS = (*NUMBER_JOBS, *CLASS_JOBS)
+_RIDGES = tuple(foldstats.Linear(name, "linear_regression", x) for name, x in (("linear_default", 0.0), ("ridge_light", 1.0), ("ridge_strong", 50.0)))
+_MARGINS = tuple(foldstats.Linear(name, "svm", x) for name, x in (("svm_regularized", 0.1), ("svm_default", 1.0)))
+FOLDS = (1, 2, 3, 4, 5)
+
+
+def _job_table(t: Tables) -> DataFrame:
+    """Every origin with both feature vectors, the labels of all jobs and its place in the folds."""
+    panel = t.clean().withColumns(
+        {"level": clean.capacity_band(F.col("load"), F.col("capacity")), "observed": ~F.col("inserted")}
+    )
+    ts = F.col("ts")
+    out = features.add_history(panel, SPEC, PLAN).withColumns({**features.clock_columns(ts), **features.peak_columns(ts, PLAN)})
+    out = features.add_targets(out.withColumns(features.cyclic_columns()), SPEC, _TARGETS, HORIZONS)
+    out = splits.assign(out, "ts", t.splits(), {h: f"target_ts_h{h}" for h in HORIZONS}).filter("history_available")
+    labels = []
+    for job in JOBS:
+        value = F.col(f"target_{job.target}_h{job.horizon}")
+        value = splits.encode(value, LEVELS) if job.target == "level" else value
+        usable = F.col(f"target_{job.target}_h{job.horizon}_available") & F.col(f"target_within_split_h{job.horizon}")
+        labels.append(F.when(usable, value.cast("double")))
+    base = durable(out.select("entity", "ts", "split", *NAMES, F.array(*labels).alias("labels"), *[f"target_ts_h{h}" for h in HORIZONS]))
+    groups = prep.feature_groups(base.schema, NAMES, bounded=_BOUNDED)
+    fitted = prep.fit(base.filter("split = 'train'"), groups)
+    made = fitted.transform(fitted.transform(base, "tree", "features"), "linear", "features_linear")
+    made = made.withColumn("x", vector_to_array("features_linear")).withColumns(foldstats.fold_places(F.col("ts"), _folds(t).collect()))
+    return made.drop(*NAMES)
+
+
+def job_table(t: Tables) -> DataFrame:
+    return t.kept("job_table", lambda: _job_table(t))
+
+
+def _labels_of(jobs: tuple[foldstats.Job, ...]):
+    return F.slice("labels", JOBS.index(jobs[0]) + 1, len(jobs))
+
+
+def _linear_folds(t: Tables, jobs: tuple[foldstats.Job, ...], candidates: tuple[foldstats.Linear, ...]) -> DataFrame:
+    rows = job_table(t).filter("split = 'train'").withColumn("labels", _labels_of(jobs))
+    return foldstats.fold_table(rows, jobs, candidates, FOLDS, len(NAMES), "x")
+
+
+def _placed(jobs) -> list[tuple[str, int]]:
+    return [(j.job_id, JOBS.index(j)) for j in jobs]
+
+
+def _number_folds(t: Tables) -> DataFrame:
+    """Folds of all number jobs: the linear family from shared sums, the trees from their own fits."""
+    trees = models.job_folds(
+        job_table(t), _placed(NUMBER_JOBS), [_SPECS["tree"]], FOLDS, lambda spec, _: models.build_regressor(spec),
+        lambda model, rows, _: models.regression_score(model, rows),
+    )
+    broken = models.job_folds(
+        job_table(t), _placed(NUMBER_JOBS[:1]), [models.Candidate("broken", "decision_tree", {"maxDepth": 99})], FOLDS,
+        lambda spec, _: models.build_regressor(spec), lambda model, rows, _: models.regression_score(model, rows),
+    )
+    return _linear_folds(t, NUMBER_JOBS, _RIDGES).unionByName(trees).unionByName(broken)
+
+
+def number_folds(t: Tables) -> DataFrame:
+    return t.kept("number_folds", lambda: _number_folds(t))
+
+
+def _class_folds(t: Tables) -> DataFrame:
+    """Folds of all class jobs; trees at the first horizon."""
+    first = [j for j in CLASS_JOBS if j.horizon == 1]
+    trees = models.job_folds(
+        job_table(t), _placed(first), [_CLASSIFIERS["tree"]], FOLDS, lambda spec, place: models.build_classifier(spec, JOBS[place].classes),
+        lambda model, rows, place: models.classifier_score(JOBS[place].classes)(model, rows), weigh=True,
+    )
+    return _linear_folds(t, CLASS_JOBS, _MARGINS).unionByName(trees)
+
+
+def class_folds(t: Tables) -> DataFrame:
+    return t.kept("class_folds", lambda: _class_folds(t))
+
+
 @query("ML11_cross_validation")
 def _(t: Tables) -> DataFrame:
-    rows = prepared(t, "load")
-    placed = durable(splits.fold_rows(rows, "ts", _folds(t)))
-    specs = [_SPECS["linear"], _SPECS["tree"], models.Candidate("broken", "decision_tree", {"maxDepth": 99})]
-    out = models.fold_scores(placed, specs, [1, 2, 3, 4, 5], models.regression_score, models.build_regressor)
-    return out.select("candidate_id", "family", "fold", "status", "error", F.element_at("metrics", "rmse").alias("rmse"))
+    return number_folds(t).select(
+        "job_id", "candidate_id", "family", "fold", "status", "error", *[F.element_at("metrics", m).alias(m) for m in ("rmse", "mae", "r_squared")]
+    )
+
+
+@query("ML11b_classifier_cross_validation")
+def _(t: Tables) -> DataFrame:
+    return class_folds(t).select(
+        "job_id", "candidate_id", "family", "fold", "status", "error", *[F.element_at("metrics", m).alias(m) for m in ("accuracy", "macro_f1")]
+    )
+
+
+def _model_cv(folds: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    wide = folds.withColumns({m: F.element_at("metrics", m) for m in names})
+    return models.aggregate_folds(wide, ["job_id", "family", "candidate_id"], names, len(FOLDS))
+
+
+@query("ML12b_model_fold_aggregates")
+def _(t: Tables) -> DataFrame:
+    numbers = _model_cv(number_folds(t), ("rmse",)).withColumn("metric", F.lit("rmse")).withColumnsRenamed({"mean_rmse": "mean", "std_rmse": "deviation"})
+    classes = _model_cv(class_folds(t), ("macro_f1",)).withColumn("metric", F.lit("macro_f1")).withColumnsRenamed({"mean_macro_f1": "mean", "std_macro_f1": "deviation"})
+    return tidy(numbers.unionByName(classes))
+
+
+_FEATURES = {"linear_regression": "features_linear", "decision_tree": "features"}
+
+
+def _finalists(t: Tables) -> list[dict]:
+    """Best candidate of each family of each number job by its folds, fitted on all training rows and scored on validation."""
+    table = models.choose_within_family(_model_cv(number_folds(t), ("rmse",)), ["job_id"], "mean_rmse").collect()
+    specs = {c.candidate_id: models.Candidate(c.candidate_id, c.family, {"regParam": c.strength}, "features_linear") for c in _RIDGES}
+    specs[_SPECS["tree"].candidate_id] = _SPECS["tree"]
+    rows = job_table(t)
+    jobs = {j.job_id: j for j in NUMBER_JOBS}
+
+    def fit(row) -> dict:
+        job, spec = jobs[row["job_id"]], specs[row["candidate_id"]]
+        mine = models.job_rows(rows, JOBS.index(job), spec.features)
+        model = models.build_regressor(spec).fit(mine.filter("split = 'train'"))
+        found = models.regression_score(model, mine.filter("split = 'validation'")).first()
+        return {
+            "job_id": job.job_id, "target": job.target, "horizon": job.horizon, "family": spec.family, "candidate_id": spec.candidate_id,
+            "features": spec.features, "model": model, "cv_rmse": row["mean_rmse"], "validation_rmse": found["rmse"],
+        }
+
+    with ThreadPoolExecutor(8) as pool:
+        return list(pool.map(fit, table))
+
+
+_FINALISTS = "job_id string, family string, candidate_id string, cv_rmse double, validation_rmse double"
+
+
+def _chosen_models(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The registry of the winners' saved models and the table that chose them."""
+    fitted = _finalists(t)
+    columns = [c.split()[0] for c in _FINALISTS.split(", ")]
+    table = t.spark.createDataFrame([tuple(f[c] for c in columns) for f in fitted], _FINALISTS)
+    won = {(r["job_id"], r["family"]) for r in models.choose_across_families(table, ["job_id"], "validation_rmse", "cv_rmse").collect()}
+    version = f"registry-{uuid.uuid4().hex[:12]}"
+    chosen = [f for f in fitted if (f["job_id"], f["family"]) in won]
+    return serving.save_models(t.spark, chosen, f"{shared_dir(t.spark)}/models", version), table
+
+
+def chosen_models(t: Tables) -> tuple[DataFrame, DataFrame]:
+    def build() -> DataFrame:
+        entries, table = _chosen_models(t)
+        won = entries.withColumn("job_id", F.concat("target", F.lit("_h"), F.col("horizon").cast("string")))
+        return table.join(won.drop("family"), ["job_id", "candidate_id"], "left")
+
+    kept = t.kept("chosen_models", build)
+    entries = kept.filter("path IS NOT NULL").select("target", "horizon", "family", "candidate_id", "features", "version", "path")
+    return entries, kept.select("job_id", "family", "candidate_id", "cv_rmse", "validation_rmse", F.col("path").isNotNull().alias("chosen"))
+
+
+@query("ML13b_model_winners")
+def _(t: Tables) -> DataFrame:
+    return tidy(chosen_models(t)[1])
+
+
+def served_numbers(t: Tables, parts: tuple[str, ...] = ("validation", "test")) -> DataFrame:
+    """Long predictions of the chosen models: one scan of the job table, each row by its own model."""
+    rows = job_table(t).filter(F.col("split").isin(*parts))
+    jobs = F.array(*[
+        F.struct(F.lit(j.target).alias("target"), F.lit(j.horizon).alias("horizon"), F.lit(j.horizon * 30).alias("horizon_minutes"),
+                 F.col(f"target_ts_h{j.horizon}").alias("target_ts"), F.col("labels")[JOBS.index(j)].alias("actual"))
+        for j in NUMBER_JOBS
+    ])
+    long = rows.select("entity", "ts", "split", "features", "features_linear", F.explode(jobs).alias("r")).select(
+        "entity", "ts", "split", "features", "features_linear", "r.*"
+    )
+    scored = serving.predict_routed(long.filter("actual IS NOT NULL"), chosen_models(t)[0])
+    return scored.drop("features", "features_linear").withColumn("residual", F.col("actual") - F.col("prediction"))
+
+
+@query("RT4b_routed_models")
+def _(t: Tables) -> DataFrame:
+    """Rows, models and errors of each routed job."""
+    out = metrics.regression_metrics(served_numbers(t), ["target", "horizon", "split", "routed"])
+    return out.select("target", "horizon", "split", "routed", "rows", "rmse", "r_squared")
 
 
 # Fold metrics of the two baseline forecasters, as candidates of two families.
@@ -251,12 +430,11 @@ def _(t: Tables) -> DataFrame:
 
 @query("ML18_regression_scoring")
 def _(t: Tables) -> DataFrame:
-    parts = []
-    for h in HORIZONS:
-        rows = prepared(t, "load", h)
-        model = models.build_regressor(_SPECS["tree"]).fit(rows.filter("split = 'train'"))
-        parts.append(models.regression_rows(model.transform(rows.filter("split <> 'train'")), f"load_h{h}", "load", h, "tree_v1"))
-    return reduce(DataFrame.unionByName, parts)
+    """Both targets at all horizons, by the chosen models."""
+    scored = served_numbers(t).withColumn("job_id", F.concat("target", F.lit("_h"), F.col("horizon").cast("string")))
+    return scored.select(
+        "entity", "ts", "target_ts", "split", "job_id", "target", "horizon", "horizon_minutes", "actual", "prediction", "residual", "model_version"
+    )
 
 
 @query("ML19_classification_scoring")
