@@ -216,20 +216,51 @@ class SigmoidCalibrator:
         return made.withColumn(out, F.transform(out, lambda x: x / total))
 
 
-def fit_sigmoid(df: DataFrame, scores: str, label: str, classes: int) -> SigmoidCalibrator:
-    """Logistic regression of class membership on the class's own score.
+def fit_sigmoid(df: DataFrame, scores: str, label: str, classes: int, steps: int = 50, tolerance: float = 1e-9) -> SigmoidCalibrator:
+    """Logistic curve of class membership on the class's own score, for all classes together.
 
-    For two classes the positive score alone is used.
+    Newton steps; each reads the rows once and gathers the sums of every class, five numbers a class.
+    A step that does not lower a class's loss is halved.  Targets are moved off 0 and 1 by the class's
+    counts, so perfectly separated scores have finite curves.  For two classes the positive score
+    alone is used.
     """
-    curves = []
-    for i in range(classes) if classes > 2 else (1,):
-        one = df.select(
-            array_to_vector(F.array(F.element_at(scores, i + 1))).alias("features"),
-            (F.col(label) == i).cast("double").alias("label"),
-        )
-        fit = mlc.LogisticRegression(maxIter=50).fit(one)
-        curves.append((float(fit.coefficients[0]), float(fit.intercept)))
-    return SigmoidCalibrator(tuple(curves), tuple(range(1, classes + 1)) if classes > 2 else (2,))
+    wanted = list(range(classes)) if classes > 2 else [1]
+    slim = df.select(*[F.element_at(scores, i + 1).cast("double").alias(f"s{i}") for i in wanted], F.col(label).cast("int").alias("y")).filter("y IS NOT NULL")
+    size = slim.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("y") == i).alias(f"n{i}") for i in wanted]).first()
+    if not size["n"]:
+        raise ValueError("No rows to calibrate on")
+    ends = {i: ((size[f"n{i}"] + 1) / (size[f"n{i}"] + 2), 1 / (size["n"] - size[f"n{i}"] + 2)) for i in wanted}
+    state = {i: (0.0, 0.0) for i in wanted}
+    accepted: dict[int, tuple] = {}
+    step = {i: (0.0, 0.0) for i in wanted}
+    for _ in range(steps):
+        aggs = []
+        for i in wanted:
+            x = F.col(f"s{i}")
+            t = F.when(F.col("y") == i, ends[i][0]).otherwise(ends[i][1])
+            z = F.lit(state[i][0]) * x + F.lit(state[i][1])
+            p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+            h = p * (1 - p)
+            sums = {"l": F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - t * z, "ga": (p - t) * x, "gb": p - t, "haa": h * x * x, "hab": h * x, "hbb": h}
+            aggs += [F.sum(e).alias(f"{n}{i}") for n, e in sums.items()]
+        row = slim.agg(*aggs).first()
+        moving = False
+        for i in wanted:
+            loss, ga, gb, haa, hab, hbb = (row[f"{n}{i}"] for n in ("l", "ga", "gb", "haa", "hab", "hbb"))
+            if i in accepted and loss > accepted[i][0] + 1e-12 * max(1.0, abs(loss)):
+                step[i] = (step[i][0] / 2, step[i][1] / 2)
+            else:
+                accepted[i] = (loss, state[i])
+                # A constant score leaves the slope open; a small ridge keeps it at 0.
+                haa, hbb = haa + 1e-10, hbb + 1e-10
+                det = haa * hbb - hab * hab
+                step[i] = ((hab * gb - hbb * ga) / det, (hab * ga - haa * gb) / det) if det > 1e-18 else (0.0, -gb / hbb)
+            if max(abs(step[i][0]), abs(step[i][1])) > tolerance:
+                moving = True
+            state[i] = (accepted[i][1][0] + step[i][0], accepted[i][1][1] + step[i][1])
+        if not moving:
+            break
+    return SigmoidCalibrator(tuple(accepted[i][1] for i in wanted), tuple(range(1, classes + 1)) if classes > 2 else (2,))
 
 
 # -- importance ------------------------------------------------------------------------------------
@@ -287,6 +318,13 @@ def wide_to_long(df: DataFrame, keys: Sequence[str], horizons: Sequence[int], me
     return df.select(*keys, F.explode(F.array(*records)).alias("r")).select(*keys, "r.*")
 
 
+def grouped_line(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """Slope and intercept of every group by its moments, in one aggregate."""
+    x_, y_ = F.col(x).cast("double"), F.col(y).cast("double")
+    sums = df.groupBy(*keys).agg(F.regr_slope(y_, x_).alias("slope"), F.regr_intercept(y_, x_).alias("intercept"))
+    return sums.select(*keys, "slope", "intercept")
+
+
 # -- least squares by gradient descent -------------------------------------------------------------
 
 

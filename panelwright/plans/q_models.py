@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed import durable, shared_dir
 from ..functions.scalars import rounded
-from ..operators import clean, features, foldstats, metrics, models, prep, registry, sequences, serving, splits
+from ..operators import clean, features, foldstats, metrics, models, prep, sequences, serving, splits, uncertainty
 from .frames import HORIZONS, LEVELS, PLAN, SPEC, TARGETS, Tables
 from .q_features import _folds
 from .registry import query, tidy
@@ -88,16 +88,8 @@ def _classifier_report(t: Tables, name: str, target: str, classes: int) -> DataF
     "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 3) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem GROUP BY 1",
 )
 def _(t: Tables) -> DataFrame:
-    lines = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(
-        t.lineitem.select("l_returnflag", "l_quantity", F.col("l_extendedprice").alias("label"))
-    )
-    spec = models.Candidate("linear_default", "linear_regression", {"solver": "normal"})
-    parts = []
-    # One fit per flag of the data; a flag is a one-letter code, so its list is short.
-    for flag in sorted(x[0] for x in t.lineitem.select("l_returnflag").distinct().collect()):
-        fit = models.build_regressor(spec).fit(lines.filter(F.col("l_returnflag") == flag))
-        parts.append((flag, round(float(fit.coefficients[0]), 3), round(float(fit.intercept), 2)))
-    return t.spark.createDataFrame(parts, "l_returnflag string, slope double, intercept double")
+    fit = models.grouped_line(t.lineitem, ["l_returnflag"], "l_quantity", "l_extendedprice")
+    return fit.select("l_returnflag", F.round("slope", 3).alias("slope"), F.round("intercept", 2).alias("intercept"))
 
 
 @query("ML3b_linear_regression_panel")
@@ -373,27 +365,80 @@ def _(t: Tables) -> DataFrame:
     return tidy(models.choose_across_families(within, ["horizon"], "mean_rmse", "mean_rmse").select("horizon", "family", "candidate_id", "mean_rmse"))
 
 
-def _calibrated(t: Tables) -> tuple[DataFrame, DataFrame]:
-    rows = prepared(t, "incident")
-    model = models.build_classifier(_CLASSIFIERS["tree"], 2).fit(models.weighted(rows.filter("split = 'train'")))
+def _calibrated(t: Tables, job: foldstats.Job, spec: models.Candidate) -> tuple[DataFrame, DataFrame]:
+    """Scores of the later validation half before and after calibration on the earlier half."""
+    rows = job_table(t).withColumn("label", F.col("labels")[JOBS.index(job)]).filter("label IS NOT NULL")
+    model = models.build_classifier(spec, job.classes).fit(models.weighted(rows.filter("split = 'train'").select("label", spec.features)))
     valid = splits.calibration_halves(rows.filter("split = 'validation'"), "ts")
-    scored = durable(models.class_scores(model.transform(valid), 2, "scores").select("entity", "ts", "half", "label", "scores"))
-    curve = models.fit_sigmoid(scored.filter("half = 'fit'"), "scores", "label", 2)
+    scored = durable(models.class_scores(model.transform(valid), job.classes, "scores").select("entity", "ts", "half", "label", "scores"))
+    curve = models.fit_sigmoid(scored.filter("half = 'fit'"), "scores", "label", job.classes)
     return scored.filter("half = 'assess'"), curve.transform(scored.filter("half = 'assess'"), "scores")
 
 
+_EVENT_JOB, _LEVEL_JOB = foldstats.Job("incident", 1, 2), foldstats.Job("level", 1, 4)
+
+
 @query("ML14_sigmoid_calibration")
 def _(t: Tables) -> DataFrame:
-    _, after = _calibrated(t)
+    _, after = _calibrated(t, _EVENT_JOB, _CLASSIFIERS["tree"])
     return after.select("entity", "ts", F.col("label").cast("int").alias("actual_class_index"), F.element_at("probabilities", 2).alias("probability"))
 
 
+@query("ML14b_multiclass_calibration")
+def _(t: Tables) -> DataFrame:
+    """Four classes; each class's curve keeps the order of its scores."""
+    _, after = _calibrated(t, _LEVEL_JOB, _CLASSIFIERS["tree"])
+    return after.select(
+        "entity", "ts", F.col("label").cast("int").alias("actual_class_index"), *[F.element_at("probabilities", i + 1).alias(f"probability_{i}") for i in range(4)]
+    )
+
+
+# Newton steps of all curves at once, as a recursive query.
+_NEWTON = """
+, pairs AS (
+  SELECT horizon, i AS class_index, probabilities[i + 1] AS s, actual_class_index = i AS hit, n, m
+  FROM (SELECT *, count(*) OVER (PARTITION BY horizon) AS n FROM classified WHERE task = 'level' AND split = 'validation') c, range(4) k(i)
+  JOIN (SELECT horizon AS hh, j, m FROM (SELECT horizon, j, count(*) FILTER (actual_class_index = j) AS m FROM classified, range(4) x(j) WHERE task = 'level' AND split = 'validation' GROUP BY 1, 2)) z ON z.j = k.i
+  WHERE z.hh = c.horizon),
+d AS (SELECT horizon, class_index, s, CASE WHEN hit THEN CAST(m + 1 AS DOUBLE) / (m + 2) ELSE CAST(1 AS DOUBLE) / (n - m + 2) END AS t FROM pairs),
+newton(step, horizon, class_index, a, b) AS (
+  SELECT DISTINCT 0, horizon, class_index, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM d
+  UNION ALL
+  SELECT step + 1, horizon, class_index, a + (hab * gb - hbb * ga) / (haa * hbb - hab * hab), b + (hab * ga - haa * gb) / (haa * hbb - hab * hab)
+  FROM (SELECT step, horizon, class_index, any_value(a) AS a, any_value(b) AS b, sum((p - t) * s) AS ga, sum(p - t) AS gb,
+               sum(p * (1 - p) * s * s) + 1e-10 AS haa, sum(p * (1 - p) * s) AS hab, sum(p * (1 - p)) + 1e-10 AS hbb
+        FROM (SELECT step, horizon, class_index, a, b, s, t, 1 / (1 + exp(-(a * s + b))) AS p FROM newton JOIN d USING (horizon, class_index) WHERE step < 30)
+        GROUP BY step, horizon, class_index))
+SELECT horizon, CAST(class_index AS INTEGER) AS class_index, round(a, 4) + 0 AS slope, round(b, 4) + 0 AS intercept FROM newton WHERE step = 30"""
+
+
+def _newton_sql() -> str:
+    head = with_ctes("classified", "SELECT 1")
+    return head[: head.rindex("SELECT 1")].rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + _NEWTON
+
+
+@query("ML14c_calibration_curves", _newton_sql())
+def _(t: Tables) -> DataFrame:
+    """Curves of the four level classes, fitted together for each horizon."""
+    rows = t.classified().filter("task = 'level' AND split = 'validation'").select("horizon", "probabilities", "actual_class_index")
+    out = []
+    for h in HORIZONS:
+        fit = models.fit_sigmoid(rows.filter(F.col("horizon") == h), "probabilities", "actual_class_index", 4)
+        out += [(h, i, a, b) for i, (a, b) in enumerate(fit.curves)]
+    table = t.spark.createDataFrame(out, "horizon int, class_index int, slope double, intercept double")
+    return table.select("horizon", "class_index", *[rounded(F.col(c), 4).alias(c) for c in ("slope", "intercept")])
+
+
 @query("ML15_calibration_choice")
 def _(t: Tables) -> DataFrame:
-    before, after = _calibrated(t)
-    raw = metrics.probability_quality(before.withColumn("job_id", F.lit("incident_h1")), ["job_id"], "scores", "label")
-    new = metrics.probability_quality(after.withColumn("job_id", F.lit("incident_h1")), ["job_id"], "probabilities", "label")
-    return metrics.calibration_decision(raw, new, ["job_id"], 0.0001)
+    """The decision for two and for four classes."""
+    out = []
+    for job in (_EVENT_JOB, _LEVEL_JOB):
+        before, after = _calibrated(t, job, _CLASSIFIERS["tree"])
+        raw = metrics.probability_quality(before.withColumn("job_id", F.lit(job.job_id)), ["job_id"], "scores", "label")
+        new = metrics.probability_quality(after.withColumn("job_id", F.lit(job.job_id)), ["job_id"], "probabilities", "label")
+        out.append(metrics.calibration_decision(raw, new, ["job_id"], 0.0001))
+    return out[0].unionByName(out[1])
 
 
 _CUTS = "[" + ", ".join(f"CAST({i / 200!r} AS DOUBLE)" for i in range(201)) + "]"
@@ -421,11 +466,17 @@ def _(t: Tables) -> DataFrame:
 
 @query("ML17_feature_importance")
 def _(t: Tables) -> DataFrame:
-    rows = prepared(t, "load")
-    train = rows.filter("split = 'train'")
-    tree = models.build_regressor(_SPECS["tree"]).fit(train)
-    line = models.build_regressor(_SPECS["linear"]).fit(train)
-    return models.importance_table(tree, NAMES, rows, "load_h1_tree").unionByName(models.importance_table(line, NAMES, rows, "load_h1_linear"))
+    """A tree and a linear model of a number, a tree of each class job."""
+    rows = job_table(t).filter("split = 'train'")
+    number = JOBS.index(NUMBER_JOBS[0])
+    fits = []
+    for name in ("tree", "linear"):
+        spec = _SPECS[name]
+        fits.append((f"load_h1_{name}", models.build_regressor(spec).fit(models.job_rows(rows, number, spec.features))))
+    for job in (_EVENT_JOB, _LEVEL_JOB):
+        mine = models.weighted(models.job_rows(rows, JOBS.index(job), "features"))
+        fits.append((f"{job.job_id}_tree", models.build_classifier(_CLASSIFIERS["tree"], job.classes).fit(mine)))
+    return reduce(DataFrame.unionByName, [models.importance_table(model, NAMES, rows, name) for name, model in fits])
 
 
 @query("ML18_regression_scoring")
@@ -437,12 +488,38 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+def _class_scored(t: Tables, job: foldstats.Job) -> DataFrame:
+    rows = job_table(t).withColumn("label", F.col("labels")[JOBS.index(job)]).filter("label IS NOT NULL")
+    rows = rows.withColumn("target_ts", F.col(f"target_ts_h{job.horizon}"))
+    train = rows.filter("split = 'train'").select("label", "features")
+    model = models.build_classifier(_CLASSIFIERS["tree"], job.classes).fit(models.weighted(train))
+    return models.class_scores(model.transform(rows.filter("split <> 'train'")), job.classes)
+
+
 @query("ML19_classification_scoring")
 def _(t: Tables) -> DataFrame:
-    rows = prepared(t, "level")
-    model = models.build_classifier(_CLASSIFIERS["tree"], 4).fit(models.weighted(rows.filter("split = 'train'")))
-    scored = models.class_scores(model.transform(rows.filter("split <> 'train'")), 4)
-    return models.classification_rows(scored, "level_h1", LEVELS, 1, "tree_v1")
+    """Four classes by the largest probability, all horizons."""
+    jobs = [j for j in CLASS_JOBS if j.target == "level"]
+    with ThreadPoolExecutor(4) as pool:
+        scored = list(pool.map(lambda j: _class_scored(t, j), jobs))
+    return reduce(DataFrame.unionByName, [models.classification_rows(s, j.job_id, LEVELS, j.horizon, "tree_v1") for j, s in zip(jobs, scored, strict=True)])
+
+
+@query("ML19b_thresholded_scoring")
+def _(t: Tables) -> DataFrame:
+    """Two classes by each job's own threshold, the best F1 on the validation rows, all horizons."""
+    jobs = [j for j in CLASS_JOBS if j.target == "incident"]
+
+    def one(job: foldstats.Job) -> DataFrame:
+        scored = durable(_class_scored(t, job).select("entity", "ts", "target_ts", "split", "label", "probabilities"))
+        valid = scored.filter("split = 'validation'").select(
+            F.lit(job.job_id).alias("job_id"), F.element_at("probabilities", 2).alias("p"), F.col("label").cast("int").alias("actual")
+        )
+        best = metrics.best_threshold(metrics.threshold_table(valid, ["job_id"], "p", "actual", 201, 0.5), ["job_id"]).first()
+        return models.classification_rows(scored, job.job_id, ("no_incident", "incident"), job.horizon, "tree_v1", best["threshold"] if best else 0.5)
+
+    with ThreadPoolExecutor(4) as pool:
+        return reduce(DataFrame.unionByName, list(pool.map(one, jobs)))
 
 
 @query(
@@ -453,6 +530,45 @@ def _(t: Tables) -> DataFrame:
     return models.wide_to_long(t.targets(), ["entity", "ts"], HORIZONS, {"target_ts": "target_ts", "actual": "target_load"})
 
 
+def _class_marks(t: Tables) -> DataFrame:
+    """Probabilities of every later row by the class models, calibrated where that helps, with thresholds and bands.
+
+    A row needs no label to be served.
+    """
+
+    def one(job: foldstats.Job) -> DataFrame:
+        rows = job_table(t).withColumn("label", F.col("labels")[JOBS.index(job)])
+        train = rows.filter("split = 'train' AND label IS NOT NULL").select("label", "features")
+        model = models.build_classifier(_CLASSIFIERS["tree"], job.classes).fit(models.weighted(train))
+        scored = models.class_scores(model.transform(rows.filter("split <> 'train'")), job.classes, "scores")
+        scored = durable(scored.select("entity", "ts", "split", "label", "scores"))
+        halves = durable(splits.calibration_halves(scored.filter("split = 'validation' AND label IS NOT NULL"), "ts"))
+        curve = models.fit_sigmoid(halves.filter("half = 'fit'"), "scores", "label", job.classes)
+        later = curve.transform(halves.filter("half = 'assess'"), "scores").withColumn("job_id", F.lit(job.job_id))
+        quality = [metrics.probability_quality(later, ["job_id"], c, "label") for c in ("scores", "probabilities")]
+        decision = metrics.calibration_decision(*quality, ["job_id"], 0.0001).first()
+        out = curve.transform(scored, "scores") if decision and decision["applied"] else scored.withColumn("probabilities", F.col("scores"))
+        threshold = None
+        if job.classes == 2:
+            valid = out.filter("split = 'validation' AND label IS NOT NULL").select(
+                F.lit(job.job_id).alias("job_id"), F.element_at("probabilities", 2).alias("p"), F.col("label").cast("int").alias("actual")
+            )
+            best = metrics.best_threshold(metrics.threshold_table(valid, ["job_id"], "p", "actual", 201, 0.5), ["job_id"]).first()
+            threshold = best["threshold"] if best else 0.5
+        event = F.element_at("probabilities", 2) if job.classes == 2 else F.lit(None).cast("double")
+        return out.withColumns({
+            "task": F.lit(job.target), "horizon": F.lit(job.horizon), "event_probability": event, "operating_threshold": F.lit(threshold).cast("double"),
+            "confidence_band": uncertainty.confidence_band(F.array_max("probabilities")),
+        }).withColumn("risk_band", uncertainty.risk_band(F.col("event_probability"), F.col("operating_threshold"))).drop("scores", "label")
+
+    with ThreadPoolExecutor(4) as pool:
+        return reduce(DataFrame.unionByName, list(pool.map(one, CLASS_JOBS)))
+
+
+def class_marks(t: Tables) -> DataFrame:
+    return t.kept("class_marks", lambda: _class_marks(t))
+
+
 cte("descent", "SELECT *, (l_quantity - 25.5) / 14.5 AS quantity, (l_discount - 0.05) / 0.03 AS discount, l_extendedprice / 10000 AS price FROM lineitem")
 
 

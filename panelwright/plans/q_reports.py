@@ -9,7 +9,8 @@ from ..functions import scalars as sc
 from ..functions.keyed import durable
 from ..functions.order_stats import quantiles
 from ..operators import aggregates as ag
-from ..operators import clean, metrics, registry, slices, uncertainty
+from ..operators import clean, enrich, metrics, registry, slices, uncertainty
+from . import q_models
 from .frames import LEVELS, PLAN, Tables
 from .q_metrics import enriched, paired, scored_classes
 from .registry import query, tidy
@@ -457,6 +458,32 @@ def _(t: Tables) -> DataFrame:
     return tidy(_served(t))
 
 
+def served_models(t: Tables) -> DataFrame:
+    """Both targets by their chosen models with conformal intervals, beside the calibrated class models."""
+    numbers = q_models.served_numbers(t)
+    widths = uncertainty.conformal_widths(numbers, 0.9)
+    numbers = enrich.attach_width(numbers, widths, uncertainty.CALIBRATION_KEY).withColumns(uncertainty.interval_columns())
+    marks = q_models.class_marks(t).filter("split = 'test'").withColumnRenamed("ts", "origin")
+    return registry.served_batch(numbers.filter("split = 'test'").withColumnRenamed("ts", "origin"), marks, ["load", "speed"], LEVELS, _VERSIONS)
+
+
+@query("RT5b_served_models")
+def _(t: Tables) -> DataFrame:
+    return t.kept("served_models", lambda: tidy(served_models(t)))
+
+
+@query("RT6b_served_models_contract")
+def _(t: Tables) -> DataFrame:
+    """The rules over the rows that the chosen models served, counted against the requests."""
+    batch = t.kept("served_models", lambda: tidy(served_models(t)))
+    asked = q_models.job_table(t).filter("split = 'test'").select(
+        F.explode(F.array(*[F.when(F.col("labels")[i].isNotNull() | F.col("labels")[i + 4].isNotNull(), F.lit(1)) for i in range(4)])).alias("x")
+    )
+    wanted = asked.agg(F.count("x")).scalar()
+    versions = [f"{x}_model_version" for x in ("load", "speed")]
+    return registry.output_contract(batch, ["load", "speed"], LEVELS, [*versions, *_VERSIONS], wanted)
+
+
 @query(
     "RT6_output_contract",
     with_ctes(
