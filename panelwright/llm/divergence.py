@@ -38,7 +38,7 @@ from .store import stored
 #: Shares are parts of this whole.
 WHOLE = 1_000_000_000
 #: Entries that a task counts before it hands them on.
-HELD_TERMS = 700_000
+HELD_TERMS = 200_000
 #: Groups up to which their table is broadcast (some 60 bytes each).
 BROADCAST_GROUPS = 50_000
 #: Node-ancestor pairs worked on at once.
