@@ -141,3 +141,21 @@ def test_calibration_keeps_order(spark):
     out = fit_sigmoid(df, "scores", "label", 2).transform(df, "scores").collect()
     positive = [r["probabilities"][1] for r in sorted(out, key=lambda r: r["scores"][1])]
     assert positive == sorted(positive) and positive[0] < 0.5 < positive[-1]
+
+
+def test_close_large_values_fill_no_bin(spark, monkeypatch):
+    """Values far from zero and close together: a bin is split until it is small, and ranks stay exact."""
+    from panelwright.functions import order_stats
+
+    monkeypatch.setattr(order_stats, "BIN_VALUES", 500)
+    n = 40_000
+    df = spark.range(n).select((F.col("id") % 2).cast("string").alias("g"), (F.lit(1.7e9) + (F.col("id") * 7919 % n) / 8).alias("v"))
+    wanted = {"low": 0.013, "mid": 0.5, "high": 0.997}
+    pandas = df.toPandas()
+    for groups, bounded in (([], True), (["g"], True), (["g"], False)):
+        got = order_stats.quantiles(df, groups, "v", wanted, bounded)
+        for row in got.collect():
+            mine = pandas if not groups else pandas[pandas["g"] == row["g"]]
+            assert [row[k] for k in wanted] == pytest.approx([mine["v"].quantile(p) for p in wanted.values()], rel=1e-15)
+    distinct, _ = order_stats._binned(df, ["g"], "v", {"rows": F.lit(1)})
+    assert distinct.groupBy("g", "_bin").count().agg(F.max("count")).first()[0] <= 500
