@@ -14,11 +14,12 @@ HOT_SHARE = 1000
 _SALTS = 1021
 
 
-def attach_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
+def attach_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, salt: Sequence[str] = ()) -> DataFrame:
     """Left join one-row-per-key ``right``, whose ``weight`` counts the key's rows on the left.
 
     The heaviest ``HOT_SHARE`` keys are joined by a broadcast of that many rows; all others by a
-    shuffle in which hot and null-key rows are spread over salts that match nothing.
+    shuffle in which hot and null-key rows are spread over salts that match nothing.  ``salt`` names
+    columns that tell rows apart; without it all columns are hashed.
     """
     keys = list(keys)
     values = [c for c in right.columns if c not in keys]
@@ -30,7 +31,7 @@ def attach_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str], weight
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(_SALTS)) + 1
+    spread = F.pmod(F.xxhash64(*(salt or left.columns)), F.lit(_SALTS)) + 1
     first = left.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.when(F.col(f"_hot_{weight}").isNotNull() | no_key, spread).otherwise(F.lit(0).cast("long"))
     )
@@ -84,3 +85,12 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan of fewer splits than the cluster has cores to all of them; a larger scan stays as it is.
+
+    For rows whose own work costs more than moving them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keyed import attach_by_key, settle
+from ..functions.keyed import attach_by_key, settle, spread, stored
 from ..functions.scalars import array_sum, is_blank, json_text, to_number
 from ..functions.windows import PanelSpec, over_chunks, plus_steps
 
@@ -278,14 +278,15 @@ def _reasons(findings: Column) -> Column:
 
 
 def annotate_cells(df: DataFrame, contract: Contract) -> DataFrame:
-    """All per-row rules: cleaned columns, ``_raw``, ``_findings`` and ``_reject``.  No shuffle.
+    """All per-row rules: cleaned columns, ``_raw``, ``_findings`` and ``_reject``.
 
+    No shuffle, but for a scan with fewer splits than cores.
     Text is parsed once into settled columns; findings and reject reasons are settled in turn.
     """
     parsed = {f"_n_{n.name}": to_number(F.col(n.name)) for n in contract.numbers}
     parsed |= {f"_s_{x.name}": shares_valid(x) for x in contract.shares}
     parsed["_clock"] = clock_value(contract.clock)
-    out = settle(df, parsed)
+    out = settle(spread(df), parsed)
     values = {n.name: F.col(f"_n_{n.name}") for n in contract.numbers}
     found: list[Column] = []
     for text in contract.texts:
@@ -329,25 +330,39 @@ def annotate_cells(df: DataFrame, contract: Contract) -> DataFrame:
     return settle(out, {"_reject": _reasons(F.col("_findings"))})
 
 
+def _raw_hash(columns: Sequence[str]) -> Column:
+    """128 bits of a row's raw values; nulls count by their place."""
+    nulls = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in columns])
+    return F.struct(F.xxhash64(nulls, *columns).alias("a"), F.xxhash64(F.lit(1), nulls, *columns).alias("b"))
+
+
+def winners_by_key(marked: DataFrame, contract: Contract) -> DataFrame:
+    """Most complete, then lowest-numbered surviving row of every key that has several.
+
+    ``_copies, _kept_row, _kept_hash``; only the key, the row number, the completeness and a hash of
+    the raw values are read and shuffled.
+    """
+    source_row = contract.lineage[1]
+    keys = list(contract.key)
+    order = F.struct(F.col("_complete").alias("c"), (-F.col(source_row)).alias("r"))
+    return marked.filter(F.size("_reject") == 0).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_copies"), F.max(F.struct(order.alias("o"), F.col(source_row).alias("row"), F.col("_hash").alias("hash"))).alias("_w")
+    ).filter("_copies > 1").select(*keys, "_copies", F.col("_w.row").alias("_kept_row"), F.col("_w.hash").alias("_kept_hash"))
+
+
 def retain_one_per_key(df: DataFrame, contract: Contract) -> DataFrame:
     """Reject all but the most complete, then lowest-numbered surviving row of each key.
 
-    The winner is a map-side combined aggregate; only keys with duplicates are joined back, hot
-    keys by a bounded broadcast.
+    The annotated rows are stored once; the winners come from their slim columns and are stored as
+    well, and the annotated rows then meet them once, hot keys by a bounded broadcast.
     """
     source_row = contract.lineage[1]
-    filled = [F.col(c).isNotNull().cast("int") for c in contract.columns]
-    complete = sum(filled[1:], filled[0])
     keys = list(contract.key)
-    survivors = df.filter(F.size("_reject") == 0)
-    order = F.struct(complete.alias("c"), (-F.col(source_row)).alias("r"))
-    winners = survivors.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_copies"),
-        F.max_by(F.struct(F.col(source_row).alias("row"), F.col("_raw").alias("raw")), order).alias("_kept"),
-    ).filter("_copies > 1")
-    joined = attach_by_key(df, winners, keys, "_copies")
-    lost = (F.size("_reject") == 0) & F.col("_kept").isNotNull() & (F.col(source_row) != F.col("_kept.row"))
-    exact = F.col("_raw").eqNullSafe(F.col("_kept.raw"))
+    filled = [F.col(c).isNotNull().cast("int") for c in contract.columns]
+    marked = stored(df.withColumns({"_complete": sum(filled[1:], filled[0]), "_hash": _raw_hash([f"_raw.{c}" for c in contract.columns])}))
+    joined = attach_by_key(marked, stored(winners_by_key(marked, contract)), keys, "_copies", salt=[source_row])
+    lost = (F.size("_reject") == 0) & F.col("_kept_row").isNotNull() & (F.col(source_row) != F.col("_kept_row"))
+    exact = F.col("_hash") == F.col("_kept_hash")
     duplicate = F.when(
         lost,
         F.struct(
@@ -356,11 +371,11 @@ def retain_one_per_key(df: DataFrame, contract: Contract) -> DataFrame:
             F.lit("duplicate_key").alias("reason_code"),
             F.lit(ROW).alias("disposition"),
             F.concat(F.lit("Duplicate key removed; exact_duplicate="), exact.cast("string")).alias("message"),
-            F.col("_kept.row").alias("retained_source_row"),
+            F.col("_kept_row").alias("retained_source_row"),
         ),
     )
     out = settle(joined, {"_findings": F.array_compact(F.array_append("_findings", duplicate))})
-    return settle(out, {"_reject": _reasons(F.col("_findings"))}).drop("_copies", "_kept")
+    return settle(out, {"_reject": _reasons(F.col("_findings"))}).drop("_copies", "_kept_row", "_kept_hash", "_complete", "_hash")
 
 
 def annotate(df: DataFrame, contract: Contract) -> DataFrame:
