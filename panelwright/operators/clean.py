@@ -284,6 +284,27 @@ def fill_summary(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     )
 
 
+def fill_report(grid: DataFrame, filled: DataFrame, spec: PanelSpec, fields: Sequence[str]) -> DataFrame:
+    """Per field: cells, missing after the grid was completed, still missing, and the longest missing run."""
+
+    def missing(df: DataFrame, name: str) -> DataFrame:
+        row = df.agg(F.count(F.lit(1)).alias("cells"), *[F.count_if(F.col(f).isNull()).alias(f) for f in fields])
+        return row.unpivot(["cells"], list(fields), "field", name)
+
+    runs = longest_missing_run(grid, spec, fields).groupBy("field").agg(F.max("longest_run").alias("longest_missing_run"))
+    before, after = missing(grid, "missing_after_grid"), missing(filled, "missing_after_fill").drop("cells")
+    return before.join(after, "field").join(runs, "field")
+
+
+def daily_summary(df: DataFrame, day: str, flags: Sequence[str]) -> DataFrame:
+    """Rows, coverage, days of each flag and its nulls in one row."""
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct(day).alias("unique_days"), F.min(day).alias("first_day"), F.max(day).alias("last_day"),
+        (F.date_diff(F.max(day), F.min(day)) + 1 - F.count_distinct(day)).cast("long").alias("missing_days"),
+        *[F.count_if(F.col(f) == 1).alias(f"{f}_days") for f in flags], *[F.count_if(F.col(f).isNull()).alias(f"{f}_nulls") for f in flags],
+    )
+
+
 def expand_shares(df: DataFrame, column: str, keys: Sequence[str], tolerance: float) -> DataFrame:
     """JSON shares to columns divided by their sum; invalid text gives nulls and ``shares_valid``."""
     parsed = F.from_json(column, "map<string,double>")

@@ -472,6 +472,18 @@ def row_accounting(annotated: DataFrame, dataset: str) -> DataFrame:
     )
 
 
+def accounting_with_total(annotated: DataFrame, dataset: str, total: str = "total") -> DataFrame:
+    """Accounting of several deliveries named by a column, and of all of them, in one aggregate."""
+    ok = F.size("_reject") == 0
+    sums = annotated.rollup(dataset).agg(
+        F.grouping(dataset).alias("_all"), F.count(F.lit(1)).alias("input_rows"), F.count_if(ok).alias("valid_rows"), F.count_if(~ok).alias("rejected_rows")
+    )
+    return sums.select(
+        F.when(F.col("_all") == 1, total).otherwise(F.col(dataset)).alias("dataset"), "input_rows", "valid_rows", "rejected_rows",
+        (F.col("input_rows") == F.col("valid_rows") + F.col("rejected_rows")).alias("accounted"),
+    )
+
+
 def upload_report(df: DataFrame, contracts: Sequence[Contract]) -> dict[str, DataFrame | str | None]:
     """Detected contract, accounting, 100-row previews and the first 500 issues of a delivery."""
     contract = detect(df.columns, contracts)

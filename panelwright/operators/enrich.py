@@ -82,6 +82,19 @@ def missing_widths(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("width").isNull()).alias("missing_widths"))
 
 
+def keys_without_width(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Calibration keys whose rows have no width, and how many rows."""
+    return df.filter(F.col("width").isNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def require_widths(predictions: DataFrame, calibration: DataFrame, keys: Sequence[str]) -> None:
+    """Fail when a prediction's key has no calibrated width, naming at most ten keys."""
+    known = calibration.filter(F.col("width").isNotNull()).select(*keys)
+    lost = predictions.select(*keys).distinct().join(known, list(keys), "left_anti").limit(10).collect()
+    if lost:
+        raise ValueError(f"No calibrated width for {[tuple(r) for r in lost]}")
+
+
 def pair_models(df: DataFrame, first: str, second: str, keys: Sequence[str], measures: Sequence[str], context: Sequence[str] = ()) -> DataFrame:
     """Both models' measures on their common keys, from one shuffle on the key.
 

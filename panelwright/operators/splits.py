@@ -95,6 +95,12 @@ def split_coverage(long: DataFrame) -> DataFrame:
     )
 
 
+def split_classes(long: DataFrame) -> DataFrame:
+    """Rows of each class per class target and split, over the eligible rows."""
+    usable = F.col("available") & F.col("within") & (F.col("kind") != "regression")
+    return long.filter(usable).groupBy("target", "split", F.col("value").alias("class")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def cv_folds(index: DataFrame, ts: str, folds: int, validation: int, gap: int) -> DataFrame:
     """Expanding training range, gap and validation range per fold, from one pass over the ranks."""
     n = F.col("total")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keyed import durable
 from ..functions.scalars import is_blank
-from ..operators import clean, features
+from ..operators import clean, enrich, features
 from ..operators import contracts as c
+from ..operators.stages import StageCounters
 from .frames import SPEC, Tables
 from .registry import query
 from .sql import cte, with_ctes
@@ -324,50 +323,114 @@ def _(t: Tables) -> DataFrame:
     return c.row_accounting(c.annotate(t.raw(), RAW), "events")
 
 
-def _counter(stage: str, frame: DataFrame, **values: Column) -> DataFrame:
-    row = frame.agg(*[v.cast("long").alias(n) for n, v in values.items()])
-    return row.unpivot([], list(values), "counter", "value").select(F.lit(stage).alias("stage"), "counter", "value")
-
-
 @query(
-    "VA20_stage_reconciliation",
-    "SELECT v.name AS \"check\", n > 0 AS passed FROM (SELECT count(*) AS n FROM events), (VALUES ('raw_validation_input_rows'),"
-    "('validation_row_accounting'),('traffic_duplicate_accounting'),('traffic_grid_accounting'),('context_rows_preserved'),"
-    "('merge_cardinality'),('join_coverage'),('feature_cardinality'),('processed_cardinality')) v(name)",
+    "VA19b_accounting_total",
+    with_ctes(
+        "va_issues raw",
+        """SELECT coalesce(d, 'total') AS dataset, count(*) AS input_rows, count(*) FILTER (NOT bad) AS valid_rows, count(*) FILTER (bad) AS rejected_rows, TRUE AS accounted
+        FROM (SELECT CASE WHEN source_row % 2 = 0 THEN 'even' ELSE 'odd' END AS d, source_row IN (SELECT source_row FROM va_issues WHERE disposition = 'row_rejected') AS bad FROM raw) GROUP BY ROLLUP (d)""",
+    ),
 )
 def _(t: Tables) -> DataFrame:
-    n = F.count(F.lit(1))
-    marked = durable(c.annotate(t.raw(), RAW))
-    ok = F.size("_reject") == 0
-    only_duplicate = F.array_contains("_reject", "duplicate_key")
+    """Two deliveries and their total."""
+    marked = c.annotate(t.raw(), RAW).withColumn("_dataset", F.when(F.col("source_row") % 2 == 0, "even").otherwise("odd"))
+    return c.accounting_with_total(marked, "_dataset")
+
+
+_STAGE_CHECKS = (
+    "raw_validation_input_rows", "validation_row_accounting", "traffic_duplicate_accounting", "traffic_grid_accounting", "context_rows_preserved",
+    "merge_cardinality", "join_coverage", "feature_cardinality", "processed_cardinality",
+)
+
+
+def _stage_run(t: Tables, broken: frozenset[str] = frozenset()) -> DataFrame:
+    """Log to features in stored stages, each counted by its own job; ``broken`` names defects to put in."""
+    n, run = F.count(F.lit(1)), StageCounters()
+    ok, duplicate = F.size("_reject") == 0, F.array_contains("_reject", "duplicate_key")
+    raw = run.watch("raw", t.raw(), rows=n)
+    marked = c.annotate(raw, RAW)
+    if "validation loses rows" in broken:
+        marked = marked.filter(F.col("source_row") % 7 != 0)
+    marked = run.run(
+        "validation", marked, input=n, valid=F.count_if(ok), rejected=F.count_if(~ok), keyed=F.count_if(ok | duplicate), duplicates=F.count_if(duplicate)
+    )
     facts = c.valid_rows(marked).select("entity", "ts", "volume").withColumn("grp", F.lit("all"))
+    facts = run.run("facts", facts, input=n)
     grid = clean.complete_grid(facts, SPEC, ["grp"], **clean.day_bounds(facts, SPEC))
-    made = features.add_history(grid, SPEC, features.FeaturePlan(measures=("volume",)))
-    done = features.add_targets(made, SPEC, (("volume", "volume", "regression", None),), (1,))
-    hourly, daily = t.hourly(), t.daily()
-    labelled = clean.canonical_labels(hourly, "condition", clean.CONDITION_MAP)
-    keyed = grid.groupBy("entity", "ts").agg(n.alias("k")).join(daily.select(F.col("date").alias("d")), F.to_date("ts") == F.col("d"), "left")
-    hours = hourly.select("hour").distinct().withColumn("h", F.lit(1))
-    merged = keyed.join(hours, F.date_trunc("hour", "ts").cast("timestamp_ntz") == F.col("hour"), "left")
-    parts = [
-        _counter("raw", t.events, rows=n),
-        _counter("validation", marked, input=n, valid=F.count_if(ok), rejected=F.count_if(~ok)),
-        _counter("facts", marked, raw=F.count_if(ok | only_duplicate), duplicates=F.count_if(only_duplicate), input=F.count_if(ok)),
-        _counter("facts", grid, inserted=F.count_if("inserted"), output=n),
-        _counter("hourly", hourly, input=n),
-        _counter("hourly", labelled, output=n),
-        _counter("daily", daily, input=n),
-        _counter("daily", clean.normalize_daily(daily, "date", ["event_flag"], [("event_flag", "event_name")]), output=n),
-        _counter(
-            "merge", merged, output=n, duplicates=F.sum(F.col("k") - 1),
-            hourly_missing=F.count_if(F.col("h").isNull()), daily_missing=F.count_if(F.col("d").isNull()),
-        ),
-        _counter("feature", grid, input=n),
-        _counter("feature", made, output=n),
-        _counter("processed", made, input=n),
-        _counter("processed", done, output=n),
-    ]
-    return c.reconcile(reduce(DataFrame.unionByName, parts))
+    grid = run.run("grid", grid, inserted=F.count_if("inserted"), output=n)
+    # One context row for an hour, whatever the group.
+    hours = t.hourly().groupBy("hour").agg(F.min("condition").alias("condition"), F.avg("temperature").alias("temperature")).withColumn("grp", F.lit("all"))
+    hourly = run.watch("hourly", hours, input=n)
+    hourly = run.run("hourly", clean.canonical_labels(hourly, "condition", clean.CONDITION_MAP).select("grp", "hour", "condition", "temperature"), output=n)
+    daily = run.watch("daily", t.daily(), input=n)
+    daily = clean.normalize_daily(daily, "date", ["event_flag"], [("event_flag", "event_name")]).drop("problems")
+    if "context loses a day" in broken:
+        daily = daily.filter(F.dayofmonth("date") != 9)
+    daily = run.run("daily", daily, output=n)
+    if "hours come twice" in broken:
+        hourly = hourly.unionByName(hourly.filter(F.hour("hour") == 3))
+    merged = enrich.join_daily(enrich.join_hourly(grid, hourly, group="grp", ts="ts"), daily, ts="ts")
+    merged = run.run(
+        "merge", merged, output=n, hourly_missing=F.count_if(F.col("temperature").isNull()), daily_missing=F.count_if(F.col("event_flag").isNull())
+    )
+    made = features.add_history(run.watch("feature", merged.dropDuplicates(["entity", "ts"]), input=n), SPEC, features.FeaturePlan(measures=("volume",)))
+    if "features lose an hour" in broken:
+        made = made.filter(F.hour("ts") != 5)
+    made = run.run("feature", made, output=n)
+    done = features.add_targets(run.watch("processed", made, input=n), SPEC, (("volume", "volume", "regression", None),), (1,))
+    run.run("processed", done, output=n)
+    return run.table(t.spark)
+
+
+def _reconciled(t: Tables, broken: frozenset[str] = frozenset()) -> DataFrame:
+    seen = durable(_stage_run(t, broken))
+    # The checks know the stages under their own names.
+    renamed = {("validation", "keyed"): ("facts", "raw"), ("validation", "duplicates"): ("facts", "duplicates"), ("grid", "inserted"): ("facts", "inserted"), ("grid", "output"): ("facts", "output")}
+    stage, counter = F.col("stage"), F.col("counter")
+    for (s, k), (s2, k2) in renamed.items():
+        here = (F.col("stage") == s) & (F.col("counter") == k)
+        stage, counter = F.when(here, s2).otherwise(stage), F.when(here, k2).otherwise(counter)
+    named = seen.select(stage.alias("stage"), counter.alias("counter"), "value")
+    value = lambda s, k: F.max(F.when((F.col("stage") == s) & (F.col("counter") == k), F.col("value")))
+    twice = seen.agg((value("merge", "output") - value("feature", "input")).alias("value")).select(
+        F.lit("merge").alias("stage"), F.lit("duplicates").alias("counter"), "value"
+    )
+    return c.reconcile(named.unionByName(twice))
+
+
+def _checks_sql(red: dict[str, str]) -> str:
+    """Every check with whether the data holds no row that a seeded defect takes or adds."""
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS \"check\", {red.get(name, 'TRUE')} AS passed" for name in _STAGE_CHECKS)
+    return rows
+
+
+@query("VA20_stage_reconciliation", _checks_sql({}))
+def _(t: Tables) -> DataFrame:
+    return _reconciled(t)
+
+
+@query(
+    "VA20b_broken_validation",
+    _checks_sql({"raw_validation_input_rows": "(SELECT count(*) = 0 FROM events WHERE event_id % 7 = 0)"}),
+)
+def _(t: Tables) -> DataFrame:
+    """A validation that loses rows turns its own check red and no other."""
+    return _reconciled(t, frozenset({"validation loses rows"}))
+
+
+_LOST_DAY = "(SELECT count(*) = 0 FROM events WHERE day(ts) = 9)"
+
+
+@query(
+    "VA20c_broken_context_and_features",
+    _checks_sql({
+        "context_rows_preserved": _LOST_DAY, "join_coverage": _LOST_DAY, "merge_cardinality": "(SELECT count(*) = 0 FROM events WHERE hour(ts) = 3)",
+        "feature_cardinality": "(SELECT count(*) = 0 FROM events)",
+    }),
+)
+def _(t: Tables) -> DataFrame:
+    """A lost day of context, hours that come twice and features that lose an hour: four checks red."""
+    return _reconciled(t, frozenset({"context loses a day", "hours come twice", "features lose an hour"}))
 
 
 @query(
@@ -450,6 +513,43 @@ def _(t: Tables) -> DataFrame:
     return c.upload_report(t.raw(), [RAW])["issues"]
 
 
+@query(
+    "VA25b_upload_accounting",
+    with_ctes(
+        "va_issues raw",
+        f"SELECT 'events' AS dataset, count(*) AS input_rows, count(*) - {_REJ} AS valid_rows, {_REJ} AS rejected_rows, TRUE AS accounted FROM raw",
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    return c.upload_report(t.raw(), [RAW])["accounting"]
+
+
+@query(
+    "VA25c_valid_preview",
+    with_ctes(
+        "va_issues va_parsed",
+        """SELECT p.source_row, entity, ts, CASE WHEN EXISTS (SELECT 1 FROM va_cells i WHERE i.source_row = p.source_row AND i.disposition = 'cell_invalidated')
+        THEN 'valid_with_issues' ELSE 'valid' END AS validation_status FROM va_parsed p
+        WHERE source_row NOT IN (SELECT source_row FROM va_issues WHERE disposition = 'row_rejected') ORDER BY source_row LIMIT 100""",
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    return c.upload_report(t.raw(), [RAW])["valid_preview"].select("source_row", "entity", "ts", "validation_status")
+
+
+@query(
+    "VA25d_rejected_preview",
+    with_ctes(
+        "va_issues raw",
+        """SELECT p.source_row, entity, date, time, r.reasons AS rejection_reason FROM raw p JOIN
+        (SELECT source_row, array_to_string(list_sort(list_distinct(list(reason_code))), '|') AS reasons FROM va_issues
+         WHERE disposition = 'row_rejected' GROUP BY 1) r USING (source_row) ORDER BY source_row LIMIT 100""",
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    return c.upload_report(t.raw(), [RAW])["rejected_preview"].select("source_row", "entity", "date", "time", "rejection_reason")
+
+
 @query("VA26_inputs_untouched", "SELECT v.side AS side, n - n AS rows FROM (SELECT count(*) AS n FROM events), (VALUES ('lost'),('added')) v(side)")
 def _(t: Tables) -> DataFrame:
     before = t.clean()

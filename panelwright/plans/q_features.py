@@ -233,6 +233,20 @@ def _(t: Tables) -> DataFrame:
     return splits.split_coverage(placed.withColumn("within", F.coalesce(F.col("target_ts") <= F.col("_split_end"), F.lit(False))))
 
 
+@query(
+    "SP4c_split_classes",
+    with_ctes(
+        "target_long cuts",
+        f"SELECT target, split, value AS class, count(*) AS rows FROM (SELECT *, {SPLIT.format('ts')} AS split, coalesce(target_ts <= {SPLIT_END.format('ts')}, FALSE) AS within FROM target_long, cuts) "
+        "WHERE kind <> 'regression' AND available AND within GROUP BY 1, 2, 3",
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    long = features.target_long(t.targets(), TARGETS, HORIZONS, ["entity", "ts"])
+    placed = splits.with_split(long, "ts", t.splits())
+    return splits.split_classes(placed.withColumn("within", F.coalesce(F.col("target_ts") <= F.col("_split_end"), F.lit(False))))
+
+
 cte(
     "folds",
     """SELECT CAST(k + 1 AS INTEGER) AS fold, min(ts) AS train_start, max(CASE WHEN rk = s - 5 THEN ts END) AS train_end, max(CASE WHEN rk = s - 4 THEN ts END) AS gap_start,

@@ -211,6 +211,25 @@ def _(t: Tables) -> DataFrame:
     return clean.fill_summary(_filled(t), ["volume"])
 
 
+_FIELDS = ("volume", "speed", "load")
+
+
+@query(
+    "CL14b_fill_report",
+    with_ctes(
+        "grid clean",
+        " UNION ALL ".join(
+            f"""SELECT '{f}' AS field, (SELECT count(*) FROM grid) AS cells, (SELECT count(*) FROM grid WHERE {f} IS NULL) AS missing_after_grid,
+            (SELECT count(*) FROM clean WHERE {f} IS NULL) AS missing_after_fill, coalesce(max(n), 0) AS longest_missing_run FROM (SELECT entity, count(*) FILTER (gap) AS n FROM
+            (SELECT entity, {f} IS NULL AS gap, count({f}) OVER (PARTITION BY entity ORDER BY ts) AS island FROM grid) GROUP BY entity, island)"""
+            for f in _FIELDS
+        ),
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    return clean.fill_report(t.grid(), t.clean(), SPEC, _FIELDS)
+
+
 _SHARES = """SELECT source_row, mix_ok AS shares_valid, CASE WHEN mix_ok THEN a + b END AS share_sum,
     CASE WHEN mix_ok THEN abs(a + b - 1) > 1e-8 + 1e-5 END AS shares_normalized, CASE WHEN mix_ok THEN a / (a + b) END AS share_a,
     CASE WHEN mix_ok THEN b / (a + b) END AS share_b FROM (SELECT *, try_cast(CASE WHEN mix_ok THEN json_extract_string(mix, '$.a') END AS DOUBLE) AS a,
@@ -348,6 +367,18 @@ def _(t: Tables) -> DataFrame:
     return clean.context_summary(t.hourly(), "grp", "hour", ["temperature", "visibility"])
 
 
+@query(
+    "CL21b_daily_summary",
+    with_ctes(
+        "daily",
+        "SELECT count(*) AS rows, count(DISTINCT date) AS unique_days, min(date) AS first_day, max(date) AS last_day, CAST(max(date) - min(date) + 1 - count(DISTINCT date) AS BIGINT) AS missing_days, "
+        + ", ".join(f"count(*) FILTER ({f} = 1) AS {f}_days, count(*) - count({f}) AS {f}_nulls" for f in ("public_holiday", "event_flag", "roadwork_flag")) + " FROM daily",
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    return clean.daily_summary(t.daily(), "date", ["public_holiday", "event_flag", "roadwork_flag"])
+
+
 @query(
     "JN1_hourly_context",
     with_ctes("merged", "SELECT entity, ts, aligned_hour, condition, temperature, rainfall, visibility, hour_row_id, hourly_join_status FROM merged"),
@@ -409,10 +440,23 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     preds = t.forecasts()
     widths = uncertainty.conformal_widths(preds, 0.9)
+    enrich.require_widths(preds, widths, uncertainty.CALIBRATION_KEY)
     out = enrich.attach_width(preds, widths, uncertainty.CALIBRATION_KEY)
     return out.select("entity", "ts", "horizon", "model_version", "calibration_rows", rounded(F.col("width")).alias("width"))
 
 
+@query(
+    "JN6b_missing_widths",
+    with_ctes("forecasts", "SELECT model_version, target, horizon, count(*) AS rows FROM forecasts WHERE horizon = 4 GROUP BY 1, 2, 3"),
+)
+def _(t: Tables) -> DataFrame:
+    """Keys of predictions for which no width was calibrated."""
+    preds = t.forecasts()
+    widths = uncertainty.conformal_widths(preds, 0.9).filter("horizon <> 4")
+    out = enrich.attach_width(preds, widths, uncertainty.CALIBRATION_KEY)
+    return enrich.keys_without_width(out, ["model_version", "target", "horizon"])
+
+
 @query("JN7_paired_models", with_ctes("paired", "SELECT entity, ts, horizon, split, actual, prediction_first, prediction_second, FALSE AS actual_differs, FALSE AS key_repeated FROM paired"))
 def _(t: Tables) -> DataFrame:
     out = enrich.pair_models(t.forecasts(), "last_value", "same_window_yesterday", _PAIR_KEY, ["prediction"])
