@@ -39,6 +39,20 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "IO1b_quoted_csv",
+    "SELECT event_id, concat('<p>', chr(10), 'it said \"', event_type, '\", ', chr(10), chr(10), repeat('z', CAST(event_id % 5 AS INTEGER))) AS note, CAST(value AS VARCHAR) AS value FROM events",
+)
+def _(t: Tables) -> DataFrame:
+    """A table whose text holds quotes, commas and line breaks, written and read back in small splits."""
+    path = _out(t, "quoted_csv")
+    note = F.concat(F.lit('<p>\nit said "'), "event_type", F.lit('", \n\n'), F.expr("repeat('z', CAST(event_id % 5 AS INT))"))
+    out = t.events.select("event_id", note.alias("note"), F.col("value").cast("string").alias("value"))
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    out.write.options(header=True, escape='"', quoteAll=True, **keep).csv(path)
+    return io.read_quoted_csv(t.spark, path).select(F.col("event_id").cast("long").alias("event_id"), "note", "value")
+
+
 @query(
     "IO2_parquet_pruned_columns",
     f"SELECT l_returnflag, count(*) AS n, {r('sum(l_quantity)')} AS quantity FROM lineitem GROUP BY 1",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 from collections.abc import Sequence
 
@@ -39,6 +41,68 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     )
 
 
+def _located_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Physical lines with the file and the split they lie in, and their order in the split."""
+    return spark.read.option("lineSep", "\n").text(path).select(
+        F.col("value").alias("_line"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("_source_file"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mid"),
+    )
+
+
+def quoted_records(spark: SparkSession, path: str) -> DataFrame:
+    """``_source_file, _record, _text`` of CSV files whose quoted fields may hold line breaks.
+
+    A line break ends a record where the quotes before it are even in number.  A split does not know
+    how many came before it, so it reports its own parity and how many records begin in it for both
+    entry states; a running combination over a file's splits then tells each one its state and its
+    first record number.  Only the lines of records that take more than one line are shuffled.
+    Records are numbered from 1 in each file, the header included; blank lines are none.
+    """
+    lines = _located_lines(spark, path)
+    # Doubled quotes inside a field leave the parity as it is.
+    quotes = F.length("_line") - F.length(F.replace(F.col("_line"), F.lit('"'), F.lit("")))
+    inside = Window.partitionBy("_path", "_block").orderBy("_mid")
+    marked = lines.withColumn("_quotes", quotes.cast("long")).withColumns({
+        "_odd": F.coalesce(F.sum("_quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")) % 2,
+        "_blank": F.regexp_like(F.col("_line"), F.lit("^\r?$")),
+    })
+    begins = lambda state: F.count_if((F.col("_odd") == state) & ~F.col("_blank"))
+    splits = marked.groupBy("_path", "_block").agg((F.sum("_quotes") % 2).alias("_parity"), begins(0).alias("_begin0"), begins(1).alias("_begin1"))
+    earlier = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    entry = F.coalesce(F.sum("_parity").over(earlier), F.lit(0).cast("long")) % 2
+    splits = splits.withColumn("_entry", entry)
+    here = F.when(F.col("_entry") == 0, F.col("_begin0")).otherwise(F.col("_begin1"))
+    splits = splits.withColumn("_before", F.coalesce(F.sum(here).over(earlier), F.lit(0).cast("long"))).select("_path", "_block", "_entry", "_before")
+    placed = marked.join(splits, ["_path", "_block"])
+    outside = F.col("_odd") == F.col("_entry")
+    starts = outside & ~F.col("_blank")
+    placed = placed.withColumn("_record", F.col("_before") + F.count_if(starts).over(inside)).withColumns({
+        "_starts": starts, "_alone": starts & (F.col("_quotes") % 2 == 0), "_idle": outside & F.col("_blank"),
+    })
+    ended = F.regexp_replace("_text", "\r$", "")
+    single = placed.filter("_alone").select("_source_file", "_path", "_record", F.col("_line").alias("_text"))
+    pieces = placed.filter("NOT _alone AND NOT _idle")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "_mid", "_line"))), lambda x: x["_line"]), "\n")
+    several = pieces.groupBy("_source_file", "_path", "_record").agg(text.alias("_text"))
+    return single.unionByName(several).select("_source_file", "_path", "_record", ended.alias("_text"))
+
+
+def read_quoted_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Headered CSV with line breaks inside quotes, as text plus ``_source_file`` and ``_source_row``.
+
+    Files are read in parallel splits; the first data row of a file is row 2.  All files must have
+    the same header.
+    """
+    records = quoted_records(spark, path)
+    headers = [r["_text"] for r in records.filter("_record = 1").select("_text").distinct().limit(2).collect()]
+    if len(headers) != 1:
+        raise ValueError("Files have different headers" if headers else "No header found")
+    names = next(csv.reader(io.StringIO(headers[0], newline="")))
+    fields = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    parsed = F.from_csv("_text", fields, {"escape": '"'})
+    return records.filter("_record > 1").select(parsed.alias("_r"), "_source_file", F.col("_record").alias("_source_row")).select("_r.*", "_source_file", "_source_row")
+
+
 def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Parquet table, scanning only ``columns`` when given."""
     frame = spark.read.parquet(path)
@@ -117,6 +181,6 @@ def export_check(source: DataFrame, exported: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "export_check", "read_csv", "read_parquet", "record_text", "significant_text",
+    "export_check", "quoted_records", "read_csv", "read_parquet", "read_quoted_csv", "record_text", "significant_text",
     "version_path", "write_csv", "write_json", "write_parquet",
 ]
