@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keyed import stored
 from ..functions.order_stats import quantiles
 from ..functions.scalars import array_sum, blank_to_null, close_to, is_blank, rounded, to_number
 from ..functions.windows import PanelSpec, last_known_marker, over_chunks, plus_steps
@@ -141,6 +142,7 @@ def causal_fill(
     lag_steps: int = 48,
     forward_limit: int = 1,
     peers: str | None = None,
+    peer_text: bool = True,
 ) -> DataFrame:
     """Fill one field from the past only, with the method and donor of every cell.
 
@@ -179,14 +181,13 @@ def causal_fill(
             open_cells, [spec.ts, peers], "left_semi"
         ).filter(F.col("_v").isNotNull())
         middle = quantiles(near, [spec.ts, peers], "_v", {"_peer": 0.5})
-        rows = near.groupBy(spec.ts, peers).agg(F.array_sort(F.collect_set(row_id)).alias("_peer_rows"))
-        base = base.join(middle.join(rows, [spec.ts, peers]), [spec.ts, peers], "left")
+        base = base.join(middle, [spec.ts, peers], "left")
         gap = F.col("_d3").isNull() & F.col("_peer").isNotNull()
         kind = dict(df.dtypes)[field]
         peer_value = F.col("_peer") if kind == "double" else F.rint("_peer").cast(kind)
         value = F.when(gap, peer_value).otherwise(value)
         method = F.when(gap, PEERS).otherwise(method)
-        donors = F.when(gap, F.col("_peer_rows")).otherwise(donors)
+        donors = F.when(~gap, donors)
         at = F.when(gap, ts).otherwise(at)
     method = F.coalesce(method, F.lit("unresolved"))
     imputed = method != OBSERVED
@@ -199,7 +200,32 @@ def causal_fill(
             f"{field}_donor_rows": F.when(imputed, F.to_json(donors)),
         }
     ).withColumn(field, F.col("_value"))
-    return out.drop("_value", "_d0", "_d1", "_d2", "_d3", "_peer", "_peer_rows")
+    out = out.drop("_value", "_d0", "_d1", "_d2", "_d3", "_peer")
+    if not peers or not peer_text:
+        return out
+    out = stored(out)
+    return with_donor_text(out, donor_edges(out, spec, field, peers, row_id), spec, field, peers)
+
+
+def donor_edges(filled: DataFrame, spec: PanelSpec, field: str, peers: str, row_id: str = "row_id") -> DataFrame:
+    """(timestamp, group, donor row) of the groups that gave a peer median, one row for each donor.
+
+    Cells refer to their donors by timestamp and group, so nothing is repeated for every cell.
+    """
+    key, method = [spec.ts, peers], F.col(f"{field}_method")
+    asked = filled.filter(method == PEERS).select(*key).distinct()
+    givers = filled.filter((method != PEERS) & F.col(field).isNotNull() & F.col(row_id).isNotNull())
+    return givers.select(*key, F.col(row_id).alias("donor_row")).join(asked, key, "left_semi").distinct()
+
+
+def with_donor_text(cells: DataFrame, edges: DataFrame, spec: PanelSpec, field: str, peers: str) -> DataFrame:
+    """``cells`` with the JSON list of the donors of their peer medians; only their own groups are put together."""
+    key = [spec.ts, peers]
+    wanted = cells.filter(F.col(f"{field}_method") == PEERS).select(*key).distinct()
+    texts = edges.join(wanted, key, "left_semi").groupBy(*key).agg(F.to_json(F.array_sort(F.collect_list("donor_row"))).alias("_text"))
+    joined = cells.join(texts, key, "left")
+    text = F.when(F.col(f"{field}_method") == PEERS, F.col("_text")).otherwise(F.col(f"{field}_donor_rows"))
+    return joined.withColumn(f"{field}_donor_rows", text).drop("_text")
 
 
 def fill_fields(

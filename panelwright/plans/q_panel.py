@@ -49,7 +49,7 @@ cte(
 
 
 def _filled(t: Tables) -> DataFrame:
-    return clean.causal_fill(t.grid(), SPEC, "volume", lag_steps=48, forward_limit=2, peers="grp")
+    return t.kept("filled", lambda: clean.causal_fill(t.grid(), SPEC, "volume", lag_steps=48, forward_limit=2, peers="grp", peer_text=False))
 
 
 @query("CL1_complete_grid", with_ctes("grid", "SELECT entity, grp, ts, row_id, volume, speed, load, incidents, capacity, inserted FROM grid"))
@@ -175,9 +175,21 @@ def _(t: Tables) -> DataFrame:
     with_ctes("filled", "SELECT entity, ts, volume_donor_row, volume_donor_ts, volume_donor_rows FROM filled WHERE volume_method <> 'observed'"),
 )
 def _(t: Tables) -> DataFrame:
-    return _filled(t).filter(F.col("volume_method") != clean.OBSERVED).select(
-        "entity", "ts", "volume_donor_row", "volume_donor_ts", "volume_donor_rows"
-    )
+    cells = _filled(t).filter(F.col("volume_method") != clean.OBSERVED)
+    edges = clean.donor_edges(_filled(t), SPEC, "volume", "grp")
+    return clean.with_donor_text(cells, edges, SPEC, "volume", "grp").select("entity", "ts", "volume_donor_row", "volume_donor_ts", "volume_donor_rows")
+
+
+@query(
+    "CL11b_donor_edges",
+    with_ctes(
+        "filled",
+        "SELECT DISTINCT ts, grp, CAST(unnest(from_json(volume_donor_rows, '[\"BIGINT\"]')) AS BIGINT) AS donor_row FROM filled WHERE volume_method = 'same_timestamp_station_median'",
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    """Donors of the peer medians, once for each timestamp and group."""
+    return clean.donor_edges(_filled(t), SPEC, "volume", "grp")
 
 
 @query(
