@@ -30,8 +30,8 @@ from .flat import pieces, ragged
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 _NONE = np.int64(1 << 40)
-#: Distinct words a task remembers before it starts anew.
-CACHE_WORDS = 400_000
+#: Distinct words, and characters in them, that a task remembers before it starts anew.
+CACHE_WORDS, CACHE_CHARACTERS = 400_000, 4_000_000
 
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -185,11 +185,13 @@ class Encoder:
 
     def _clear(self) -> None:
         self.code: dict[str, int] = {}
+        self.characters = 0
         self.ids, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, new: list[str]) -> None:
         points = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         lengths = np.fromiter(map(len, new), np.int64, len(new))
+        self.characters += int(lengths.sum())
         single = self.t["singles"][points]
         symbols = np.where(single >= 0, single, self.t["size"] + points)
         symbols, word = merge_words(symbols, np.repeat(np.arange(len(new)), lengths), self.t)
@@ -216,7 +218,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids with the end id after each text, and offsets."""
-        if len(self.code) > CACHE_WORDS:
+        if len(self.code) > CACHE_WORDS or self.characters > CACHE_CHARACTERS:
             self._clear()
         split = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         seen = dict.fromkeys(w for words in split for w in words)
@@ -295,3 +297,24 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out])
 
     return mapped(df, run, schema)
+
+
+def encode_decode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """The rows with ids and with the text they stand for in place of their text, in one pass.
+
+    A task holds one worker, and in it one piece of a batch with its ids; the text leaves it no more.
+    """
+    kept = [f for f in df.schema if f.name not in (text, ids, decoded)]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], f"`{ids}` array<int>", f"`{decoded}` string"])
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
+        for batch in batches:
+            for part in pieces(batch, text):
+                flat, offsets = encoder.encode(part.column(text).to_pylist())
+                texts = [decoder.decode(flat[a:b].tolist()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], column, pa.array(texts, pa.string())], names=[*names, ids, decoded])
+
+    return mapped(df.select(*names, text), run, schema)

@@ -96,9 +96,7 @@ def hex_digest(text: Column) -> Column:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = pieces_bpe.Vocabulary.load(PIECE_MODEL)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = pieces_bpe.encode(docs, vocabulary).drop("text")
-    decoded = pieces_bpe.decode(encoded, vocabulary)
-    return decoded.select(
+    return pieces_bpe.encode_decode(docs, vocabulary).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         hex_digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
         hex_digest(F.col("decoded")).alias("decoded_sha256"),

@@ -178,3 +178,16 @@ def test_query_columns(spark):
         assert r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(model.decode(ids).encode()).hexdigest()
+
+
+def test_codec_in_one_pass_equals_two(spark, monkeypatch):
+    """Also with a memory of few characters, and with columns that clash."""
+    monkeypatch.setattr(pieces_bpe, "CACHE_CHARACTERS", 50)
+    vocabulary = pieces_bpe.Vocabulary.load(PIECE_MODEL)
+    docs = frame(spark, texts()).withColumn("ids", F.lit("clash"))
+    one = pieces_bpe.encode_decode(docs, vocabulary)
+    two = pieces_bpe.decode(pieces_bpe.encode(docs, vocabulary), vocabulary).drop("text")
+    assert one.columns == two.columns
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["ids"])
+    assert sorted(one.collect(), key=key) == sorted(two.collect(), key=key)
+    assert pieces_bpe.encode_decode(empty(spark), vocabulary).collect() == []
