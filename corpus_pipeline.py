@@ -44,9 +44,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the ids of the text with an end id, their number, and the text they decode to."""
     vocabulary = pieces_bpe.Vocabulary.load(PIECE_MODEL)
-    encoded = pieces_bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary).drop("text")
-    decoded = pieces_bpe.decode(encoded, vocabulary)
-    return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+    coded = pieces_bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), vocabulary)
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [
