@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .keyed import stored
+from .ranges import range_ranked
 
 # Bins per doubling of the value (0.07 % wide) and an offset above every double's exponent.
 _PER_OCTAVE = 1024
@@ -245,18 +246,6 @@ def quantiles(
 def ordered_index(df: DataFrame, ts: str) -> DataFrame:
     """``ts, rank, total``: 0-based rank of each distinct timestamp and how many there are.
 
-    Ranks are counted by day, so only the day totals are ordered across days.
+    Timestamps are ranked range by range; a day of ten million times is as many tasks as it needs.
     """
-    distinct = df.select(ts).filter(F.col(ts).isNotNull()).distinct()
-    distinct = distinct.withColumn("_day", F.to_date(ts))
-    days = distinct.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per calendar day: a century is 36,525 rows.
-    earlier = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    days = days.select(
-        "_day", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("total")
-    )
-    inside = Window.partitionBy("_day").orderBy(ts)
-    return distinct.join(days, "_day").select(
-        ts, (F.col("_before") + F.row_number().over(inside) - 1).cast("long").alias("rank"), "total"
-    )
+    return range_ranked(df.select(ts).filter(F.col(ts).isNotNull()).distinct(), [ts]).select(ts, "rank", "total")

@@ -9,12 +9,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.keyed import attach_by_key
 from ..functions.order_stats import quantiles
+from ..functions.ranges import range_ranked
 from .profile import unpivoted
 
 
@@ -145,6 +148,32 @@ def one_hot(df: DataFrame, categories: DataFrame, column: str, out: str) -> Data
     return fitted.withColumn(out, hot).drop("_fit")
 
 
+def dictionary(train: DataFrame, column: str) -> DataFrame:
+    """``value, index, size, rows`` of every category of a column in sorted order, one row each.
+
+    Missing values count as the most frequent one.  For vocabularies of any size: no row or task
+    holds them together.
+    """
+    fill = fit_modes(train, [column]).select("mode").scalar()
+    counts = train.select(F.coalesce(F.col(column).cast("string"), fill).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("rows"))
+    return range_ranked(counts, ["value"], "index", "size").select("value", "index", "size", "rows")
+
+
+def index_categories(df: DataFrame, words: DataFrame, column: str, mode: Column, out: str = "index") -> DataFrame:
+    """Index of each row's category by a join; null for a category that was not in the training rows."""
+    keyed = df.withColumn("value", F.coalesce(F.col(column).cast("string"), mode))
+    joined = attach_by_key(keyed, words.select("value", F.col("index").alias(out), "rows"), ["value"], "rows")
+    return joined.drop("value", "rows")
+
+
+def sparse_one_hot(df: DataFrame, index: str, size: int, out: str) -> DataFrame:
+    """Sparse indicator vector of ``size`` places; a null index has none set."""
+    encoder = OneHotEncoder(inputCol="_index", outputCol=out, dropLast=True)
+    # The dropped last place stands for unknown categories.
+    fitted = encoder.fit(df.sparkSession.createDataFrame([(float(size),)], "_index double"))
+    return fitted.transform(df.withColumn("_index", F.coalesce(F.col(index), F.lit(size)).cast("double"))).drop("_index")
+
+
 # Scaling per estimator family: (numeric, bounded).
 POLICIES = {
     "linear": ("standard", "minmax"),

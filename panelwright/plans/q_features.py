@@ -432,6 +432,38 @@ def _(t: Tables) -> DataFrame:
     return hot.select("o_orderkey", F.explode(pairs).alias("r")).select("o_orderkey", "r.category", "r.indicator")
 
 
+_BUYERS = "(SELECT o_orderkey, CAST(nullif(o_custkey % 97, 0) AS VARCHAR) || '-' || CAST(o_custkey AS VARCHAR) AS buyer, o_orderkey % 3 <> 0 AS train FROM orders)"
+
+
+def _buyers(t: Tables) -> DataFrame:
+    buyer = F.concat(F.nullif(F.col("o_custkey") % 97, F.lit(0)).cast("string"), F.lit("-"), F.col("o_custkey").cast("string"))
+    return t.orders.select("o_orderkey", buyer.alias("buyer"), (F.col("o_orderkey") % 3 != 0).alias("train"))
+
+
+_WORDS = f"""WITH b AS {_BUYERS}, m AS (SELECT buyer AS m FROM b WHERE train AND buyer IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, buyer LIMIT 1),
+w AS (SELECT coalesce(buyer, m) AS value, count(*) AS rows FROM b, m WHERE train GROUP BY 1), d AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS "index", count(*) OVER () AS size, rows FROM w) """
+
+
+@query("PP6b_sparse_categories", _WORDS + 'SELECT o_orderkey, d."index", (SELECT max(size) FROM d) AS size, CAST(d.value IS NOT NULL AS INTEGER) AS places_set FROM b CROSS JOIN m LEFT JOIN d ON coalesce(buyer, m) = d.value')
+def _(t: Tables) -> DataFrame:
+    """A vocabulary of thousands, encoded by a join into sparse vectors."""
+    rows = _buyers(t)
+    train = rows.filter("train")
+    words = prep.dictionary(train, "buyer")
+    size = words.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
+    mode = prep.fit_modes(train, ["buyer"]).select("mode").scalar()
+    made = prep.sparse_one_hot(prep.index_categories(rows, words, "buyer", mode), "index", size, "hot")
+    # A sparse vector's text lists its places.
+    places = F.regexp_extract(F.col("hot").cast("string"), r"^\((\d+),\[(\d*)\]", 2)
+    width = F.regexp_extract(F.col("hot").cast("string"), r"^\((\d+),", 1).cast("long")
+    return made.select("o_orderkey", F.nullif(places, F.lit("")).cast("long").alias("index"), width.alias("size"), (places != "").cast("int").alias("places_set"))
+
+
+@query("PP7b_category_rows", _WORDS + "SELECT * FROM d")
+def _(t: Tables) -> DataFrame:
+    return prep.dictionary(_buyers(t).filter("train"), "buyer")
+
+
 @query(
     "PP7_training_statistics",
     with_ctes(

@@ -159,3 +159,16 @@ def test_close_large_values_fill_no_bin(spark, monkeypatch):
             assert [row[k] for k in wanted] == pytest.approx([mine["v"].quantile(p) for p in wanted.values()], rel=1e-15)
     distinct, _ = order_stats._binned(df, ["g"], "v", {"rows": F.lit(1)})
     assert distinct.groupBy("g", "_bin").count().agg(F.max("count")).first()[0] <= 500
+
+
+def test_ranges_rank_a_day_of_many_times(spark, monkeypatch):
+    from panelwright.functions import ranges
+
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 2_000)
+    times = spark.range(20_000).select((F.lit(datetime(2024, 5, 1)) + F.make_dt_interval(secs=(F.col("id") * 7 % 20_000) / 1000)).cast("timestamp_ntz").alias("ts"))
+    got = ordered_index(times.unionByName(times.limit(50)), "ts")
+    assert got.rdd.getNumPartitions() == 10
+    assert max(got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) < 4_000
+    rows = got.orderBy("ts").collect()
+    assert [r["rank"] for r in rows] == list(range(20_000)) and {r["total"] for r in rows} == {20_000}
+    assert ordered_index(times.limit(0), "ts").count() == 0
