@@ -553,7 +553,7 @@ def _(t: Tables) -> DataFrame:
 @query("VA26_inputs_untouched", "SELECT v.side AS side, n - n AS rows FROM (SELECT count(*) AS n FROM events), (VALUES ('lost'),('added')) v(side)")
 def _(t: Tables) -> DataFrame:
     before = t.clean()
-    return c.changed_rows(before, t.targets(), before.columns)
+    return c.table_differences(before, t.targets(), before.columns)
 
 
 @query(
@@ -568,6 +568,26 @@ def _(t: Tables) -> DataFrame:
     """A stage that alters some rows and loses others."""
     before = t.clean()
     altered = F.when((F.col("entity") == "click") & (F.hour("ts") == 0), F.col("load") + 1).otherwise(F.col("load"))
-    return c.changed_rows(before, before.withColumn("load", altered).filter(F.hour("ts") != 5), before.columns)
+    return c.table_differences(before, before.withColumn("load", altered).filter(F.hour("ts") != 5), before.columns)
+
+
+@query(
+    "VA26c_checksum_tells_tables_apart",
+    "SELECT v.name AS change, n = 0 AS equal FROM (SELECT 0 AS n, 'order and partitions' AS name UNION ALL SELECT count(*) FILTER (event_id % 11 = 0), 'a repeated row' FROM events "
+    "UNION ALL SELECT count(*) FILTER (event_id % 11 = 0), 'swapped values' FROM events UNION ALL SELECT count(*) FILTER (event_id = 1), 'one null' FROM events) v",
+)
+def _(t: Tables) -> DataFrame:
+    """The same rows in another order are equal; small changes are not."""
+    rows = t.events.select("event_id", "event_type", "value")
+    some, one = F.col("event_id") % 11 == 0, F.col("event_id") == 1
+    versions = {
+        "order and partitions": rows.repartition(13).orderBy("value"),
+        "a repeated row": rows.unionByName(rows.filter(some).limit(1)),
+        "swapped values": rows.withColumn("value", F.when(some, F.col("value") + 0.01).otherwise(F.col("value"))),
+        "one null": rows.withColumn("event_type", F.when(~one, F.col("event_type"))),
+    }
+    base = c.multiset_checksum(rows, rows.columns).first()
+    found = [(name, c.multiset_checksum(df, rows.columns).first() == base) for name, df in versions.items()]
+    return t.spark.createDataFrame(found, "change string, equal boolean")
 
 

@@ -506,6 +506,33 @@ def _(t: Tables) -> DataFrame:
     return registry.output_contract(batch, ["load"], LEVELS, ["load_model_version", *_VERSIONS], wanted)
 
 
+@query(
+    "RT6c_violated_contract",
+    with_ctes(
+        "served",
+        "SELECT v.x AS rule, CAST(CASE v.x WHEN 'non_finite' THEN c3 WHEN 'negative' THEN c1 + c3 WHEN 'interval_order' THEN c1 + c2 + c3 WHEN 'probability_range' THEN c3 WHEN 'level_sum' THEN c3 "
+        "WHEN 'level_vocabulary' THEN c1 WHEN 'missing_lineage' THEN c2 WHEN 'duplicate_keys' THEN c4 WHEN 'row_count' THEN c4 ELSE e END AS BIGINT) AS violations FROM "
+        "(SELECT count(*) FILTER (horizon = 1) AS c1, count(*) FILTER (horizon = 2) AS c2, count(*) FILTER (horizon = 3) AS c3, count(*) FILTER (horizon = 4) AS c4, "
+        "count(*) FILTER (event_probability IS NULL) + count(*) FILTER (event_probability IS NULL AND horizon = 4) AS e FROM served), (VALUES ('non_finite'),('negative'),('interval_order'),"
+        "('probability_range'),('level_sum'),('event_sum'),('level_vocabulary'),('risk_vocabulary'),('confidence_vocabulary'),('missing_lineage'),('duplicate_keys'),('row_count')) v(x)",
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    """A batch with a defect of its own at every horizon; each rule counts its rows."""
+    good = durable(_served(t))
+    h = F.col("horizon")
+    bad = good.withColumns({
+        "load_prediction": F.when(h == 1, -5.0).otherwise(F.col("load_prediction")),
+        "level_prediction": F.when(h == 1, "Odd").otherwise(F.col("level_prediction")),
+        "load_interval_lower": F.when(h == 2, F.col("load_prediction") + 1).otherwise(F.col("load_interval_lower")),
+        "load_model_version": F.when(h != 2, F.col("load_model_version")),
+        "probability_0": F.when(h == 3, 1.5).otherwise(F.col("probability_0")),
+        "load_interval_upper": F.when(h != 3, F.col("load_interval_upper")),
+    })
+    bad = bad.unionByName(bad.filter("horizon = 4"))
+    return registry.output_contract(bad, ["load"], LEVELS, ["load_model_version", *_VERSIONS], F.lit(good.count()))
+
+
 @query(
     "RT7_request_ids",
     "SELECT o_orderkey, substr(sha256('{\"customer\":' || o_custkey || ',\"inference_version\":\"v1\",\"priority\":\"' || o_orderpriority || '\"}'), 1, 16) AS request_id FROM orders",

@@ -85,6 +85,19 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "IO4b_significant_text",
+    "SELECT p_partkey, format('{:.12g}', x) AS plain, format('{:.12g}', -x / 7) AS divided FROM (SELECT p_partkey, p_retailprice * CAST('1e' || CAST(p_partkey % 31 - 15 AS VARCHAR) AS DOUBLE) AS x FROM part)",
+)
+def _(t: Tables) -> DataFrame:
+    """The text of a float itself, from 1e-13 to 1e18."""
+    scale = F.concat(F.lit("1e"), (F.col("p_partkey") % 31 - 15).cast("string")).cast("double")
+    x = F.col("p_retailprice") * scale
+    out = t.part.select("p_partkey", x.alias("plain"), (-x / 7).alias("divided"))
+    path = io.write_csv(out, _out(t, "digits_csv"))
+    return t.spark.read.option("header", True).csv(path).select(F.col("p_partkey").cast("long").alias("p_partkey"), "plain", "divided")
+
+
 @query(
     "IO5_sorted_json_records",
     "SELECT '{\"entity\":\"' || event_type || '\",\"first_id\":' || min(event_id) || ',\"rows\":' || count(*) || '}' AS value "
@@ -107,6 +120,19 @@ def _(t: Tables) -> DataFrame:
     return io.export_check(t.customer, t.spark.read.parquet(path))
 
 
+@query(
+    "IO6b_bad_export",
+    "SELECT v.name AS \"check\", CAST(n AS BIGINT) AS value FROM (SELECT 'source_rows' AS name, count(*) AS n FROM customer UNION ALL SELECT 'exported_rows', count(*) FILTER (c_custkey % 10 <> 0) FROM customer "
+    "UNION ALL SELECT 'columns_match', 1 UNION ALL SELECT 'missing_rows', count(*) FILTER (c_custkey % 10 IN (0, 1)) FROM customer UNION ALL SELECT 'extra_rows', count(*) FILTER (c_custkey % 10 = 1) FROM customer) v",
+)
+def _(t: Tables) -> DataFrame:
+    """An export that lost some rows and changed others."""
+    last = F.col("c_custkey") % 10
+    bad = t.customer.filter(last != 0).withColumn("c_name", F.when(last == 1, F.lit("changed")).otherwise(F.col("c_name"))).select(*t.customer.columns)
+    path = io.write_parquet(bad, _out(t, "export"), "v1", "customer")
+    return io.export_check(t.customer, t.spark.read.parquet(path))
+
+
 @query(
     "PR1_shape",
     "SELECT CAST(i AS INTEGER) AS position, c AS \"column\", d AS dtype, n AS rows FROM (SELECT count(*) AS n FROM events), "

@@ -170,10 +170,11 @@ def export_check(source: DataFrame, exported: DataFrame) -> DataFrame:
         ),
     ]
     if same_columns:
-        parts += [
-            source.exceptAll(exported).agg(F.count(F.lit(1)).alias("v")).select(F.lit("missing_rows").alias("check"), "v"),
-            exported.exceptAll(source).agg(F.count(F.lit(1)).alias("v")).select(F.lit("extra_rows").alias("check"), "v"),
-        ]
+        from ..operators.contracts import table_differences
+
+        changed = table_differences(source, exported, source.columns)
+        names = F.when(F.col("side") == "lost", "missing_rows").otherwise("extra_rows")
+        parts.append(changed.select(names.alias("check"), F.col("rows").alias("v")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
