@@ -66,17 +66,26 @@ def doc_sets(part: pa.RecordBatch) -> list[np.ndarray]:
     return [np.unique(windows[edges[i] : edges[i + 1]]) for i in range(part.num_rows)]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the key that finds a row's text again: its doc_id, or a hash of the text without one."""
+    number = F.col("doc_id").cast("long")
+    return docs.select(number.alias("doc_id"), "text", number.isNull().alias("unnamed"), F.coalesce(number, F.xxhash64("text")).alias("key"))
+
+
 def profile(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size) and node of every document."""
+    """doc_id, n (set size), node and key of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 sets = doc_sets(part)
                 nodes = [node_of(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "n", "node"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), part.column("unnamed"), part.column("key")],
+                    names=["doc_id", "n", "node", "unnamed", "key"],
+                )
 
-    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, node long")
+    return mapped(_keyed(docs), run, "doc_id long, n long, node long, unnamed boolean, key long")
 
 
 def common_shingles(docs: DataFrame, tokens: int) -> np.ndarray:
@@ -176,19 +185,20 @@ def enough_in_front(na: Column, nb: Column, percent: int) -> Column:
 def overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, fragments: int) -> DataFrame:
     """Shared shingles of each pair: (a, b, shared), by fragments of the global order.
 
-    ``reps`` has one document (doc_id) for each node. Pairs travel with their second node.
+    ``reps`` has one document (unnamed, key) for each node. Pairs travel with their second node.
     """
     sides = pairs.select(F.col("b").alias("node"), F.col("a").alias("partner")).union(pairs.select(F.col("a").alias("node"), F.lit(None).cast("long").alias("partner")))
     # A node's partners are split over rows of at most PARTNERS.
     number = F.row_number().over(Window.partitionBy("node").orderBy("partner"))
     wanted = (
         sides.distinct().withColumn("_part", F.floor((number - 1) / PARTNERS)).groupBy("node", "_part").agg(F.collect_set("partner").alias("partners"))
-        .join(reps, "node").select("doc_id", "node", "partners")
+        .join(reps, "node").select("unnamed", "key", "node", "partners")
     )
     wanted = stored(wanted)
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    # Rows of one key and one text come several times; a fragment counts a pair once.
+    rows = _keyed(docs).drop("doc_id").join(wanted, ["unnamed", "key"])
     shift = _U(64 - max(1, fragments - 1).bit_length()) if fragments > 1 else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,6 +236,11 @@ def overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, fragments: int)
             begin = np.cumsum(count) - count
             # One query for each (segment, partner): how many of the segment's tokens the partner has.
             of = np.repeat(np.arange(len(node)), size)
+            asked = np.lexsort((node[of], partner))
+            again = np.zeros(len(asked), bool)
+            again[1:] = (partner[asked][1:] == partner[asked][:-1]) & (node[of][asked][1:] == node[of][asked][:-1])
+            once = np.sort(asked[~again])
+            of, partner = of[once], partner[once]
             for lo in range(0, len(of), 20_000):
                 seg, other = of[lo : lo + 20_000], partner[lo : lo + 20_000]
                 asked = mixed(token[ragged(begin[seg], count[seg])] ^ np.repeat(mixed(other.view(np.uint64)), count[seg]))
@@ -298,7 +313,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     common = common_shingles(docs, tokens)
     buckets = max(8, -(-tokens * 25 * (100 - percent) // 100 // BUCKET_BYTES))
     lists = stored(postings(docs, common, buckets, percent))
-    reps = stored(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    reps = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("unnamed", "key")).alias("r"))
+    reps = stored(reps.select("node", "r.unnamed", "r.key"))
     fragments = max(8, -(-tokens * 10 // BUCKET_BYTES))
     fragments = 1 << (fragments - 1).bit_length()
     near = (

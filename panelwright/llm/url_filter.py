@@ -54,7 +54,7 @@ METHOD_RULES = (
     pattern_rule("login", "block", r"/(login|wp-login\.php)\b", ("login",)),
     pattern_rule("signin", "block", r"/signin\b", ("signin",)),
     pattern_rule("cgi", "block", r"/cgi-bin/", ("cgi", "bin")),
-    pattern_rule("cart", "block", r"/(cart|checkout)/", ("cart",)),
+    pattern_rule("cart", "block", r"/cart/", ("cart",)),
     pattern_rule("checkout", "block", r"/checkout/", ("checkout",)),
     pattern_rule("feed", "block", r"/feed/?$", ("feed",)),
     pattern_rule("archive", "block", r"\.zip$", ("zip",)),

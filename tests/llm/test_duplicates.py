@@ -269,3 +269,19 @@ def test_components_of_chains_and_stars(spark):
                 least[a] = least[b] = min(least[a], least[b])
     assert got == least
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_documents_without_id_link_others(spark):
+    """A - X - C, where X has no doc_id: both links count; twice the same row doesn't make a link."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    a, x, c = words[:104], words[8:112], words[16:120]
+    far = words[:60] + [f"v{i}" for i in range(60)]
+    rows = [(1, " ".join(a)), (None, " ".join(x)), (5, " ".join(c)), (None, " ".join(x))]
+    sets = [shingles(t) for _, t in rows]
+    assert len(sets[0] & sets[1]) * 100 >= 80 * len(sets[0] | sets[1]) and len(sets[0] & sets[2]) * 100 < 80 * len(sets[0] | sets[2])
+    repeated = [(7, " ".join(far)), (7, " ".join(far)), (7, " ".join(far)), (9, " ".join(far[:60] + words[60:]))]
+    assert len(shingles(repeated[0][1]) & shingles(repeated[3][1])) * 100 < 80 * len(shingles(repeated[0][1]) | shingles(repeated[3][1]))
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"]) for r in ngram_join.near_duplicates(frame(spark, rows + repeated)).collect())
+    assert got[:3] == [(False, 1, 1), (False, 5, 1), (False, 7, 7)] and got[-2:] == [(True, 0, 1), (True, 0, 1)]
+    assert [g for g in got if g[1] == 9] == [(False, 9, 1)] or [g for g in got if g[1] == 9] == [(False, 9, 9)]
