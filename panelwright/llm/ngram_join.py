@@ -235,12 +235,17 @@ def overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, fragments: int)
             members = np.unique(mixed(token ^ mixed(np.repeat(node, count).view(np.uint64))))
             begin = np.cumsum(count) - count
             # One query for each (segment, partner): how many of the segment's tokens the partner has.
+            # A row that came several times brought the same segments and partners; the first one asks.
+            first = np.full(len(node), -1, np.int64)
+            first[size > 0] = partner[(np.cumsum(size) - size)[size > 0]]
+            names = np.stack([node, first, size], axis=1)
+            order = np.lexsort(names.T)
+            again = np.zeros(len(node), bool)
+            again[order[1:]] = (names[order[1:]] == names[order[:-1]]).all(axis=1)
             of = np.repeat(np.arange(len(node)), size)
-            asked = np.lexsort((node[of], partner))
-            again = np.zeros(len(asked), bool)
-            again[1:] = (partner[asked][1:] == partner[asked][:-1]) & (node[of][asked][1:] == node[of][asked][:-1])
-            once = np.sort(asked[~again])
-            of, partner = of[once], partner[once]
+            if again.any():
+                asks = ~again[of]
+                of, partner = of[asks], partner[asks]
             for lo in range(0, len(of), 20_000):
                 seg, other = of[lo : lo + 20_000], partner[lo : lo + 20_000]
                 asked = mixed(token[ragged(begin[seg], count[seg])] ^ np.repeat(mixed(other.view(np.uint64)), count[seg]))
