@@ -9,6 +9,20 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from ..functions.keyed import stored
 
 
+def session_of_its_own(spark: SparkSession) -> SparkSession:
+    """A session to run counted stages in, on the same cluster with the same settings.
+
+    A session that has observed anything holds a listener that can't be serialised, and closures of
+    MLlib's margin models hold their session; such models still work in the session they came from.
+    """
+    other = spark.newSession()
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        value = spark.conf.get(name, None)
+        if value is not None:
+            other.conf.set(name, value)
+    return other
+
+
 class StageCounters:
     """Stores each stage's result once and keeps what was counted on its way in and out.
 

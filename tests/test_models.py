@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from panelwright.operators import foldstats, models, serving
-from panelwright.operators.stages import StageCounters
+from panelwright.operators.stages import StageCounters, session_of_its_own
 
 FOLDS = [dict(fold=k, train_start=0, train_end=99 + 50 * k, validation_start=110 + 50 * k, validation_end=140 + 50 * k) for k in (1, 2, 3)]
 JOBS = (foldstats.Job("y", 1), foldstats.Job("z", 1), foldstats.Job("kind", 1, 3), foldstats.Job("flag", 1, 2))
@@ -126,7 +126,7 @@ def test_saved_models_route_rows(spark, tmp_path):
 
 
 def test_counters_come_from_the_jobs(spark):
-    run = StageCounters()
+    run, spark = StageCounters(), session_of_its_own(spark)
     first = run.run("first", run.watch("input", spark.range(100), rows=F.count(F.lit(1))).filter("id % 3 = 0"), rows=F.count(F.lit(1)), biggest=F.max("id"))
     assert first.count() == 34
     assert {(r["stage"], r["counter"]): r["value"] for r in run.table(spark).collect()} == {("input", "rows"): 100, ("first", "rows"): 34, ("first", "biggest"): 99}
