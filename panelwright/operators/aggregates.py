@@ -272,7 +272,7 @@ def priority_queue(df: DataFrame, risk: str, demand: str, tie: str, n: int | Non
     return out if n is None else out.limit(n)
 
 
-def slowest_entity(df: DataFrame, keys: Sequence[str], speed: str, entity: str) -> DataFrame:
+def slowest_in_group(df: DataFrame, keys: Sequence[str], speed: str, entity: str) -> DataFrame:
     """Entity of the lowest speed per group and that speed; ties to the lowest name, nulls take no part."""
     order = F.struct(F.col(speed).alias("s"), F.col(entity).alias("e"))
     return df.filter(F.col(speed).isNotNull()).groupBy(*keys).agg(F.min(order).alias("_m")).select(

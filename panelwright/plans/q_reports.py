@@ -313,7 +313,7 @@ def _(t: Tables) -> DataFrame:
     with_ctes("clean", "SELECT ts, entity AS slowest, speed AS slowest_speed FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY speed, entity) AS rn FROM clean WHERE speed IS NOT NULL) WHERE rn = 1"),
 )
 def _(t: Tables) -> DataFrame:
-    return ag.slowest_entity(t.clean(), ["ts"], "speed", "entity")
+    return ag.slowest_in_group(t.clean(), ["ts"], "speed", "entity")
 
 
 @query(
