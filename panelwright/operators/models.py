@@ -53,14 +53,57 @@ def build_classifier(spec: Candidate, classes: int, label: str = "label", weight
     if spec.family == "random_forest":
         return mlc.RandomForestClassifier(seed=seed, **common, **spec.params)
     if spec.family == "svm":
-        base = mlc.LinearSVC(**common, **spec.params)
+        return PresentClasses(mlc.LinearSVC(**common, **spec.params), classes)
     elif spec.family == "boosted_trees":
         base = mlc.GBTClassifier(seed=seed, **common, **spec.params)
     else:
         raise ValueError(f"Unknown classifier family: {spec.family}")
-    if classes == 2:
-        return base
-    return mlc.OneVsRest(classifier=base, featuresCol=spec.features, labelCol=label, weightCol=weight)
+    return base if classes == 2 else one_vs_rest(base)
+
+
+def one_vs_rest(base: Estimator) -> mlc.OneVsRest:
+    return mlc.OneVsRest(classifier=base, featuresCol=base.getFeaturesCol(), labelCol=base.getLabelCol(), weightCol=base.getWeightCol())
+
+
+class PresentClasses(Estimator):
+    """``base``, which needs rows of two classes, over the classes that the training rows hold.
+
+    A class without training rows is never predicted; its raw score is negative infinity.
+    """
+
+    def __init__(self, base: Estimator, classes: int) -> None:
+        super().__init__()
+        self.base, self.classes = base, classes
+
+    def _fit(self, dataset: DataFrame) -> Model:
+        label = self.base.getLabelCol()
+        present = sorted(int(r[0]) for r in dataset.select(label).filter(F.col(label).isNotNull()).distinct().collect())
+        if not present:
+            raise ValueError("No training rows")
+        if len(present) > 1 and present == list(range(len(present))):
+            return (self.base if self.classes == 2 else one_vs_rest(self.base)).fit(dataset)
+        if len(present) == 1:
+            return PresentClassesModel(None, present, self.classes)
+        dense = F.array_position(F.array(*[F.lit(float(c)) for c in present]), F.col(label)) - 1
+        return PresentClassesModel(one_vs_rest(self.base).fit(dataset.withColumn(label, dense.cast("double"))), present, self.classes)
+
+
+class PresentClassesModel(Model):
+    """Scores of the present classes put back to their own places; a single class is always predicted."""
+
+    def __init__(self, model: Model | None, present: Sequence[int], classes: int) -> None:
+        super().__init__()
+        self.model, self.present, self.classes = model, tuple(present), classes
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        if self.model is None:
+            out = dataset.withColumns({"_raw": F.array(F.lit(1.0)), "prediction": F.lit(float(self.present[0]))})
+        else:
+            out = self.model.transform(dataset).withColumn("_raw", vector_to_array("rawPrediction"))
+            names = F.array(*[F.lit(float(c)) for c in self.present])
+            out = out.withColumn("prediction", F.element_at(names, F.col("prediction").cast("int") + 1))
+        places = [F.element_at("_raw", self.present.index(c) + 1) if c in self.present else F.lit(float("-inf")) for c in range(self.classes)]
+        return out.withColumn("rawPrediction", array_to_vector(F.array(*places))).drop("_raw")
 
 
 def weighted(df: DataFrame, label: str = "label") -> DataFrame:

@@ -99,6 +99,17 @@ def test_separated_scores_have_finite_curves(spark):
     assert np.isfinite(curve).all() and 0 < curve[0] < 1000
 
 
+def _levels(spark, labels, classes=4):
+    data = [([float(y == 1) + i % 5 / 10, float(i % 7)], float(y), 1.0) for i, y in enumerate(labels)]
+    return spark.createDataFrame(data, "x array<double>, label double, weight double").withColumn("features", array_to_vector("x"))
+
+
+def test_margins_of_one_class_out_of_two(spark):
+    train = _levels(spark, [1] * 20)
+    out = models.build_classifier(models.Candidate("c", "svm", {"maxIter": 5}), 2).fit(train).transform(train)
+    assert {tuple(r["probabilities"]) for r in models.class_scores(out, 2).collect()} == {(0.0, 1.0)}
+
+
 def test_saved_models_route_rows(spark, tmp_path):
     train = spark.createDataFrame([([float(i), float(i % 3)], float(2 * i + i % 3)) for i in range(60)], "x array<double>, label double").withColumn("features", array_to_vector("x"))
     chosen = []
