@@ -114,7 +114,8 @@ def weighted(df: DataFrame, label: str = "label") -> DataFrame:
 def class_scores(scored: DataFrame, classes: int, out: str = "probabilities") -> DataFrame:
     """Probabilities where the model gives them, else a sigmoid of its raw score, renormalised.
 
-    One-vs-rest gives one raw score per class; a two-class margin model gives a pair.
+    One-vs-rest gives one raw score per class; a two-class margin model gives a pair.  A model knows
+    the classes up to the largest of its training rows; those beyond have probability 0.
     """
     if "probability" in scored.columns:
         p = vector_to_array("probability")
@@ -122,6 +123,7 @@ def class_scores(scored: DataFrame, classes: int, out: str = "probabilities") ->
         raw = vector_to_array("rawPrediction")
         p = F.transform(raw, lambda s: F.lit(1.0) / (F.lit(1.0) + F.exp(-s)))
     out_df = scored.withColumn(out, p)
+    out_df = out_df.withColumn(out, F.concat(F.col(out), F.array_repeat(F.lit(0.0), F.lit(classes) - F.size(out))))
     total = array_sum(F.col(out))
     return out_df.withColumn(out, F.transform(out, lambda x: F.try_divide(x, total)))
 
