@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import Estimator, Model
 from pyspark.ml import classification as mlc
@@ -107,8 +108,16 @@ class PresentClassesModel(Model):
 
 
 def weighted(df: DataFrame, label: str = "label") -> DataFrame:
-    """Balanced class weight per row, from these rows only (a table of one row per class)."""
-    return df.join(class_weights(df, label).select(label, "weight"), label)
+    """Balanced class weight per row, from these rows only; a row without label is dropped.
+
+    The weights, one per class, become an expression of the label: a fit reads its rows several times,
+    and a join would count the classes again each time.
+    """
+    weights = {r[label]: r["weight"] for r in class_weights(df, label).collect()}
+    weight = F.lit(None).cast("double")
+    for value, found in weights.items():
+        weight = F.when(F.col(label) == value, found).otherwise(weight)
+    return df.filter(F.col(label).isNotNull()).withColumn("weight", weight)
 
 
 def class_scores(scored: DataFrame, classes: int, out: str = "probabilities") -> DataFrame:
@@ -173,13 +182,16 @@ def job_folds(
     """``fold_scores`` for many jobs over rows placed by ``foldstats.fold_places``; one record per fit.
 
     ``jobs`` gives each job's id and the place of its label; ``build`` and ``score`` are told the place.
+    Every fit reads its rows several times, so those of all fits are held for the time of the call.
     """
+    names = sorted({c.features for c in candidates})
+    held = rows.filter("trains_from > 0 OR validates > 0").select("labels", *names, "trains_from", "validates").persist(StorageLevel.MEMORY_AND_DISK)
 
     def one(task: tuple) -> tuple:
         (job, place), spec, fold = task
         head = (job, spec.candidate_id, spec.family, fold)
         try:
-            mine = job_rows(rows, place, spec.features)
+            mine = job_rows(held, place, spec.features)
             train = mine.filter((F.col("trains_from") > 0) & (F.col("trains_from") <= fold))
             model = build(spec, place).fit(weighted(train) if weigh else train)
             found = score(model, mine.filter(F.col("validates") == fold), place).first()
@@ -187,8 +199,11 @@ def job_folds(
         except (IllegalArgumentException, AnalysisException, ValueError) as error:  # the estimator refused; lost executors still raise
             return (*head, "failed", f"{type(error).__name__}: {error}", {})
 
-    with ThreadPoolExecutor(threads) as pool:
-        records = list(pool.map(one, [(j, c, f) for j in jobs for c in candidates for f in folds]))
+    try:
+        with ThreadPoolExecutor(threads) as pool:
+            records = list(pool.map(one, [(j, c, f) for j in jobs for c in candidates for f in folds]))
+    finally:
+        held.unpersist()
     schema = "job_id string, candidate_id string, family string, fold int, status string, error string, metrics map<string,double>"
     return rows.sparkSession.createDataFrame(records, schema)
 

@@ -99,6 +99,29 @@ def test_separated_scores_have_finite_curves(spark):
     assert np.isfinite(curve).all() and 0 < curve[0] < 1000
 
 
+def test_folds_read_their_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([([float(i % 7)], [float(i % 7), None if i % 5 else 1.0], 1 + i // 50, i // 50) for i in range(150)], "x array<double>, labels array<double>, trains_from int, validates int")
+    rows = rows.mapInArrow(counted, rows.schema).withColumn("features", array_to_vector("x"))
+    spec = models.Candidate("t", "decision_tree", {"maxDepth": 3})
+    out = models.job_folds(rows, [("y", 0), ("z", 1)], [spec], (1, 2), lambda s, _: models.build_regressor(s), lambda m, r, _: models.regression_score(m, r))
+    assert {(r["job_id"], r["fold"], r["status"], r["metrics"]["rmse"]) for r in out.collect()} == {(j, f, "ok", 0.0) for j in "yz" for f in (1, 2)}
+    assert read.value <= 150
+
+
+def test_weights_need_no_join(spark):
+    rows = spark.createDataFrame([(0.0,), (0.0,), (0.0,), (2.0,), (None,)], "label double")
+    out = models.weighted(rows)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["label"], r["weight"]) for r in out.collect()) == [(0.0, 0.6666666667)] * 3 + [(2.0, 2.0)]
+
+
 def _levels(spark, labels, classes=4):
     data = [([float(y == 1) + i % 5 / 10, float(i % 7)], float(y), 1.0) for i, y in enumerate(labels)]
     return spark.createDataFrame(data, "x array<double>, label double, weight double").withColumn("features", array_to_vector("x"))
