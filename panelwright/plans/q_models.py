@@ -6,6 +6,7 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -258,7 +259,8 @@ def _finalists(t: Tables) -> list[dict]:
     table = models.choose_within_family(_model_cv(number_folds(t), ("rmse",)), ["job_id"], "mean_rmse").collect()
     specs = {c.candidate_id: models.Candidate(c.candidate_id, c.family, {"regParam": c.strength}, "features_linear") for c in _RIDGES}
     specs[_SPECS["tree"].candidate_id] = _SPECS["tree"]
-    rows = job_table(t)
+    # Every fit reads its rows several times.
+    rows = job_table(t).filter("split <> 'test'").select("labels", "features", "features_linear", "split").persist(StorageLevel.MEMORY_AND_DISK)
     jobs = {j.job_id: j for j in NUMBER_JOBS}
 
     def fit(row) -> dict:
@@ -271,8 +273,11 @@ def _finalists(t: Tables) -> list[dict]:
             "features": spec.features, "model": model, "cv_rmse": row["mean_rmse"], "validation_rmse": found["rmse"],
         }
 
-    with ThreadPoolExecutor(8) as pool:
-        return list(pool.map(fit, table))
+    try:
+        with ThreadPoolExecutor(8) as pool:
+            return list(pool.map(fit, table))
+    finally:
+        rows.unpersist()
 
 
 _FINALISTS = "job_id string, family string, candidate_id string, cv_rmse double, validation_rmse double"
