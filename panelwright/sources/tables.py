@@ -5,12 +5,17 @@ from __future__ import annotations
 import csv
 import io
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.keyed import stored
+
 _VERSION = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*")
 
 
@@ -42,48 +47,139 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
 
 
 def _located_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Physical lines with the file and the split they lie in, and their order in the split."""
+    """Physical lines with the file and the split they lie in, their quotes and whether they are blank; in order within a split."""
+    line = F.col("value")
+    # Doubled quotes inside a field leave the parity as it is.
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
     return spark.read.option("lineSep", "\n").text(path).select(
-        F.col("value").alias("_line"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("_source_file"),
-        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mid"),
+        line.alias("_line"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("_source_file"),
+        F.col("_metadata.file_block_start").alias("_block"), quotes.cast("long").alias("_quotes"), F.regexp_like(line, F.lit("^\r?$")).alias("_blank"),
     )
 
 
+def _split_tasks() -> tuple[Callable, Callable]:
+    """The two Arrow tasks of ``quoted_records``; defined here, as executors do not have this module."""
+
+    def by_split(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+        """The stretches of a batch that lie in one split."""
+        if not batch.num_rows:
+            return
+        path, block = batch.column("_path").dictionary_encode(), batch.column("_block").to_numpy()
+        code = path.indices.to_numpy()
+        cuts = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (block[1:] != block[:-1])))
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(block)), strict=True):
+            yield (path.dictionary[int(code[lo])].as_py(), int(block[lo])), batch.slice(int(lo), int(hi - lo))
+
+    def split_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parity of each split's quotes, and the records that begin in it for both entry states."""
+        found: dict[tuple[str, int], list[int]] = {}
+        for batch in batches:
+            for key, part in by_split(batch):
+                total = found.setdefault(key, [0, 0, 0])
+                quotes, blank = part.column("_quotes").to_numpy(), part.column("_blank").to_numpy(zero_copy_only=False)
+                odd = (total[0] + np.cumsum(quotes) - quotes) % 2
+                total[0] += int(quotes.sum())
+                for state in (0, 1):
+                    total[1 + state] += int(np.count_nonzero((odd == state) & ~blank))
+        if found:
+            columns = [pa.array([k[0] for k in found]), pa.array([k[1] for k in found], pa.int64()), pa.array([v[0] % 2 for v in found.values()], pa.int64())]
+            columns += [pa.array([v[i] for v in found.values()], pa.int64()) for i in (1, 2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["_path", "_block", "_parity", "_begin0", "_begin1"])
+
+    class OpenRecord:
+        """Where a split's reading stands: quotes and records so far, and the lines of a record not yet ended."""
+
+        def __init__(self, key: tuple[str, int], part: pa.RecordBatch) -> None:
+            self.key, self.file = key, part.column("_source_file")[0].as_py()
+            self.entry, self.last = part.column("_entry")[0].as_py(), part.column("_before")[0].as_py()
+            self.quotes, self.lines, self.begun = 0, [], False
+
+    def record_texts(border: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Texts of the records that lie in one split; or the pieces of those that cross a border of splits."""
+
+        def rows(at: OpenRecord, records, texts) -> pa.RecordBatch:
+            n = len(texts)
+            columns = [pa.repeat(at.file, n), pa.repeat(at.key[0], n), pa.array(records, pa.int64()), pa.repeat(pa.scalar(at.key[1], pa.int64()), n), texts]
+            return pa.RecordBatch.from_arrays(columns, names=["_source_file", "_path", "_record", "_block", "_text"])
+
+        def left(at: OpenRecord | None) -> Iterator[pa.RecordBatch]:
+            if border and at is not None and at.lines:
+                yield rows(at, [at.last], pa.array(["\n".join(x for lines in at.lines for x in lines.to_pylist())]))
+
+        def read(at: OpenRecord, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            quotes, blank = part.column("_quotes").to_numpy(), part.column("_blank").to_numpy(zero_copy_only=False)
+            outside = (at.quotes + np.cumsum(quotes) - quotes) % 2 == at.entry
+            at.quotes += int(quotes.sum())
+            starts = outside & ~blank
+            record = at.last + np.cumsum(starts)
+            used = ~(outside & blank)
+            lines, record, starts = part.column("_line").filter(pa.array(used)), record[used], starts[used]
+            still_open = at.quotes % 2 != at.entry
+            if still_open and not starts.any():
+                at.lines.append(lines)
+                return
+            # What was open goes on with the first lines here.
+            held = sum(map(len, at.lines))
+            lines = pa.concat_arrays([*at.lines, lines])
+            record = np.concatenate([np.full(held, at.last, np.int64), record])
+            starts = np.concatenate([np.zeros(held, bool), starts])
+            heads = np.flatnonzero(np.append(True, record[1:] != record[:-1])) if len(record) else np.zeros(0, np.int64)
+            begun = starts[heads]
+            if held and len(heads):
+                begun[0] = at.begun
+            whole, end = heads, len(record)
+            at.lines = []
+            if still_open:
+                at.lines, at.begun, end, whole, begun = [lines[int(heads[-1]):]], bool(begun[-1]), int(heads[-1]), heads[:-1], begun[:-1]
+            if len(record):
+                at.last = int(record[-1])
+            if len(whole):
+                texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(whole, end), pa.int32()), lines[:end]), "\n")
+                chosen = ~begun if border else begun
+                if chosen.any():
+                    yield rows(at, record[whole][chosen], texts.filter(pa.array(chosen)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at = None
+            for batch in batches:
+                for key, part in by_split(batch):
+                    if at is None or at.key != key:
+                        yield from left(at)
+                        at = OpenRecord(key, part)
+                    yield from read(at, part)
+            yield from left(at)
+
+        return run
+
+    return split_counts, record_texts
+
+
 def quoted_records(spark: SparkSession, path: str) -> DataFrame:
     """``_source_file, _record, _text`` of CSV files whose quoted fields may hold line breaks.
 
     A line break ends a record where the quotes before it are even in number.  A split does not know
     how many came before it, so it reports its own parity and how many records begin in it for both
     entry states; a running combination over a file's splits then tells each one its state and its
-    first record number.  Only the lines of records that take more than one line are shuffled.
+    first record number.  Lines are read in order within their split and stay there; only the pieces
+    of records that cross a border of splits are shuffled, at most two a split.
     Records are numbered from 1 in each file, the header included; blank lines are none.
     """
-    lines = _located_lines(spark, path)
-    # Doubled quotes inside a field leave the parity as it is.
-    quotes = F.length("_line") - F.length(F.replace(F.col("_line"), F.lit('"'), F.lit("")))
-    inside = Window.partitionBy("_path", "_block").orderBy("_mid")
-    marked = lines.withColumn("_quotes", quotes.cast("long")).withColumns({
-        "_odd": F.coalesce(F.sum("_quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")) % 2,
-        "_blank": F.regexp_like(F.col("_line"), F.lit("^\r?$")),
-    })
-    begins = lambda state: F.count_if((F.col("_odd") == state) & ~F.col("_blank"))
-    splits = marked.groupBy("_path", "_block").agg((F.sum("_quotes") % 2).alias("_parity"), begins(0).alias("_begin0"), begins(1).alias("_begin1"))
+    lines, (split_counts, record_texts) = _located_lines(spark, path), _split_tasks()
+    counts = lines.select("_path", "_block", "_quotes", "_blank").mapInArrow(split_counts, "_path string, _block long, _parity long, _begin0 long, _begin1 long")
+    # One row a split.
+    splits = stored(counts)
     earlier = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     entry = F.coalesce(F.sum("_parity").over(earlier), F.lit(0).cast("long")) % 2
     splits = splits.withColumn("_entry", entry)
     here = F.when(F.col("_entry") == 0, F.col("_begin0")).otherwise(F.col("_begin1"))
     splits = splits.withColumn("_before", F.coalesce(F.sum(here).over(earlier), F.lit(0).cast("long"))).select("_path", "_block", "_entry", "_before")
-    placed = marked.join(splits, ["_path", "_block"])
-    outside = F.col("_odd") == F.col("_entry")
-    starts = outside & ~F.col("_blank")
-    placed = placed.withColumn("_record", F.col("_before") + F.count_if(starts).over(inside)).withColumns({
-        "_starts": starts, "_alone": starts & (F.col("_quotes") % 2 == 0), "_idle": outside & F.col("_blank"),
-    })
-    ended = F.regexp_replace("_text", "\r$", "")
-    single = placed.filter("_alone").select("_source_file", "_path", "_record", F.col("_line").alias("_text"))
-    pieces = placed.filter("NOT _alone AND NOT _idle")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "_mid", "_line"))), lambda x: x["_line"]), "\n")
+    placed = lines.join(F.broadcast(splits), ["_path", "_block"])
+    schema = "_source_file string, _path string, _record long, _block long, _text string"
+    single = placed.mapInArrow(record_texts(border=False), schema).drop("_block")
+    pieces = stored(placed.mapInArrow(record_texts(border=True), schema))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "_text"))), lambda x: x["_text"]), "\n")
     several = pieces.groupBy("_source_file", "_path", "_record").agg(text.alias("_text"))
+    ended = F.regexp_replace("_text", "\r$", "")
     return single.unionByName(several).select("_source_file", "_path", "_record", ended.alias("_text"))
 
 

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from panelwright.sources.tables import read_quoted_csv
+from panelwright.sources.tables import quoted_records, read_quoted_csv
 
 
 def write(path, rows, ending="\n"):
@@ -45,3 +45,22 @@ def test_headers_must_agree(spark, tmp_path):
     write(tmp_path / "b.csv", [["a", "c"], ["1", "2"]])
     with pytest.raises(ValueError, match="different headers"):
         read_quoted_csv(spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10000])
+def test_lines_stay_in_their_split(spark, tmp_path, small_splits, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        rows = [["id", "note"], ["1", "\n" * 5000], ["2", ""], *[[str(i), "a\nb" * (i % 3)] for i in range(3, 300)], ["300", "x"]]
+        write(tmp_path / "a.csv", rows)
+        with open(tmp_path / "a.csv", "a", newline="") as out:
+            out.write('\n\n301,"left\nopen')
+        records = quoted_records(spark, str(tmp_path))
+        found = {r["_record"]: r["_text"] for r in records.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    texts = [next(csv.reader([t])) if "\n" not in t else next(csv.reader(t.splitlines(True))) for n, t in sorted(found.items())]
+    assert sorted(found) == list(range(1, 303)) and texts[:-1] == rows and texts[-1] == ["301", "left\nopen"]
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [count_if" not in plan and "_line" not in "".join(x for x in plan.splitlines() if "Aggregate" in x)
+    assert not any("_line" in x and "Window" in x for x in plan.splitlines()) and "sum(_quotes" not in plan
