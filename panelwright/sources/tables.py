@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,12 +90,12 @@ def _split_tasks() -> tuple[Callable, Callable]:
     class OpenRecord:
         """Where a split's reading stands: quotes and records so far, and the lines of a record not yet ended."""
 
-        def __init__(self, key: tuple[str, int], part: pa.RecordBatch) -> None:
+        def __init__(self, key: tuple[str, int], part: pa.RecordBatch, state: tuple[int, int]) -> None:
             self.key, self.file = key, part.column("_source_file")[0].as_py()
-            self.entry, self.last = part.column("_entry")[0].as_py(), part.column("_before")[0].as_py()
+            self.entry, self.last = state
             self.quotes, self.lines, self.begun = 0, [], False
 
-    def record_texts(border: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def record_texts(border: bool, states: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         """Texts of the records that lie in one split; or the pieces of those that cross a border of splits."""
 
         def rows(at: OpenRecord, records, texts) -> pa.RecordBatch:
@@ -145,7 +146,7 @@ def _split_tasks() -> tuple[Callable, Callable]:
                 for key, part in by_split(batch):
                     if at is None or at.key != key:
                         yield from left(at)
-                        at = OpenRecord(key, part)
+                        at = OpenRecord(key, part, states.value[key])
                     yield from read(at, part)
             yield from left(at)
 
@@ -166,17 +167,16 @@ def quoted_records(spark: SparkSession, path: str) -> DataFrame:
     """
     lines, (split_counts, record_texts) = _located_lines(spark, path), _split_tasks()
     counts = lines.select("_path", "_block", "_quotes", "_blank").mapInArrow(split_counts, "_path string, _block long, _parity long, _begin0 long, _begin1 long")
-    # One row a split.
-    splits = stored(counts)
     earlier = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     entry = F.coalesce(F.sum("_parity").over(earlier), F.lit(0).cast("long")) % 2
-    splits = splits.withColumn("_entry", entry)
+    splits = counts.withColumn("_entry", entry)
     here = F.when(F.col("_entry") == 0, F.col("_begin0")).otherwise(F.col("_begin1"))
-    splits = splits.withColumn("_before", F.coalesce(F.sum(here).over(earlier), F.lit(0).cast("long"))).select("_path", "_block", "_entry", "_before")
-    placed = lines.join(F.broadcast(splits), ["_path", "_block"])
+    splits = splits.withColumn("_before", F.coalesce(F.sum(here).over(earlier), F.lit(0).cast("long")))
+    # One row a split.  A join could change the order of the lines.
+    states = spark.sparkContext.broadcast({(r["_path"], r["_block"]): (r["_entry"], r["_before"]) for r in splits.select("_path", "_block", "_entry", "_before").collect()})
     schema = "_source_file string, _path string, _record long, _block long, _text string"
-    single = placed.mapInArrow(record_texts(border=False), schema).drop("_block")
-    pieces = stored(placed.mapInArrow(record_texts(border=True), schema))
+    single = lines.mapInArrow(record_texts(False, states), schema).drop("_block")
+    pieces = stored(lines.mapInArrow(record_texts(True, states), schema))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "_text"))), lambda x: x["_text"]), "\n")
     several = pieces.groupBy("_source_file", "_path", "_record").agg(text.alias("_text"))
     ended = F.regexp_replace("_text", "\r$", "")
