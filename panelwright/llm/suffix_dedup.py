@@ -3,13 +3,16 @@
 A window is ``K`` consecutive bytes of one text. Its anchor is the smallest hash among its runs of
 ``ANCHOR`` bytes, and consecutive windows of one anchor form a string. Equal windows have equal
 anchors, so only strings of anchors that occur more than once can repeat: a first pass counts
-anchors and keeps a bit table of fixed size of the repeated ones (a false bit costs work, never a
-result). A second pass packs the strings of repeated anchors into buckets; each anchor's strings get
-a suffix array by Lyndon grouping (``lyndon``), in which equal windows are neighbours. Every byte
-that a repeated window covers is removed, all its occurrences alike.
+anchors and the hashes of their strings, and keeps two bit tables of fixed size: of the repeated
+anchors, and of those whose strings differ (a false bit costs work, never a result). A second pass
+packs the strings of repeated anchors into buckets. Where an anchor's strings are all equal, and none
+can repeat inside itself, their hashes travel alone: equal ones repeat as a whole. The others travel
+with their bytes; each anchor's strings get a suffix array by Lyndon grouping (``lyndon``), in which
+equal windows are neighbours. Every byte that a repeated window covers is removed, all its
+occurrences alike.
 
-Equal strings meet once: a piece of the input settles those it holds itself and sends one. Anchors
-of very many strings are split by a second anchor of another hash order.
+Equal strings meet once: a task settles those it holds itself and sends one. Anchors of very many
+strings are split by a second anchor of another hash order.
 
 Defined cases: a null text is empty; a text shorter than ``K`` bytes keeps all; overlapping
 occurrences count; equal texts of ``K`` bytes or more lose everything; rows with equal doc_id are
@@ -35,16 +38,20 @@ from .substring import attach, keyed
 
 K = 200
 ANCHOR = 64
-PIECE = 2 << 20
-#: Bits of the table of repeated anchors, by their leading bits: fixed, whatever the data.
+PIECE = 1 << 19
+#: Bits of a table of anchors, by their leading bits: fixed, whatever the data.
 TABLE_BITS = 27
-BUCKET_BYTES = 8 << 20
+#: Text for one bucket of strings, and for one bucket of counted anchors.
+BUCKET_BYTES = 32 << 20
+COUNTED_BYTES = 128 << 20
+#: Anchors that a task counts before it sends them.
+HELD_ANCHORS = 1 << 20
 #: At most so many anchors are split by a second one.
 HOT_ANCHORS = 20_000
 #: Bytes of strings that a task packs together.
 HELD_BYTES = 16 << 20
 #: Bytes of suffix arrays built side by side.
-BATCH = 1_500_000
+BATCH = 750_000
 _U = np.uint64
 _LAST = np.int64((1 << 63) - 1)
 _SECOND = _U(0xA24BAED4963EE407)
@@ -68,7 +75,7 @@ class Strings:
         anchor = min(ANCHOR, k)
         empty = np.zeros(0, np.int64)
         self.begin = self.windows = self.text = empty
-        self.anchor = self.name = empty.astype(np.uint64)
+        self.anchor = self.name = self.content = empty.astype(np.uint64)
         self.again = empty.astype(bool)
         if len(self.buffer) < k:
             self.sums = byte_sums(self.buffer)
@@ -94,6 +101,7 @@ class Strings:
         self.begin, self.text = valid[first], text[first]
         self.windows = np.diff(np.append(first, len(valid)))
         self.anchor, self.name = value[first], name[first]
+        self.content = span_hashes(self.sums, self.begin, self.begin + self.windows + k - 1)
         # Strings in which their anchor occurs more than once: between two occurrences no other
         # place is the smallest of a window, so they are neighbours among such places.
         width = k - anchor + 1
@@ -111,47 +119,69 @@ def _bits_at(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (table[(place >> _U(3)).astype(np.int64)] >> (place & _U(7)).astype(np.uint8)) & 1 == 1
 
 
+def _by_anchor(anchor: np.ndarray, content: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows (bucket, blob) of the distinct pairs and how often they occur; a bucket is a range of anchors."""
+    order = np.lexsort((content, anchor))
+    anchor, content = anchor[order], content[order]
+    head = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])))
+    times = np.diff(np.append(head, len(anchor)))
+    anchor, content = anchor[head], content[head]
+    part_of = (anchor >> _U(64 - (parts - 1).bit_length())).astype(np.int64)
+    cuts = np.append(np.flatnonzero(np.append(True, part_of[1:] != part_of[:-1])), len(anchor))
+    blobs = [pack({"value": anchor[a:b], "content": content[a:b], "times": times[a:b].astype(np.uint32)}) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(part_of[cuts[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+
 def repeated_anchors(rows: DataFrame, total: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bit table of anchors that occur more than once, and the sorted anchors of very many strings."""
-    parts = 1 << min(12, max(4, (total // (64 << 20)).bit_length()))
+    """Bit tables of anchors that occur more than once and of those whose strings differ or may repeat
+    inside themselves, and the sorted anchors of very many strings.
+    """
+    parts = 1 << min(12, max(4, (total // COUNTED_BYTES).bit_length()))
     often = max(512, total // 64 // HOT_ANCHORS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for part in pieces(batch, "text", PIECE):
                 s = Strings(part.column("text"), k)
                 if not len(s.anchor):
                     continue
-                anchor = np.concatenate([s.anchor, s.anchor[s.again]])
-                value, times = np.unique(anchor, return_counts=True)
-                part_of = (value >> _U(64 - (parts - 1).bit_length())).astype(np.int64)
-                cuts = np.append(np.flatnonzero(np.append(True, part_of[1:] != part_of[:-1])), len(value))
-                blobs = [pack({"value": value[a:b], "times": times[a:b].astype(np.uint32)}) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(part_of[cuts[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+                # A string that may repeat inside itself counts as two that differ.
+                held.append((np.concatenate([s.anchor, s.anchor[s.again]]), np.concatenate([s.content, ~s.content[s.again]])))
+                size += len(held[-1][0])
+                if size > HELD_ANCHORS:
+                    yield _by_anchor(*(np.concatenate(x) for x in zip(*held, strict=True)), parts)
+                    held, size = [], 0
+        if held:
+            yield _by_anchor(*(np.concatenate(x) for x in zip(*held, strict=True)), parts)
 
     def total_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, blobs in groups_of(batches, "bucket", "blob"):
-            value, times = (np.concatenate([b[n] for b in blobs]) for n in ("value", "times"))
+            value, content, times = (np.concatenate([b[n] for b in blobs]) for n in ("value", "content", "times"))
             order = np.argsort(value)
-            value, times = value[order], times[order].astype(np.int64)
+            value, content, times = value[order], content[order], times[order].astype(np.int64)
             head = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
             sums, value = np.add.reduceat(times, head), value[head]
+            differ = np.minimum.reduceat(content, head) != np.maximum.reduceat(content, head)
             size = (1 << TABLE_BITS) // parts
-            bits = np.zeros(size, bool)
-            bits[(value[sums >= 2] >> _U(64 - TABLE_BITS)).astype(np.int64) - bucket * size] = True
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([bucket], pa.int64()), pa.array([pack({"bits": np.packbits(bits, bitorder="little"), "hot": value[sums >= often]})], pa.binary())], names=["bucket", "blob"]
-            )
+            place = (value >> _U(64 - TABLE_BITS)).astype(np.int64) - bucket * size
+            found = {"hot": value[sums >= often]}
+            for name, chosen in (("bits", sums >= 2), ("mixed", differ)):
+                bits = np.zeros(size, bool)
+                bits[place[chosen]] = True
+                found[name] = np.packbits(bits, bitorder="little")
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([pack(found)], pa.binary())], names=["bucket", "blob"])
 
     packed = mapped(rows.select("text"), count, "bucket long, blob binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    table, hot = np.zeros((1 << TABLE_BITS) // 8, np.uint8), []
-    # Together the rows hold the bit table and at most HOT_ANCHORS anchors.
-    for row in mapped(packed, total_up, "bucket long, blob binary").toLocalIterator():
+    tables, hot = np.zeros((2, (1 << TABLE_BITS) // 8), np.uint8), []
+    # Together the rows hold the bit tables and at most HOT_ANCHORS anchors.
+    for row in mapped(packed, total_up, "bucket long, blob binary").collect():
         found = unpack(bytes(row["blob"]))
-        size = len(found["bits"])
-        table[row["bucket"] * size : (row["bucket"] + 1) * size] = found["bits"]
+        for table, name in zip(tables, ("bits", "mixed"), strict=True):
+            size = len(found[name])
+            table[row["bucket"] * size : (row["bucket"] + 1) * size] = found[name]
         hot.append(found["hot"])
-    return table, np.sort(np.concatenate(hot)) if hot else np.zeros(0, np.uint64)
+    return tables, np.sort(np.concatenate(hot)) if hot else np.zeros(0, np.uint64)
 
 
 def _spans(doc, key, lo, hi) -> pa.RecordBatch:
@@ -160,67 +190,120 @@ def _spans(doc, key, lo, hi) -> pa.RecordBatch:
     )
 
 
-def _equal_strings(buffer: np.ndarray, begin: np.ndarray, sizes: np.ndarray, name: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every string the first one equal to it, and how many are; bytes confirm equal hashes.
+def _joined(doc: np.ndarray, key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The ranges [lo, hi) of each text, those that meet made one."""
+    if not len(doc):
+        return doc, key, lo, hi
+    order = np.lexsort((lo, key, doc))
+    doc, key, lo, hi = doc[order], key[order], lo[order].astype(np.int64), hi[order].astype(np.int64)
+    new = np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))
+    # Ends so far, each text in a range of numbers of its own.
+    base = (np.cumsum(new) - 1) << 32
+    reach = np.maximum.accumulate(base + hi)
+    first = np.flatnonzero(new | np.append(True, (base + lo)[1:] > reach[:-1]))
+    last = np.append(first[1:], len(lo)) - 1
+    return doc[first], key[first], lo[first], (reach - base)[last]
+
+
+def _same_strings(name: np.ndarray, content: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For every string the first one of its name, hash and size."""
+    order = np.lexsort((sizes, content, name))
+    same = (name[order][1:] == name[order][:-1]) & (content[order][1:] == content[order][:-1]) & (sizes[order][1:] == sizes[order][:-1])
+    first = np.empty(len(order), np.int64)
+    first[order] = order[np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(order)), 0))]
+    return first
+
+
+def _equal_strings(buffer: np.ndarray, begin: np.ndarray, sizes: np.ndarray, name: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """For every string the first one equal to it; bytes confirm equal hashes.
 
     A string whose hash but not bytes equal the first one's stays alone, which later comparison by
     suffixes makes good.
     """
-    h = span_hashes(sums, begin, begin + sizes)
-    order = np.lexsort((sizes, h, name))
-    same = (name[order][1:] == name[order][:-1]) & (h[order][1:] == h[order][:-1]) & (sizes[order][1:] == sizes[order][:-1])
-    lead = order[np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(order)), 0))]
-    first = np.empty(len(order), np.int64)
-    first[order] = lead
+    first = _same_strings(name, content, sizes)
     other = np.flatnonzero(first != np.arange(len(first)))
     good = same_spans(buffer, begin[other], buffer, begin[first[other]], sizes[other])
     first[other[~good]] = other[~good]
-    return first, np.bincount(first, minlength=len(first))
+    return first
+
 
+def _whole(first: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """Whether each string is known to occur more than once; ``first`` names its group."""
+    return ((np.bincount(first, minlength=len(first)) > 1) | (np.bincount(first, weights=twice, minlength=len(first)) > 0))[first]
 
-_FIELDS = ("data", "size", "name", "doc", "key", "place", "twice", "again")
+
+_PLACES = ("size", "name", "content", "doc", "key", "place", "twice")
 _FLAGS = ("flag_doc", "flag_key", "flag_lo", "flag_hi")
+_Arrays = dict[str, np.ndarray]
+
 
+def _settled(strings: _Arrays, first: np.ndarray) -> tuple[_Arrays, tuple[np.ndarray, ...]]:
+    """One string of each group, and the spans of those now found to occur more than once."""
+    whole = _whole(first, strings["twice"])
+    now = whole & ~strings["twice"]
+    place = strings["place"][now].astype(np.int64)
+    spans = strings["doc"][now], strings["key"][now], place, place + strings["size"][now]
+    kept = first == np.arange(len(first))
+    return {**{n: strings[n][kept] for n in _PLACES}, "twice": whole[kept]}, spans
 
-def _strings(part: pa.RecordBatch, k: int, table: np.ndarray, hot: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]] | None:
-    """Strings of repeated anchors in one piece, one of each equal ones, and the spans known to repeat."""
+
+def _strings(part: pa.RecordBatch, k: int, tables: np.ndarray, hot: np.ndarray) -> tuple[_Arrays, _Arrays, _Arrays] | None:
+    """Strings of repeated anchors in one piece, one of each equal ones: those with bytes and those
+    without; and the spans known to repeat.
+    """
     s = Strings(part.column("text"), k, hot)
-    chosen = np.flatnonzero(_bits_at(table, s.anchor))
+    chosen = np.flatnonzero(_bits_at(tables[0], s.anchor))
     if not len(chosen):
         return None
-    begin, windows, text, name = s.begin[chosen], s.windows[chosen], s.text[chosen], s.name[chosen]
-    sizes = windows + k - 1
-    doc = part.column("doc_id").fill_null(int(_LAST)).to_numpy(zero_copy_only=False).astype(np.int64)[text]
-    key = part.column("_key").to_numpy(zero_copy_only=False).astype(np.uint32)[text]
-    place = begin - s.offsets[:-1][text]
-    first, times = _equal_strings(s.buffer, begin, sizes, name, s.sums)
-    twice = times[first] > 1
-    flags = dict(zip(_FLAGS, (doc[twice], key[twice], place[twice].astype(np.uint32), (place + sizes)[twice].astype(np.uint32)), strict=True))
-    i = np.flatnonzero(first == np.arange(len(first)))
-    sent = dict(zip(_FIELDS, (
-        s.buffer[ragged(begin[i], sizes[i])], sizes[i].astype(np.uint32), name[i], doc[i], key[i], place[i].astype(np.uint32), twice[i], s.again[chosen][i],
-    ), strict=True))
-    return sent, flags
-
-
-def _packed(held: list[tuple[dict, dict]], buckets: int) -> pa.RecordBatch:
-    """Rows (bucket, blob) of the strings of several pieces."""
-    sent = {n: np.concatenate([h[0][n] for h in held]) for n in _FIELDS}
-    flags = {n: np.concatenate([h[1][n] for h in held]) for n in _FLAGS}
-    rows = {"bucket": [], "blob": []}
-    if len(flags["flag_lo"]):
-        rows["bucket"].append(int(mixed(flags["flag_doc"][:1].view(np.uint64))[0] % _U(buckets)))
-        rows["blob"].append(pack(flags))
+    begin, text = s.begin[chosen], s.text[chosen]
+    sizes = s.windows[chosen] + k - 1
+    strings = {
+        "size": sizes.astype(np.uint32), "name": s.name[chosen], "content": s.content[chosen],
+        "doc": part.column("doc_id").fill_null(int(_LAST)).to_numpy(zero_copy_only=False).astype(np.int64)[text],
+        "key": part.column("_key").to_numpy(zero_copy_only=False).astype(np.uint32)[text],
+        "place": (begin - s.offsets[:-1][text]).astype(np.uint32), "twice": np.zeros(len(chosen), bool),
+    }
+    first = _equal_strings(s.buffer, begin, sizes, strings["name"], strings["content"])
+    sent, spans = _settled(strings, first)
+    i = chosen[first == np.arange(len(first))]
+    full = _bits_at(tables[1], s.anchor[i])
+    light = {n: sent[n][~full] for n in _PLACES}
+    sent = {n: sent[n][full] for n in _PLACES}
+    sent["again"] = s.again[i[full]]
+    sent["data"] = s.buffer[ragged(s.begin[i[full]], sent["size"].astype(np.int64))]
+    return sent, light, dict(zip(_FLAGS, spans, strict=True))
+
+
+def _packed(held: list[tuple[_Arrays, _Arrays, _Arrays]], buckets: int) -> pa.RecordBatch:
+    """Rows (bucket, blob) of the strings of several pieces, again one of each equal ones."""
+    sent, light, flags = ({n: np.concatenate([h[j][n] for h in held]) for n in held[0][j]} for j in range(3))
+    spans = [tuple(flags.values())]
     sizes = sent["size"].astype(np.int64)
     begin = np.cumsum(sizes) - sizes
-    bucket = (mixed(sent["name"]) % _U(buckets)).astype(np.int64)
-    # Strings of one anchor stand together: near copies compress to little.
-    order = np.lexsort((sent["name"], bucket))
-    cuts = np.append(np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1])), len(order))
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        i = order[a:b]
-        rows["bucket"].append(int(bucket[i[0]]))
-        rows["blob"].append(pack({"data": sent["data"][ragged(begin[i], sizes[i])], **{n: sent[n][i] for n in _FIELDS[1:]}}))
+    first = _equal_strings(sent["data"], begin, sizes, sent["name"], sent["content"])
+    data, again, begin = sent["data"], sent["again"], begin[first == np.arange(len(first))]
+    again = again[first == np.arange(len(first))]
+    sent, found = _settled(sent, first)
+    spans.append(found)
+    light, found = _settled(light, _same_strings(light["name"], light["content"], light["size"]))
+    spans.append(found)
+    rows = {"bucket": [], "blob": []}
+    told = _joined(*(np.concatenate(x) for x in zip(*spans, strict=True)))
+    if len(told[0]):
+        rows["bucket"].append(int(mixed(told[0][:1].view(np.uint64))[0] % _U(buckets)))
+        rows["blob"].append(pack(dict(zip(_FLAGS, (told[0], told[1], told[2].astype(np.uint32), told[3].astype(np.uint32)), strict=True))))
+    for strings, full in ((sent, True), (light, False)):
+        bucket = (mixed(strings["name"]) % _U(buckets)).astype(np.int64)
+        # Strings of one anchor stand together: near copies compress to little.
+        order = np.lexsort((strings["name"], bucket))
+        cuts = np.append(np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1])), len(order)) if len(order) else []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            i = order[a:b]
+            rows["bucket"].append(int(bucket[i[0]]))
+            own = {n: strings[n][i] for n in _PLACES}
+            if full:
+                own |= {"again": again[i], "data": data[ragged(begin[i], own["size"].astype(np.int64))]}
+            rows["blob"].append(pack(own))
     return pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int64()), pa.array(rows["blob"], pa.binary())], names=["bucket", "blob"])
 
 
@@ -262,56 +345,60 @@ def repeated_windows(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray, nam
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
-def _settle(blobs: list[dict[str, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
+def _settle(blobs: list[_Arrays], k: int) -> Iterator[pa.RecordBatch]:
     told = [b for b in blobs if "flag_lo" in b]
     if told:
         yield _spans(*(np.concatenate([b[n] for b in told]) for n in _FLAGS))
+    light = [b for b in blobs if "name" in b and "data" not in b]
+    if light:
+        strings = {n: np.concatenate([b[n] for b in light]) for n in _PLACES}
+        yield _spans(*_settled(strings, _same_strings(strings["name"], strings["content"], strings["size"]))[1])
     packed = [b for b in blobs if "data" in b]
     if not packed:
         return
-    data, sizes, name, doc, key, place, twice, again = (np.concatenate([b[n] for b in packed]) for n in _FIELDS)
-    sizes = sizes.astype(np.int64)
+    strings = {n: np.concatenate([b[n] for b in packed]) for n in _PLACES}
+    data, again = (np.concatenate([b[n] for b in packed]) for n in ("data", "again"))
+    sizes = strings["size"].astype(np.int64)
     begin = np.cumsum(sizes) - sizes
-    first, times = _equal_strings(data, begin, sizes, name, byte_sums(data))
-    whole = (times[first] > 1) | twice | (np.bincount(first, weights=twice, minlength=len(first)) > 0)[first]
-    now = whole & ~twice
-    if now.any():
-        yield _spans(doc[now], key[now], place[now].astype(np.int64), place[now].astype(np.int64) + sizes[now])
+    first = _equal_strings(data, begin, sizes, strings["name"], strings["content"])
     kept = np.flatnonzero(first == np.arange(len(first)))
+    strings, found = _settled(strings, first)
+    yield _spans(*found)
+    begin, sizes, again, name = begin[kept], sizes[kept], again[kept], strings["name"]
     # A string alone with its name has nothing to meet, unless it can repeat inside itself.
-    _, code, many = np.unique(name[kept], return_inverse=True, return_counts=True)
-    kept = kept[(many[code] > 1) | again[kept]]
-    if not len(kept):
+    _, code, many = np.unique(name, return_inverse=True, return_counts=True)
+    meet = (many[code] > 1) | again
+    if not meet.any():
         return
-    starts = repeated_windows(data, begin[kept], sizes[kept], name[kept], k)
+    starts = repeated_windows(data, begin[meet], sizes[meet], name[meet], k)
     if not len(starts):
         return
     of = np.searchsorted(begin, starts, "right") - 1
     cut = np.flatnonzero(np.append(True, (starts[1:] != starts[:-1] + 1) | (of[1:] != of[:-1])))
     lo, hi = starts[cut], starts[np.append(cut[1:], len(starts)) - 1] + k
     of = of[cut]
-    open_ = ~whole[of]
+    open_ = ~strings["twice"][of]
     of, lo, hi = of[open_], lo[open_], hi[open_]
-    base = place[of].astype(np.int64) - begin[of]
-    yield _spans(doc[of], key[of], base + lo, base + hi)
+    base = strings["place"][of].astype(np.int64) - begin[of]
+    yield _spans(strings["doc"][of], strings["key"][of], base + lo, base + hi)
 
 
 def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
     """(doc_id, _key, spans) of texts with repeated windows; spans are byte ranges [lo, hi)."""
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    table, hot = repeated_anchors(rows, total, k)
-    table_shared = rows.sparkSession.sparkContext.broadcast((table, hot))
+    tables, hot = repeated_anchors(rows, total, k)
+    shared = rows.sparkSession.sparkContext.broadcast((tables, hot))
     buckets = max(8, -(-total // BUCKET_BYTES))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, split = table_shared.value
+        bits, split = shared.value
         held, size = [], 0
         for batch in batches:
             for part in pieces(batch, "text", PIECE):
                 if found := _strings(part, k, bits, split):
                     held.append(found)
-                    size += len(found[0]["data"])
+                    size += len(found[0]["data"]) + 32 * len(found[1]["name"])
                 if size > HELD_BYTES:
                     yield _packed(held, buckets)
                     held, size = [], 0

@@ -111,6 +111,38 @@ def test_suffix_dedup_splits_hot_anchors(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == kept_bytes(rows, 100)
 
 
+def test_suffix_dedup_sends_bytes_only_where_strings_differ(spark, monkeypatch):
+    """Copies in different tasks travel as hashes; a near copy and a text that repeats inside itself as bytes."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    copied, near, inside, alone = prose(300), prose(120), prose(60), prose(300)
+    rows = [(i, copied) for i in range(6)] + [(10, near), (11, near.replace(near[400:410], "#" * 10)), (20, inside + " " + inside), (30, alone)]
+    docs = frame(spark, rows, 10)
+    tables, hot = suffix_dedup.repeated_anchors(docs, sum(len(t) for _, t in rows), 200)
+
+    def bytes_sent(i, text):
+        part = pa.RecordBatch.from_pydict({"doc_id": pa.array([i], pa.int64()), "text": [text], "_key": pa.array([1], pa.int64())})
+        found = suffix_dedup._strings(part, 200, tables, hot)
+        return len(found[0]["data"]) if found else 0
+
+    assert bytes_sent(0, copied) == 0 and bytes_sent(30, alone) == 0
+    assert bytes_sent(10, near) and bytes_sent(11, rows[7][1]) and bytes_sent(20, rows[8][1])
+    for held in (suffix_dedup.HELD_ANCHORS, 1):
+        monkeypatch.setattr(suffix_dedup, "HELD_ANCHORS", held)
+        got = suffix_dedup.without_repeats(docs).collect()
+        assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == kept_bytes(rows, 200)
+
+
+def test_joined_spans():
+    """Ranges of one text that meet are one; those of other texts and keys stay apart."""
+    spans = [(1, 5, 0, 10), (1, 5, 10, 20), (1, 5, 30, 40), (1, 5, 32, 34), (1, 6, 5, 15), (2, 5, 8, 9), (1, 5, 39, 50)]
+    got = suffix_dedup._joined(*(np.array(x, np.int64) for x in zip(*spans)))
+    assert list(zip(*(x.tolist() for x in got))) == [(1, 5, 0, 20), (1, 5, 30, 50), (1, 6, 5, 15), (2, 5, 8, 9)]
+    assert all(len(x) == 0 for x in suffix_dedup._joined(*[np.zeros(0, np.int64)] * 4))
+
+
 def linked_components(rows, percent=80):
     sets = [(i, shingles(t)) for i, t in rows]
     parent = list(range(len(sets)))
