@@ -12,6 +12,10 @@ entry of a posting list with the list's first one of fitting size, and takes pai
 enough to join groups of near copies with as many pairs as members; a second round takes every candidate pair whose nodes are still in different components, so no link
 that could join two components is lost, and a group doesn't expand into all its pairs.
 
+Before their overlap is counted, pairs meet by sketches: a set's sketch has about two bits for each
+member, and each member turns one over. Two sketches differ in no more bits than the sets have
+members of only one; a pair that differs in more than the similarity allows is no link.
+
 Defined cases: null or empty texts have empty sets and are linked with nothing (a null doc_id is
 given its own component null); a text with fewer than five words has one shingle, all of it;
 documents of equal sets are linked; repeated rows each return; empty tables return none.
@@ -36,7 +40,9 @@ PERCENT = 80
 #: COUNTED percent of each set by hash, where first shingles lie; what is missed costs work only.
 OFTEN = 16
 COUNTED = 30
-TASK_TOKENS = 2_000_000
+TASK_TOKENS = 1_000_000
+#: Entries of posting lists that a task packs together.
+HELD_ENTRIES = 250_000
 #: Sliding rounds pair each list entry with so many that follow it.
 FOLLOWING = 8
 MAX_SLIDING = 6
@@ -60,6 +66,23 @@ def node_of(own: np.ndarray) -> int:
     return int(total.view(np.int64)[0])
 
 
+def sketch_of(own: np.ndarray) -> bytes:
+    """Parities of how many members fall on each of 2 * n bits or more, a power of two."""
+    bits = max(64, 1 << (2 * len(own) - 1).bit_length())
+    odd = np.bincount((own & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """In how many bits two sketches differ, the longer one folded to the other's size."""
+    x, y = sorted((x, y), key=len)
+    least, more = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    for half in range((len(y) // len(x)).bit_length() - 2, -1, -1):
+        width = 8 * len(x) << half
+        more = (more >> width) ^ (more & ((1 << width) - 1))
+    return (least ^ more).bit_count()
+
+
 def doc_sets(part: pa.RecordBatch) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     windows, edges, _ = shingles(part.column("text"))
@@ -73,7 +96,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), node and key of every document."""
+    """doc_id, n (set size), node, key and sketch of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,11 +104,11 @@ def profile(docs: DataFrame) -> DataFrame:
                 sets = doc_sets(part)
                 nodes = [node_of(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), part.column("unnamed"), part.column("key")],
-                    names=["doc_id", "n", "node", "unnamed", "key"],
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), part.column("unnamed"), part.column("key"), pa.array([sketch_of(s) if len(s) else None for s in sets], pa.binary())],
+                    names=["doc_id", "n", "node", "unnamed", "key", "sketch"],
                 )
 
-    return mapped(_keyed(docs), run, "doc_id long, n long, node long, unnamed boolean, key long")
+    return mapped(_keyed(docs), run, "doc_id long, n long, node long, unnamed boolean, key long, sketch binary")
 
 
 def common_shingles(docs: DataFrame, tokens: int) -> np.ndarray:
@@ -131,9 +154,16 @@ def postings(docs: DataFrame, table: np.ndarray, buckets: int, percent: int) ->
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
+        seen, parts, size = set(), [], 0
+
+        def packed() -> pa.RecordBatch:
+            token, node, n, place, late = (np.concatenate(x) for x in zip(*parts, strict=True))
+            salt = np.where(late, node.view(np.uint64) % _U(SALTS), _U(0))
+            bucket = (mixed(token + salt * _U(0x9E3779B97F4A7C15)) >> _U(8)) % _U(buckets)
+            return _bucketed(bucket.astype(np.int64), {"token": token, "node": node, "n": n, "place": place, "late": late})
+
         for batch in batches:
-            for part in pieces(batch, "text", 8 << 20):
-                seen, parts = set(), []
+            for part in pieces(batch, "text"):
                 for own in doc_sets(part):
                     node = node_of(own) if len(own) else None
                     if node is None or node in seen:
@@ -143,11 +173,12 @@ def postings(docs: DataFrame, table: np.ndarray, buckets: int, percent: int) ->
                     first = len(own) - int(needed(len(own), percent)) + 1
                     order = np.concatenate([np.flatnonzero(~late), np.flatnonzero(late)])[:first]
                     parts.append((own[order], np.full(first, node, np.int64), np.full(first, len(own), np.uint32), np.arange(first, dtype=np.uint32), late[order]))
-                if parts:
-                    token, node, n, place, late = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    salt = np.where(late, node.view(np.uint64) % _U(SALTS), _U(0))
-                    bucket = (mixed(token + salt * _U(0x9E3779B97F4A7C15)) >> _U(8)) % _U(buckets)
-                    yield _bucketed(bucket.astype(np.int64), {"token": token, "node": node, "n": n, "place": place, "late": late})
+                    size += first
+                if size > HELD_ENTRIES:
+                    yield packed()
+                    seen, parts, size = set(), [], 0
+        if parts:
+            yield packed()
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in groups_of(batches, "bucket", "blob"):
@@ -182,20 +213,40 @@ def enough_in_front(na: Column, nb: Column, percent: int) -> Column:
     return F.greatest(F.lit(1), F.least(need - na + front(na), need - nb + front(nb)))
 
 
-def overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, fragments: int) -> DataFrame:
+def likely(reps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches don't rule the similarity out."""
+    side = lambda node, sketch: reps.select(F.col("node").alias(node), F.col("sketch").alias(sketch))
+    met = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
+            most = na + nb - 2 * -(-percent * (na + nb) // (100 + percent))
+            apart = [bits_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)]
+            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(np.array(apart, np.int64) <= most))
+
+    return mapped(met, run, "a long, b long, na long, nb long")
+
+
+def overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """Shared shingles of each pair: (a, b, shared), by fragments of the global order.
 
-    ``reps`` has one document (unnamed, key) for each node. Pairs travel with their second node.
+    ``reps`` has one document (unnamed, key) and its set size for each node. Pairs travel with their
+    second node. There are as many fragments as the sets of the pairs fill.
     """
     sides = pairs.select(F.col("b").alias("node"), F.col("a").alias("partner")).union(pairs.select(F.col("a").alias("node"), F.lit(None).cast("long").alias("partner")))
     # A node's partners are split over rows of at most PARTNERS.
     number = F.row_number().over(Window.partitionBy("node").orderBy("partner"))
     wanted = (
         sides.distinct().withColumn("_part", F.floor((number - 1) / PARTNERS)).groupBy("node", "_part").agg(F.collect_set("partner").alias("partners"))
-        .join(reps, "node").select("unnamed", "key", "node", "partners")
+        .join(reps, "node").select("unnamed", "key", "node", "n", "partners")
     )
     wanted = stored(wanted)
-    if wanted.count() <= BROADCAST_ROWS:
+    facts = wanted.agg(F.count("*").alias("rows"), F.sum("n").alias("tokens")).first()
+    fragments = max(8, -(-(facts["tokens"] or 0) * 10 // BUCKET_BYTES))
+    fragments = 1 << (fragments - 1).bit_length()
+    wanted = wanted.drop("n")
+    if facts["rows"] <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     # Rows of one key and one text come several times; a fragment counts a pair once.
     rows = _keyed(docs).drop("doc_id").join(wanted, ["unnamed", "key"])
@@ -203,7 +254,7 @@ def overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, fragments: int)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", 8 << 20):
+            for part in pieces(batch, "text"):
                 tokens, owner, lists = [], [], []
                 nodes = part.column("node").to_pylist()
                 for i, own in enumerate(doc_sets(part)):
@@ -258,9 +309,12 @@ def overlaps(docs: DataFrame, reps: DataFrame, pairs: DataFrame, fragments: int)
     return mapped(blobs, count, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
 
 
-def linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, fragments: int, percent: int) -> DataFrame:
+def linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the similarity."""
-    found = overlaps(docs, reps, pairs, fragments).join(pairs, ["a", "b"])
+    pairs = stored(likely(reps, pairs, percent))
+    if not pairs.limit(1).count():
+        return pairs.select("a", "b")
+    found = overlaps(docs, reps, pairs).join(pairs, ["a", "b"])
     return stored(found.where(F.col("shared") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b"))
 
 
@@ -318,25 +372,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     common = common_shingles(docs, tokens)
     buckets = max(8, -(-tokens * 25 * (100 - percent) // 100 // BUCKET_BYTES))
     lists = stored(postings(docs, common, buckets, percent))
-    reps = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("unnamed", "key")).alias("r"))
-    reps = stored(reps.select("node", "r.unnamed", "r.key"))
-    fragments = max(8, -(-tokens * 10 // BUCKET_BYTES))
-    fragments = 1 << (fragments - 1).bit_length()
+    reps = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("unnamed", "key", "n", "sketch")).alias("r"))
+    reps = stored(reps.select("node", "r.unnamed", "r.key", "r.n", "r.sketch"))
     near = (
         lists.where("lead is not null").groupBy(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("n_lead").alias("na"), F.col("n").alias("nb")).count()
         .where(F.col("count") * 2 >= enough_in_front(F.col("na"), F.col("nb"), percent))
     )
     first = stored(near.select("a", "b", "na", "nb"))
-    links = linked(docs, reps, first, fragments, percent)
+    links = linked(docs, reps, first, percent)
     labels = components(links)
     tried = first.select("a", "b")
     for number in range(MAX_SLIDING):
         named, size, apart = crossing(lists, labels)
-        if apart <= 4 * size:
+        # No more than a sliding round would try: take them all.
+        if apart <= FOLLOWING * size:
             break
         # Groups of similar sets whose leaders didn't link all: each entry tries some that follow it.
         near = stored(sliding_pairs(named, number, percent).join(tried, ["a", "b"], "left_anti"))
-        more = linked(docs, reps, near, fragments, percent)
+        more = linked(docs, reps, near, percent)
         tried = tried.union(near.select("a", "b"))
         if not more.limit(1).count():
             break
@@ -345,7 +398,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named, _, _ = crossing(lists, labels)
     second = stored(crossing_pairs(named, percent).join(tried, ["a", "b"], "left_anti"))
     if second.limit(1).count():
-        more = linked(docs, reps, second, fragments, percent)
+        more = linked(docs, reps, second, percent)
         if more.limit(1).count():
             labels = components(links.union(more))
     # Smallest doc_id of each component of nodes, then back to the documents.

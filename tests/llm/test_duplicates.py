@@ -186,6 +186,28 @@ def test_jaccard_threshold_is_exact(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+@pytest.mark.parametrize("percent", [80, 50])
+def test_sketches_lose_no_link(spark, percent):
+    """Sketches never differ in more bits than the sets in members, and leave few pairs that are no links."""
+    rng = np.random.default_rng(5)
+    sets, pairs = [], []
+    for n in (1, 2, 3, 9, 40, 250, 256, 257, 3000):
+        for kept in (0, 30, 60, 80, 89, 90, 95, 100):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            more = rng.integers(0, 1 << 63, n - n * kept // 100 + int(rng.integers(0, 1 + n // 8)), dtype=np.uint64)
+            b = np.unique(np.concatenate([a[: n * kept // 100], more]))
+            if len(b):
+                assert ngram_join.bits_apart(ngram_join.sketch_of(a), ngram_join.sketch_of(b)) <= len(np.setxor1d(a, b))
+                pairs.append((len(sets), len(sets) + 1, len(a), len(b)))
+                sets += [a, b]
+    reps = spark.createDataFrame([(i, ngram_join.sketch_of(s)) for i, s in enumerate(sets)], "node long, sketch binary")
+    kept = {(r["a"], r["b"]) for r in ngram_join.likely(reps, spark.createDataFrame(pairs, "a long, b long, na long, nb long"), percent).collect()}
+    shared = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a, b, _, _ in pairs}
+    links = {(a, b) for a, b, na, nb in pairs if 100 * shared[a, b] >= percent * (na + nb - shared[a, b])}
+    far = {(a, b) for a, b, na, nb in pairs if na > 30 and 100 * shared[a, b] < (percent - 30) * (na + nb - shared[a, b])}
+    assert links and links <= kept and far and not far & kept
+
+
 def test_one_of_each(spark):
     rows = texts()
     kept = ngram_join.one_of_each(frame(spark, rows)).collect()
