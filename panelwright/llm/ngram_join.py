@@ -46,6 +46,8 @@ HELD_ENTRIES = 250_000
 #: Sliding rounds pair each list entry with so many that follow it.
 FOLLOWING = 8
 MAX_SLIDING = 6
+#: They go on while a round leaves at most this share of the crossing pairs.
+WORTH = 0.8
 BUCKET_BYTES = 4 << 20
 SALTS = 64
 PARTNERS = 500
@@ -382,11 +384,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = linked(docs, reps, first, percent)
     labels = components(links)
     tried = first.select("a", "b")
+    before = None
     for number in range(MAX_SLIDING):
         named, size, apart = crossing(lists, labels)
-        # No more than a sliding round would try: take them all.
-        if apart <= FOLLOWING * size:
+        # No more than the sliding rounds would try: take them all.
+        if apart <= FOLLOWING * MAX_SLIDING * size:
             break
+        # The last round joined little: what remains shares lines and is not similar.
+        if before is not None and apart > WORTH * before:
+            break
+        before = apart
         # Groups of similar sets whose leaders didn't link all: each entry tries some that follow it.
         near = stored(sliding_pairs(named, number, percent).join(tried, ["a", "b"], "left_anti"))
         more = linked(docs, reps, near, percent)
